@@ -9,9 +9,9 @@ space, with digits one by one.
 from __future__ import annotations
 
 import sys
-import unicodedata
 
 import numpy as np
+import regex
 
 LETTER, NUMBER, SPACE, OTHER = 1, 2, 3, 4
 #: The characters of the Unicode property White_Space.
@@ -21,8 +21,11 @@ _classes: list[np.ndarray] = []
 
 def classes() -> np.ndarray:
     if not _classes:
-        kinds = {"L": LETTER, "N": NUMBER}
-        table = np.array([kinds.get(unicodedata.category(chr(i))[0], OTHER) for i in range(sys.maxunicode + 1)], np.uint8)
+        every = "".join(map(chr, range(sys.maxunicode + 1)))
+        table = np.full(len(every), OTHER, np.uint8)
+        for kind, pattern in ((LETTER, r"\p{L}+"), (NUMBER, r"\p{N}+")):
+            for run in regex.finditer(pattern, every):
+                table[run.start() : run.end()] = kind
         table[WHITE] = SPACE
         _classes.append(table)
     return _classes[0]
