@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe_codec, token_counts
+from . import bpe_codec, chat, scratch, token_counts
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -30,8 +30,16 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(spark, _table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    said = "</s>[INST] ok [/INST]"
+    probe = spark.createDataFrame([(-1, 0, "user", said), (-1, 1, "assistant", said)], chat.PROBE)
+    turns = _table(spark, sf_dir, "conversations").select(*probe.columns).union(probe)
+    return chat.digest(scratch.write(chat.format_examples(turns), "chat"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_bpe_codec": op6_bpe_codec,
     "op9_token_counts": op9_token_counts,
+    "op10_chat_format": op10_chat_format,
 }
 ORACLE_SQL: dict[str, str] = {}
