@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe_codec, chat, line_dedup, scratch, token_counts, token_store
+from . import bpe_codec, chat, line_dedup, scratch, token_counts, token_store, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -20,6 +20,13 @@ def op1_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_store.read_store(spark, store)
 
 
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    model = toxicity.fit_on(docs, _table(spark, sf_dir, "labels"))
+    scored = toxicity.score(spark, docs, model)
+    return scored.select("doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted"), "spans")
+
+
 def op6_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     ranks = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
     coded = bpe_codec.decode(spark, bpe_codec.encode(spark, _table(spark, sf_dir, "documents"), ranks), ranks)
@@ -49,6 +56,7 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_store": op1_token_store,
+    "op5_toxicity": op5_toxicity,
     "op6_bpe_codec": op6_bpe_codec,
     "op7_line_dedup": op7_line_dedup,
     "op9_token_counts": op9_token_counts,
