@@ -23,6 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import pretokens, ragged
 
@@ -30,7 +31,6 @@ FIT_DOCS = 1000
 FIT_CHARS = 20_000
 BUCKETS = 1 << 18
 THRESHOLD = 0.7
-SCORES = "id long, score double, spans array<struct<start:long,end:long>>"
 
 
 @dataclass
@@ -245,8 +245,10 @@ def fit_on(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 _memos: dict[int, ragged.Memo] = {}
 
 
-def score(spark: SparkSession, docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, score, spans) for every row of docs; spans are code points of runs of words tagged toxic. No shuffle."""
+def score(spark: SparkSession, docs: DataFrame, model: Model | None, text_col: str = "text") -> DataFrame:
+    """docs with columns score and spans (code points of runs of words tagged toxic). No shuffle."""
+    docs = docs.drop("score", "spans")
+    plain = docs.schema
     shared = spark.sparkContext.broadcast(model)  # BUCKETS weights, whatever the corpus
     token = id(shared)
 
@@ -263,15 +265,19 @@ def score(spark: SparkSession, docs: DataFrame, model: Model | None, id_col: str
             _memos[token] = ragged.Memo(np.float64, 1 << 21)
         memo = _memos[token]
         kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
+
+        def scored(group: pa.RecordBatch, scores: np.ndarray, spans: list) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([*(group.column(c) for c in plain.names), pa.array(scores), pa.array(spans, kind)], [*plain.names, "score", "spans"])
+
         for batch in batches:
-            for group in ragged.cut(batch, "text", 1 << 24):
+            for group in ragged.cut(batch, text_col, 1 << 24):
                 n = group.num_rows
                 if model is None:
-                    yield pa.record_batch([group.column("id"), pa.array(np.zeros(n)), pa.array([[]] * n, kind)], ["id", "score", "spans"])
+                    yield scored(group, np.zeros(n), [[]] * n)
                     continue
                 emit, counts, places = [], [], []
-                for part in ragged.cut(group, "text"):
-                    flat, offsets = ragged.utf8(part.column("text"))
+                for part in ragged.cut(group, text_col):
+                    flat, offsets = ragged.utf8(part.column(text_col))
                     w = words_of(flat, offsets)
                     emit.append(emissions(model, memo, w))
                     counts.append(np.diff(w.before))
@@ -290,7 +296,7 @@ def score(spark: SparkSession, docs: DataFrame, model: Model | None, id_col: str
                     else:
                         spans[owner].append({"start": int(place[0, hit]), "end": int(place[1, hit])})
                     last = hit
-                yield pa.record_batch([group.column("id"), pa.array(model.score(p, before)), pa.array(spans, kind)], ["id", "score", "spans"])
+                yield scored(group, model.score(p, before), spans)
 
-    picked = docs.select(docs[id_col].cast("long").alias("id"), docs[text_col].alias("text"))
-    return picked.mapInArrow(run, SCORES).withColumnRenamed("id", id_col)
+    added = T.StructType.fromDDL("score double, spans array<struct<start:long,end:long>>")
+    return docs.mapInArrow(run, T.StructType([*plain.fields, *added.fields]))
