@@ -256,7 +256,10 @@ def score(spark: SparkSession, docs: DataFrame, model: Model | None, text_col: s
         def make(new: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
             return model.emissions(w.spell[new]), np.arange(len(new) + 1)
 
-        return memo.flat[memo.rows(w.keys, make)][w.codes] if len(w.codes) else np.zeros(0)
+        if not len(w.codes):
+            return np.zeros(0)
+        rows = memo.rows(w.keys, make)
+        return memo.flat[rows][w.codes]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
