@@ -1,41 +1,6 @@
-"""The queries of the engine and the SQL that gives the same rows."""
+"""All queries of the engine."""
 
-from __future__ import annotations
+from . import groups, graphs, relational, statistics  # noqa: F401  each registers its queries
+from .registry import ORACLE_SQL, QUERIES
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
-
-
-def query(sql: str | None = None):
-    """Registers a function under its name, with the SQL for the same rows."""
-
-    def add(f):
-        QUERIES[f.__name__] = f
-        if sql is not None:
-            ORACLE_SQL[f.__name__] = sql
-        return f
-
-    return add
-
-
-@query("""
-select label, count(*) as size, round(count(*) / (select count(*) from embeddings), 6) as occurrence,
-  round(avg(embedding[1]::double), 6) + 0.0 as mean_1, round(avg(embedding[2]::double), 6) + 0.0 as mean_2, round(avg(embedding[3]::double), 6) + 0.0 as mean_3,
-  round(coalesce(var_samp(embedding[1]::double), 0) + coalesce(var_samp(embedding[2]::double), 0) + coalesce(var_samp(embedding[3]::double), 0), 6) as variance
-from embeddings group by label
-""")
-def cluster_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
-    x = [e.embedding[i].cast("double") for i in range(3)]
-    total = e.agg(F.count("*").alias("n"))
-    stats = e.groupBy("label").agg(
-        F.count("*").alias("size"),
-        *[(F.round(F.avg(c), 6) + 0.0).alias(f"mean_{i + 1}") for i, c in enumerate(x)],
-        F.round(sum((F.coalesce(F.var_samp(c), F.lit(0.0)) for c in x[1:]), F.coalesce(F.var_samp(x[0]), F.lit(0.0))), 6).alias("variance"),
-    )
-    return stats.crossJoin(F.broadcast(total)).select("label", "size", F.round(F.col("size") / F.col("n"), 6).alias("occurrence"), "mean_1", "mean_2", "mean_3", "variance")
+__all__ = ["ORACLE_SQL", "QUERIES"]
