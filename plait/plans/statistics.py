@@ -88,11 +88,11 @@ def contingency(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stats.contingency(table(spark, sf_dir, "embeddings").withColumn("other", F.col("vec_id") % 4), "label", "other")
 
 
-@query("""select o_custkey, count(*) as n_atoms, round(avg(o_totalprice), 3) as x, min(c_name) as name, min(o_orderstatus) as status from orders join customer on o_custkey = c_custkey group by 1""")
+@query("""select o_custkey, count(*) as n_atoms, round(avg(o_totalprice), 1) as x, min(c_name) as name, min(o_orderstatus) as status from orders join customer on o_custkey = c_custkey group by 1""")
 def chain_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = table(spark, sf_dir, "orders").join(table(spark, sf_dir, "customer"), F.col("o_custkey") == F.col("c_custkey"))
     only = F.when(F.min("c_name") == F.max("c_name"), F.min("c_name")).otherwise(F.raise_error(F.lit("several names")).cast("string"))
-    return o.groupBy("o_custkey").agg(F.count("*").alias("n_atoms"), F.round(F.avg("o_totalprice"), 3).alias("x"), only.alias("name"), F.min("o_orderstatus").alias("status"))
+    return o.groupBy("o_custkey").agg(F.count("*").alias("n_atoms"), F.round(F.avg("o_totalprice"), 1).alias("x"), only.alias("name"), F.min("o_orderstatus").alias("status"))
 
 
 @query("""select l_orderkey, l_returnflag, count(*) as atoms, round(max(case when l_linestatus = 'O' then l_extendedprice end), 2) as trace, count(*) filter (l_quantity > 25) as heavy from lineitem where l_linenumber <= 4 group by 1, 2""")
