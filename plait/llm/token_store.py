@@ -31,6 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from . import pretokens, ragged, scratch
+from .token_counts import byte_symbols
 
 BLOCK_TOKENS = 1 << 20
 SAMPLE = 64
@@ -136,6 +137,8 @@ class WordTokenizer:
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_str(content)
+        self.model = self.library.model
+        self.stand = {byte: shown for shown, byte in byte_symbols().items()}
         self.specials = [t.content for t in self.library.get_added_tokens_decoder().values()]
         self.memo = ragged.Memo(np.int32, 1 << 21)
 
@@ -154,8 +157,9 @@ class WordTokenizer:
             codes, keys, first = ragged.distinct(ragged.segment_hashes(ragged.spread(points), starts, stops))
 
             def make(new: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-                words = [text[a:b] for a, b in zip(starts[first[new]].tolist(), stops[first[new]].tolist(), strict=True)]
-                ids = [e.ids for e in self.library.encode_batch_fast(words, add_special_tokens=False)]
+                words = (text[a:b] for a, b in zip(starts[first[new]].tolist(), stops[first[new]].tolist(), strict=True))
+                shown = (w if w.isascii() and w.isprintable() else w.encode("utf-8", "surrogatepass").decode("latin-1").translate(self.stand) for w in words)
+                ids = [[t.id for t in self.model.tokenize(w)] for w in shown]
                 counts = np.fromiter(map(len, ids), np.int64, len(ids))
                 return np.fromiter((i for x in ids for i in x), np.int32, int(counts.sum())), np.append(0, np.cumsum(counts))
 
