@@ -3,8 +3,10 @@
 Documents are sets of word shingles; two link when their Jaccard similarity reaches num / den. Documents with equal sets
 are one class, under its smallest id. Classes that can link must share one of the first |x| - ceil(num |x| / den) + 1
 shingles of both, in any one order of all shingles. The order here is by hash, with the most frequent shingles found
-(HOT of them at most) put last, so that prefixes are made of rare ones. Classes that share a prefix shingle go to the
-group of the smallest of them, once for each group, with their whole sets.
+(HOT of them at most) put last, so that prefixes are made of rare ones. Classes of like size that share a prefix shingle
+are members of the group of the smallest of them. Members that cannot link with any other by the bounds on size and on
+the parity sketch (a bit for every two shingles; it differs in no more bits than the sets differ in shingles) leave; the
+others go to their groups with their whole sets.
 
 Within a group an inverted index answers T-occurrence queries: the T - 1 longest lists of a query are left out of the
 merge, the short rest is heap-merged into candidates, and candidates are looked up in the long lists by binary search
@@ -35,7 +37,7 @@ from . import ragged, scratch
 HOT = 1 << 18
 RARE = 16
 BLOCK = 1 << 21
-_PARTS = pa.schema([("g", pa.int64()), ("b", pa.int32()), ("rep", pa.int64()), ("ask", pa.bool_()), ("shingles", pa.list_(pa.int64()))])
+SIEVE = 4096
 
 
 def shingle_sets(flat: np.ndarray, offsets: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -157,7 +159,7 @@ def connect(index: Inverted, asking: np.ndarray | None = None) -> tuple[list[tup
 
 
 def _prefixes(spark: SparkSession, docs: DataFrame, width: int, num: int, den: int, hot: np.ndarray, known: np.ndarray | None = None) -> DataFrame:
-    """(id, n, fp, prefix): the set's size, its fingerprint and its prefix, with the hot shingles last. With known, the
+    """(id, n, fp, prefix, sketch): the set's size, its fingerprint and its prefix, with the hot shingles last. With known, the
     prefix lacks what it was when only those were hot."""
     shared = spark.sparkContext.broadcast((hot, known))  # HOT shingles at most
 
@@ -183,9 +185,77 @@ def _prefixes(spark: SparkSession, docs: DataFrame, width: int, num: int, den: i
                     keep &= ~first(values, owner, offsets, sizes, known)
                 ends = np.append(0, np.cumsum(keep))[offsets]
                 lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(values[keep].view(np.int64)))
-                yield pa.record_batch([part.column("id"), pa.array(n), pa.array(fp.view(np.int64)), lists], ["id", "n", "fp", "prefix"])
+                yield pa.record_batch([part.column("id"), pa.array(n), pa.array(fp.view(np.int64)), lists, sketches(values, owner, n)], ["id", "n", "fp", "prefix", "sketch"])
+
+    return docs.mapInArrow(run, "id long, n long, fp long, prefix array<long>, sketch binary")
+
+
+def sketches(values: np.ndarray, owner: np.ndarray, n: np.ndarray) -> pa.Array:
+    """The parity of the number of shingles that fall on each bit; bits are a power of two, at least 64 and n / 2."""
+    bits = np.int64(1) << np.ceil(np.log2(np.maximum(n / 2, 64))).astype(np.int64)
+    base = np.append(0, np.cumsum(bits))
+    place = (ragged.mix(values + np.uint64(0x5BF03635)) & (bits[owner] - 1).astype(np.uint64)).astype(np.int64) + base[owner]
+    packed = np.packbits((np.bincount(place, minlength=int(base[-1])) & 1).astype(np.uint8), bitorder="little")
+    return pa.Array.from_buffers(pa.binary(), len(n), [None, pa.py_buffer((base // 8).astype(np.int32).tobytes()), pa.py_buffer(packed.tobytes())])
+
+
+def has_partner(sizes: np.ndarray, sketch: list[bytes], num: int, den: int) -> np.ndarray:
+    """Marks the sets that may reach the threshold with another one, by sizes and sketches."""
+    out = np.zeros(len(sizes), bool)
+    bits = np.array([8 * len(x) for x in sketch])
+    for b in np.unique(bits):
+        own = np.flatnonzero((bits == b) | (bits == 2 * b))  # sizes that differ more cannot link
+        if len(own) < 2:
+            continue
+        halves = [np.frombuffer(sketch[i], np.uint64) for i in own]
+        m = np.stack([h if 64 * len(h) == b else h[: len(h) // 2] ^ h[len(h) // 2 :] for h in halves])
+        n = sizes[own]
+        step = max(1, (1 << 21) // m.size)
+        for a in range(0, len(own), step):
+            part = slice(a, a + step)
+            both = n[part][:, None] + n[None, :]
+            may = (n[part][:, None] * den >= n * num) & (n * den >= n[part][:, None] * num)
+            differ = np.bitwise_count(m[part][:, None, :] ^ m[None, :, :]).sum(axis=2, dtype=np.int64)
+            may &= differ <= both - 2 * (-(-num * both // (num + den)))
+            rows = np.arange(len(n[part]))
+            may[rows, rows + a] = False
+            out[own[part]] |= may.any(axis=1)
+    return out
+
+
+def _sieved(members: DataFrame, num: int, den: int) -> DataFrame:
+    """Rows (g, rep, n, sketch) of groups, without those that have no possible partner; groups of more than SIEVE stay."""
+
+    kinds = (pa.int64(), pa.int64(), pa.int64())
+
+    def packed(out: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*out, strict=True), kinds, strict=True)], ["g", "rep", "n"])
 
-    return docs.mapInArrow(run, "id long, n long, fp long, prefix array<long>")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group, rows, large, out = None, [], False, []
+
+        def close() -> None:
+            keep = np.full(len(rows), True) if large else has_partner(np.array([r[1] for r in rows]), [r[2] for r in rows], num, den) if rows else []
+            out.extend((group, r[0], r[1]) for r, k in zip(rows, keep, strict=True) if k)
+            rows.clear()
+
+        for batch in batches:
+            for g, *row in zip(*(batch.column(c).to_pylist() for c in ("g", "rep", "n", "sketch")), strict=True):
+                if g != group:
+                    close()
+                    group, large = g, False
+                rows.append(tuple(row))
+                if len(rows) > SIEVE:  # a large group streams through as it is
+                    large = True
+                    close()
+                if len(out) > 8192:
+                    yield packed(out)
+                    out.clear()
+        close()
+        if out:
+            yield packed(out)
+
+    return members.repartition("g").sortWithinPartitions("g", "rep").mapInArrow(run, "g long, rep long, n long")
 
 
 def _sets(docs: DataFrame, width: int) -> DataFrame:
@@ -286,8 +356,15 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id"
         known, hot = hot, np.union1d(hot, more)
     prefixes = scratch.write(_prefixes(spark, texts, width, num, den, hot), "ordered") if len(hot) else sets
     posted = prefixes.join(reps, ["id", "n", "fp"], "left_semi").select(F.explode("prefix").alias("t"), F.col("id").alias("rep"), "n")
-    shared = posted.groupBy("t").agg(F.min("rep").alias("g"), F.max("rep").alias("top")).filter("g < top").select("t", "g")
-    members = scratch.write(posted.join(shared, "t").select("g", "rep", "n").distinct(), "members")
+    shared = posted.groupBy("t").agg(F.min("rep").alias("low"), F.max("rep").alias("top")).filter("low < top").select("t")
+    met = scratch.write(posted.join(shared, "t"), "postings")
+    # Sizes of a pair fall in the same or neighbouring steps of den / num.
+    level = F.floor(F.log(F.col("n").cast("double")) / float(np.log(den / num)) + 1e-12)
+    sized = met.select(F.col("t"), "rep", "n", F.explode(F.array(level, level + 1)).alias("level"))
+    meeting = sized.groupBy("t", "level").agg(F.min("rep").alias("g"), F.max("rep").alias("top")).filter("g < top").drop("top")
+    loose = sized.join(meeting, ["t", "level"]).select("g", "rep", "n").distinct()
+    sketched = prefixes.join(reps, ["id", "n", "fp"], "left_semi").select(F.col("id").alias("rep"), "sketch").dropDuplicates(["rep"])
+    members = scratch.write(_sieved(loose.join(sketched, "rep"), num, den), "members")
 
     wide = members.groupBy("g").agg(F.sum("n").alias("size"))
     wide = wide.select("g", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks"))
