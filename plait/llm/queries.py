@@ -86,5 +86,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_chat_format": op10_chat_format,
 }
 ORACLE_SQL: dict[str, str] = {
+    "op4_ngram_jaccard": jaccard.SQL,
     "op7_line_dedup": line_dedup.SQL,
 }
