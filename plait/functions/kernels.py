@@ -355,3 +355,34 @@ def _merge(p: dict, q: dict, pairs: list[tuple[int, int]]) -> dict:
             edges[key] = edges.get(key, 0.0) + e
     order = {(to_p[a], to_p[b]) for a, b in p["order"]} | {(to_q[a], to_q[b]) for a, b in q["order"]}
     return {"x": x / np.maximum(w, 1e-12)[:, None], "w": w, "kind": kind, "in": inside, "order": reduce_edges(n, order), "edges": edges, "size": p["size"] + q["size"]}
+
+
+def family_consensus(members: list[np.ndarray], reach: float = 10.0, ratio: float = 1e-4, rounds: int = 100) -> tuple[np.ndarray, np.ndarray, list[list[tuple[int, int]]]]:
+    """(points, share of members at each, matches) of a family of point sequences: the member nearest to all others is
+    the first consensus; members are aligned and moved onto it and averaged until the deviation settles."""
+    n = len(members)
+    score = np.array([[0.0 if i == j else -iterative_superposition(a, b, reach)[0] for j, b in enumerate(members)] for i, a in enumerate(members)])
+    now = members[int(np.argmin(score.sum(axis=1)))].copy()
+    last, matches, share = float("inf"), [], np.ones(len(now))
+    for _ in range(rounds):
+        total, count, square = np.zeros_like(now), np.zeros(len(now)), 0.0
+        matches = []
+        for m in members:
+            _, pairs = iterative_superposition(m, now, reach)
+            if len(pairs) < 3:
+                k = min(len(m), len(now))
+                pairs = [(i, i) for i in range(k)]
+            i, j = np.array(pairs).T
+            r, t = superpose(m[i], now[j]) if len(pairs) >= 3 else (np.eye(3), now[j].mean(axis=0) - m[i].mean(axis=0))
+            moved = m[i] @ r.T + t
+            total[j] += moved
+            count[j] += 1
+            square += float(((moved - now[j]) ** 2).sum())
+            matches.append(pairs)
+        now = np.where(count[:, None] > 0, total / np.maximum(count, 1)[:, None], now)
+        share = count / n
+        deviation = float(np.sqrt(square / max(1.0, count.sum())))
+        if last - deviation <= ratio * max(last, 1e-12) if np.isfinite(last) else False:
+            break
+        last = deviation
+    return now, share, matches

@@ -111,3 +111,11 @@ def z_to_log_p(z: Column) -> Column:
     """Natural log of the tail of an extreme-value distribution at z."""
     x = F.exp(-math.pi / math.sqrt(6) * z - 0.5772156649015329)
     return F.when(x < 1e-6, F.log(x)).otherwise(F.log(-F.expm1(-x)))
+
+
+def cdf_polygon(steps: Column, height: float = 1.0) -> Column:
+    """Outline of a distribution drawn to both sides of its axis, from array<struct<value, p>> in order: the share above
+    each value there and back."""
+    above = F.transform(steps, lambda s: F.array(s["value"].cast("double"), (1 - s["p"]) * height / 2))
+    below = F.transform(F.reverse(steps), lambda s: F.array(s["value"].cast("double"), -(1 - s["p"]) * height / 2))
+    return F.concat(F.array(F.array(F.lit(0.0), F.lit(height / 2))), above, below, F.array(F.array(F.lit(0.0), F.lit(-height / 2))))

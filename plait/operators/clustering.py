@@ -167,3 +167,14 @@ def matched_agreement(counts: DataFrame, a: str, b: str) -> DataFrame:
         return pd.DataFrame({"agreement": [kernels.align(m)[0] / m.sum()]})
 
     return counts.groupBy().applyInPandas(solve, "agreement double")
+
+
+def family_consensus(seqs: DataFrame) -> DataFrame:
+    """(g, pos, x, y, z, share): the consensus points of each group and the share of members at each."""
+
+    def solve(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("m")
+        points, share, _ = kernels.family_consensus([np.stack(x)[:, :3].astype(float) for x in pdf["xs"]])
+        return pd.DataFrame({"g": pdf.g.iloc[0], "pos": range(len(points)), "x": points[:, 0], "y": points[:, 1], "z": points[:, 2], "share": share})
+
+    return seqs.groupBy("g").applyInPandas(solve, "g long, pos int, x double, y double, z double, share double")

@@ -101,3 +101,25 @@ def single(df: DataFrame, group: list[str], col: str) -> DataFrame:
     out = df.groupBy(*group).agg(F.min(col).alias("value"), F.max(col).alias("_top"), F.count_distinct(col).alias("_n"))
     checked = F.when(F.col("_n") <= 1, F.col("value")).otherwise(F.raise_error(F.concat(F.lit(f"several values of {col} in one group"))).cast(dict(df.dtypes)[col]))
     return out.select(*group, checked.alias(col))
+
+
+def without_orphans_in_order(vertices: DataFrame, edges: DataFrame, group: str, least: float) -> DataFrame:
+    """without_orphans() one vertex after another, in order: what an earlier vertex brought counts for later ones. Runs
+    on a group (group, v, occurrence) at a time, with its edges (group, a, b)."""
+    import pandas as pd
+
+    def solve(key: tuple, own: pd.DataFrame, links: pd.DataFrame) -> pd.DataFrame:
+        share = dict(zip(own.v, own.occurrence, strict=True))
+        near: dict = {}
+        for a, b in zip(links.a, links.b, strict=True):
+            if a != b and a in share and b in share:
+                near.setdefault(a, set()).add(b)
+                near.setdefault(b, set()).add(a)
+        kept = {v for v, x in share.items() if x >= least}
+        for v in sorted(kept):
+            if (around := near.get(v)) and not around & kept:
+                kept.add(min(around, key=lambda u: (-share[u], u)))
+        return pd.DataFrame({group: key[0], "v": sorted(kept)})
+
+    kinds = dict(vertices.dtypes)
+    return vertices.groupBy(group).cogroup(edges.groupBy(group)).applyInPandas(solve, f"{group} {kinds[group]}, v {kinds['v']}")

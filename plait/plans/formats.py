@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from plait.operators import joins
 from plait.sources import readers, sinks
 from plait.streaming import jobs
 
@@ -92,3 +93,41 @@ def isolated_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     li = table(spark, sf_dir, "lineitem").select("l_suppkey", "l_orderkey")
     return isolated(li, "l_suppkey", "l_suppkey long, ok boolean, error string, payload string", count).select("l_suppkey", "payload", "ok")
+
+
+@query("""with m as (select l_orderkey as k, l_linenumber as number, min(l_partkey) as other from lineitem where l_returnflag <> 'R' group by 1, 2), r as (select o_orderkey as k, 1 + o_orderkey % 3 as start, 4 + o_orderkey % 3 as "end" from orders)
+select r.k, r.start, r."end", a.other as new_start, b.other as new_end from r left join m a on a.k = r.k and a.number = r.start left join m b on b.k = r.k and b.number = r."end" """)
+def converted_numbering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    li, o = table(spark, sf_dir, "lineitem"), table(spark, sf_dir, "orders")
+    kept = li.filter("l_returnflag <> 'R'").groupBy(F.col("l_orderkey").alias("k"), F.col("l_linenumber").cast("long").alias("number")).agg(F.min("l_partkey").alias("other")).withColumn("ins", F.lit(None).cast("string"))
+    marked = li.filter("l_returnflag = 'R'").select(F.col("l_orderkey").alias("k"), F.col("l_linenumber").cast("long").alias("number"), F.col("l_partkey").alias("other"), F.lit("A").alias("ins"))
+    ranges = o.select(F.col("o_orderkey").alias("k"), (1 + F.col("o_orderkey") % 3).alias("start"), (4 + F.col("o_orderkey") % 3).alias("end"))
+    return joins.convert_numbering(ranges, kept.union(marked), "k").select("k", "start", "end", "new_start", "new_end")
+
+
+@query("""select c_custkey, s.code, cast(case when c_custkey % 4 = 0 then 0 else c_custkey % 4 end as integer) as n, case when c_custkey % 4 = 0 then 'no code' when c_custkey % 4 > 1 then 'several codes' end as warning from customer left join (select i, 'u' || i as code from range(1, 4) t(i)) s on s.i <= c_custkey % 4""")
+def flattened_mapping(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = table(spark, sf_dir, "customer")
+    codes = F.when(F.col("c_custkey") % 4 == 0, F.array().cast("array<string>")).otherwise(F.transform(F.sequence(F.lit(1).cast("long"), F.col("c_custkey") % 4), lambda i: F.concat(F.lit("u"), i.cast("string"))))
+    return joins.flatten_mapping(c.withColumn("codes", codes), "c_custkey", "codes")
+
+
+@query("""with o as (select o_custkey, min(o_orderpriority) as code, count(distinct o_orderpriority) > 1 as several from orders group by 1)
+select o.code, count(distinct x.o_orderstatus) as statuses, count(distinct x.o_custkey) as owners, bool_or(several) as several from orders x join o using (o_custkey) group by 1""")
+def under_first_code(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = joins.under_first_code(table(spark, sf_dir, "orders"), "o_custkey", "o_orderpriority", "o_orderstatus")
+    return out.select("code", F.size("items").cast("long").alias("statuses"), "owners", "several")
+
+
+@query("""select s_suppkey as rank, lower('1AB' || s_suppkey % 10) as pdb, 'C' as chain_id, s_nationkey + 0.5::double as z, 's' || s_suppkey as description from supplier where s_suppkey % 3 <> 0""")
+def parsed_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s, k = table(spark, sf_dir, "supplier"), F.col("s_suppkey")
+    line = F.when(k % 3 == 0, "# note").otherwise(F.format_string("  %d: 1AB%d-C %d.5 2.1 100 140 17 s%d", k, k % 10, F.col("s_nationkey"), k))
+    return readers.parse_hits(s.select(line.alias("line"))).select(F.col("rank").cast("long").alias("rank"), "pdb", "chain_id", "z", "description")
+
+
+@query("""select 'f' || s_suppkey || '.gz' as name, s_suppkey * 10 as size, timestamp '2022-01-18 10:00:00' + to_minutes(cast(s_suppkey % 60 as integer)) as modified from supplier""")
+def parsed_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s, k = table(spark, sf_dir, "supplier"), F.col("s_suppkey")
+    lines = s.select(F.format_string("-rw-r--r-- 1 u g %d 2022-01-18 10:%02d:00.000 +0000 f%d.gz", k * 10, k % 60, k).alias("line")).union(spark.range(1).select(F.lit("./sub:").alias("line")))
+    return readers.parse_listing(lines).withColumn("modified", F.col("modified").cast("timestamp_ntz"))

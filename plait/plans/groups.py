@@ -122,3 +122,18 @@ def bond_angles(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "embeddings").select("vec_id", "label", *[F.col("embedding")[i].cast("double").alias(c) for i, c in enumerate("xyz")])
     out = windows.bond_angles(e, Window.partitionBy("label").orderBy("vec_id"), "x", "y", "z")
     return out.select("vec_id", *[F.round(c, 6).alias(c) for c in ("alpha", "beta", "gamma")])
+
+
+@query()
+def family_consensus(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return clustering.family_consensus(_families(spark, sf_dir)).withColumn("share", F.round("share", 6))
+
+
+@query()
+def orphans_in_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from plait.operators import filters
+
+    c, o = table(spark, sf_dir, "customer"), table(spark, sf_dir, "orders")
+    v = c.select(F.col("c_nationkey").alias("g"), F.col("c_custkey").alias("v"), ((F.col("c_custkey") * 37 % 100) / 100.0).alias("occurrence"))
+    e = o.select((F.col("o_orderkey") % 25).cast("int").alias("g"), F.col("o_custkey").alias("a"), ((F.col("o_custkey") * 3 + F.col("o_orderkey")) % 1500).alias("b"))
+    return filters.without_orphans_in_order(v, e, "g", 0.6)

@@ -172,3 +172,15 @@ def rmsd_by_group(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("select l_returnflag, min(l_quantity) as least, max(l_quantity) as most, round(avg(l_quantity), 6) as mean, count(distinct l_partkey) as parts, count(*) filter (l_linestatus = 'F') as done from lineitem group by 1")
 def outcome_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "lineitem").groupBy("l_returnflag").agg(F.min("l_quantity").alias("least"), F.max("l_quantity").alias("most"), F.round(F.avg("l_quantity"), 6).alias("mean"), F.count_distinct("l_partkey").alias("parts"), F.count_if(F.col("l_linestatus") == "F").alias("done"))
+
+
+@query("""with c as (select distinct l_returnflag as f, l_quantity as v, cume_dist() over (partition by l_returnflag order by l_quantity) as p from lineitem)
+select f, cast(2 + 2 * count(*) as bigint) as points, round(sum((1 - p) * v), 4) as area from c group by 1""")
+def cdf_outline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Outlines of length distributions, by number of points and a checksum."""
+    from plait.functions import scalars
+
+    steps = stats.cdf_steps(table(spark, sf_dir, "lineitem"), "l_returnflag", "l_quantity").withColumnRenamed("l_quantity", "value")
+    own = steps.groupBy(F.col("l_returnflag").alias("f")).agg(scalars.cdf_polygon(F.array_sort(F.collect_list(F.struct("value", "p")))).alias("outline"))
+    area = F.aggregate("outline", F.lit(0.0), lambda s, x: s + x[0] * F.abs(x[1]))
+    return own.select("f", F.size("outline").cast("long").alias("points"), F.round(area, 4).alias("area"))

@@ -173,3 +173,37 @@ def first_available(wanted: DataFrame, sources: list[tuple[str, DataFrame]], key
     name = F.coalesce(*[F.when(F.col(f"_c{i}").isNotNull(), n) for i, (n, _) in enumerate(sources)])
     found = out.select(key, F.coalesce(*[F.col(f"_c{i}") for i in range(len(sources))]).alias("content"), name.alias("source"))
     return found.filter("content is not null"), found.filter("content is null").select(key)
+
+
+#: Fixed pattern: one line of a structure-similarity hit list.
+HIT = r"^\s*(\d+):\s+(\S{4})-(\S)\s+(-?[\d.]+)\s+([\d.]+)\s+(\d+)\s+(\d+)\s+(\d+)\s+(.*?)\s*$"
+
+
+def parse_hits(df: DataFrame) -> DataFrame:
+    """(rank, pdb, chain_id, z, rmsd, aligned, residues, identity, description) of the hit lines among rows (line)."""
+    part = lambda i: F.regexp_extract("line", HIT, i)
+    hits = df.filter(F.col("line").rlike(HIT))
+    return hits.select(part(1).cast("int").alias("rank"), F.lower(part(2)).alias("pdb"), part(3).alias("chain_id"), part(4).cast("double").alias("z"), part(5).cast("double").alias("rmsd"), part(6).cast("int").alias("aligned"), part(7).cast("int").alias("residues"), part(8).cast("int").alias("identity"), part(9).alias("description"))
+
+
+#: Fixed pattern: one line of a recursive folder listing with full times.
+LISTING = r"^-\S+\s+\d+\s+\S+\s+\S+\s+(\d+)\s+(\d{4}-\d\d-\d\d)\s+(\d\d:\d\d(?::\d\d)?)\S*\s+(?:[+-]\d{4}\s+)?(.+)$"
+
+
+def parse_listing(df: DataFrame) -> DataFrame:
+    """(name, size, modified) of the file lines of a listing."""
+    part = lambda i: F.regexp_extract("line", LISTING, i)
+    return df.filter(F.col("line").rlike(LISTING)).select(part(4).alias("name"), part(1).try_cast("long").alias("size"), F.try_to_timestamp(F.concat(part(2), F.lit(" "), F.rpad(part(3), 8, ":00")), F.lit("yyyy-MM-dd HH:mm:ss")).alias("modified"))
+
+
+def hierarchy(spark: SparkSession, path: str, depth: int = 4) -> DataFrame:
+    """(id, example) of every node but the root of a JSON tree {id, example_domain_id, children}, to a depth."""
+    node = "id string, example string"
+    for _ in range(depth):
+        node = f"id string, example string, children array<struct<{node}>>"
+    level = spark.read.text(path, wholetext=True).select(F.explode(F.from_json("value", node)["children"]).alias("n"))
+    out = level.select("n.id", "n.example")
+    for _ in range(depth - 1):
+        level = level.select(F.explode("n.children").alias("n"))
+        out = out.union(level.select("n.id", "n.example"))
+    return out.filter("id is not null")
