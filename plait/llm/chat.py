@@ -10,7 +10,7 @@ takes away again.
 
 Results for odd input: a null text or role reads as empty; turns are ordered by turn (nulls first), then role and text,
 so repeated rows and ties have one order; a null conv_id is a conversation of its own; turns after the last reply, and
-conversations without a reply, are kept in rows without a target; empty tables give empty tables; other columns are not
+conversations without a reply, are kept in rows without a loss span; empty tables give empty tables; other columns are not
 read. A conversation of any length streams through one task, which holds only what follows the last reply, at most
 about FLUSH characters.
 """
@@ -107,7 +107,7 @@ def _format(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def format_examples(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text") -> DataFrame:
     """One row per assistant turn (target_turn, and its loss span in the whole example), in order of example; rows
-    without target_turn hold the turns that no reply follows. One shuffle, of the turns by conversation."""
+    without a loss span hold the turns that no reply follows. One shuffle, of the turns by conversation."""
     t = turns.select(turns[conv_col].cast("long").alias("c"), turns[turn_col].cast("long").alias("t"), turns[role_col].alias("r"), turns[text_col].alias("x"))
     return t.repartition("c").sortWithinPartitions("c", "t", "r", "x").mapInArrow(_format, EXAMPLES)
 
@@ -115,7 +115,7 @@ def format_examples(turns: DataFrame, conv_col: str = "conv_id", turn_col: str =
 def expand(examples: DataFrame) -> DataFrame:
     """Examples with their whole text instead of the delta."""
     so_far = Window.partitionBy("conv_id").orderBy("example").rowsBetween(Window.unboundedPreceding, 0)
-    return examples.withColumn("text", F.concat_ws("", F.collect_list("delta").over(so_far))).filter("target_turn is not null").drop("delta")
+    return examples.withColumn("text", F.concat_ws("", F.collect_list("delta").over(so_far))).filter("loss_start is not null").drop("delta")
 
 
 def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -134,7 +134,7 @@ def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*out, strict=True), kinds, strict=True)], names)
 
     for batch in batches:
-        for c, target, context, delta, start, end in zip(*(batch.column(n).to_pylist() for n in ("conv_id", "target_turn", "context_chars", "delta", "loss_start", "loss_end")), strict=True):
+        for c, context, delta, start, end in zip(*(batch.column(n).to_pylist() for n in ("conv_id", "context_chars", "delta", "loss_start", "loss_end")), strict=True):
             if c != conv:
                 out += done()
                 conv, turns, chars, shown = c, 0, 0, 0
@@ -142,7 +142,7 @@ def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for role, text in parse(delta):
                 turns += 1
                 all_turns.update(f"{role}\n{text}\n".encode("utf-8", "surrogatepass"))
-            if target is not None:
+            if start is not None:
                 learnt = unescape(delta[start - context : end - context])
                 chars += len(learnt)
                 loss.update(learnt.encode("utf-8", "surrogatepass"))
