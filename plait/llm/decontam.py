@@ -29,7 +29,7 @@ from pyspark.sql import types as T
 from . import pretokens, ragged
 
 Q, ERROR = 10, 0.08
-WINDOW, STEP = 120, 60
+WINDOW, STEP = 80, 20
 SHARE = 1 << 23
 _BITS = 22
 
