@@ -24,7 +24,7 @@ def write_by_middle(df: DataFrame, path: str, key: str) -> None:
 def matrix_lines(cells: DataFrame, columns: list[str], kind: str = "float64") -> DataFrame:
     """(n, line) of a named matrix from long cells (row, col, value): dtype and shape comments, header, rows."""
     wide = cells.groupBy("row").agg(*[F.first(F.when(F.col("col") == c, F.col("value")), ignorenulls=True).alias(f"_{i}") for i, c in enumerate(columns)])
-    body = wide.select(F.concat(F.lit("3"), F.col("row")).alias("n"), F.concat_ws("\t", "row", *[F.coalesce(F.format_string("%s", F.col(f"_{i}")), F.lit("0")) for i in range(len(columns))]).alias("line"))
+    body = wide.select(F.concat(F.lit("3"), F.col("row")).alias("n"), F.concat_ws("\t", "row", *[F.when(F.col(f"_{i}").isNull(), "0").otherwise(F.format_string("%s", F.col(f"_{i}"))) for i in range(len(columns))]).alias("line"))
     size = wide.agg(F.count("*").alias("rows")).select(F.lit("1").alias("n"), F.concat(F.lit("#shape="), F.col("rows").cast("string"), F.lit(f",{len(columns)}")).alias("line"))
     spark = cells.sparkSession
     fixed = spark.createDataFrame([("0", f"#dtype={kind}"), ("2", "\t".join(["", *columns]))], "n string, line string")
