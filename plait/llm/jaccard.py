@@ -330,7 +330,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id"
         """The most frequent shingles in the prefixes of classes, HOT at most."""
         own = prefixes.join(reps, ["id", "n", "fp"], "left_semi").select(F.explode("prefix").alias("t"))
         top = own.groupBy("t").agg(F.count("*").alias("df")).filter(F.col("df") > RARE).orderBy(F.desc("df"), "t").limit(HOT)
-        return np.array([r.t for r in top.collect()], np.int64).view(np.uint64)
+        return top.select("t").toArrow().column("t").combine_chunks().to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
 
     hot, known = frequent(sets), none
     for _ in range(2):  # what takes the place of hot shingles in the prefixes may be hot too

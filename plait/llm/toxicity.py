@@ -39,7 +39,7 @@ class Words:
 
     codes: np.ndarray
     keys: np.ndarray
-    spell: list[str]
+    spell: _Lazy | list[str]
     starts: np.ndarray
     stops: np.ndarray
     before: np.ndarray
@@ -162,24 +162,42 @@ def _independent(w: Words, n: int) -> np.ndarray:
     return np.array(keep, np.int64)
 
 
+def _words_in_parts(texts: list[str]) -> tuple[Words, list[str]]:
+    """words_of() all texts, a megabyte at a time, and the spelling of each distinct word."""
+    keys, counts, names = [], [], {}
+    for part in ragged.cut(pa.record_batch([pa.array(texts, pa.string())], ["text"]), "text"):
+        w = words_of(*ragged.utf8(part.column("text")))
+        keys.append(w.keys[w.codes])
+        counts.append(np.diff(w.before))
+        names |= zip(w.keys.tolist(), w.spell[np.arange(len(w.keys))], strict=True)
+    codes, distinct, _ = ragged.distinct(np.concatenate(keys))
+    none = np.zeros(0, np.int64)
+    return Words(codes, distinct, [], none, none, np.append(0, np.cumsum(np.concatenate(counts)))), [names[k] for k in distinct.tolist()]
+
+
+def _summed(theta: np.ndarray, f: np.ndarray) -> np.ndarray:
+    """Sum of each row's weights, a column at a time."""
+    return sum((theta[f[:, k]] for k in range(1, KINDS)), theta[f[:, 0]])
+
+
 def fit(texts: list[str], toxic: list[int], rounds: int = 60) -> Model | None:
     """A model from labelled texts, None unless there are both classes."""
     labels = np.array(toxic)
     if len(set(labels.tolist())) < 2:
         return None
-    column = pa.array(texts, pa.string())
-    w = words_of(*ragged.utf8(column))
+    w, spelled = _words_in_parts(texts)
     kept = _independent(w, len(texts))
     codes = [w.codes[w.before[i] : w.before[i + 1]] for i in kept]
     labels = labels[kept]
     if len(set(labels.tolist())) < 2:
         return None
     flat, before = np.concatenate(codes), np.append(0, np.cumsum([len(c) for c in codes]))
-    f = features(w.spell[np.arange(len(w.keys))])
+    f = np.concatenate([features(spelled[a : a + 8192]) for a in range(0, max(1, len(spelled)), 8192)]).astype(np.int32)
 
     # Features that stand out in toxic texts, by the number of texts that hold them.
     doc = np.repeat(np.arange(len(codes)), np.diff(before))
-    held = np.unique((doc[:, None] * BUCKETS + f[flat][:, 1:]).ravel())
+    step = 64  # texts at a time, to keep their words' features small
+    held = np.concatenate([np.unique(doc[a:b, None] * BUCKETS + f[flat[a:b], 1:]) for a, b in ((before[i], before[min(i + step, len(codes))]) for i in range(0, len(codes), step))])
     which = held % BUCKETS
     bad = labels[held // BUCKETS] == 1
     many, few = (labels == 1).sum(), (labels == 0).sum()
@@ -200,12 +218,14 @@ def fit(texts: list[str], toxic: list[int], rounds: int = 60) -> Model | None:
     right = np.flatnonzero(follows)
     seen = np.zeros((2, 2))
     np.add.at(seen, (tags[right - 1].astype(int), tags[right].astype(int)), 1)
-    used = np.unique(f[flat])
+    used = np.unique(f)
     moments = [np.zeros(len(used)), np.zeros(len(used)), np.zeros((2, 2)), np.zeros((2, 2))]
     for k in range(1, rounds + 1):
-        p, expected = marginals(theta[f].sum(axis=1)[flat], before, chain, pairs=True)
+        p, expected = marginals(_summed(theta, f)[flat], before, chain, pairs=True)
         by_word = np.bincount(flat, tags - p, minlength=len(f))
-        grad = np.bincount(f.ravel(), np.repeat(by_word, KINDS), minlength=BUCKETS)
+        grad = np.zeros(BUCKETS)
+        for column in range(KINDS):
+            grad += np.bincount(f[:, column], by_word, minlength=BUCKETS)
         grad[0] = 0
         steps = ((grad[used] / len(codes) - 1e-4 * theta[used], 0, 0.25), ((seen - expected) / len(codes) - 1e-3 * chain, 2, 0.1))
         for g, m, rate in steps:
@@ -216,7 +236,7 @@ def fit(texts: list[str], toxic: list[int], rounds: int = 60) -> Model | None:
                 chain = chain + move
             else:
                 theta[used] += move
-    p, _ = marginals(theta[f].sum(axis=1)[flat], before, chain)
+    p, _ = marginals(_summed(theta, f)[flat], before, chain)
     x, y = _summary(p, before), labels.astype(float)
     curve = np.zeros(3)
     for _ in range(25):  # Newton's method with a small penalty
