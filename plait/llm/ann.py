@@ -68,12 +68,16 @@ class Quantiser:
             residual -= books[-1][near]
         # The beam finds better codes than the greedy residuals: fit all codewords to them at once.
         out = cls(np.stack(books))
-        codes, _ = out.encode(x)
-        one_hot = np.zeros((len(x), m * k), np.float32)
-        for i in range(m):
-            one_hot[np.arange(len(x)), i * k + codes[:, i].astype(np.int64)] = 1
-        gram = one_hot.T @ one_hot + 0.5 * np.eye(m * k, dtype=np.float32)
-        target = one_hot.T @ x.astype(np.float32) + 0.5 * out.books.reshape(m * k, -1)
+        gram = 0.5 * np.eye(m * k, dtype=np.float32)
+        target = 0.5 * out.books.reshape(m * k, -1)
+        for a in range(0, len(x), 1024):
+            part = x[a : a + 1024].astype(np.float32)
+            codes, _ = out.encode(part)
+            one_hot = np.zeros((len(part), m * k), np.float32)
+            for i in range(m):
+                one_hot[np.arange(len(part)), i * k + codes[:, i].astype(np.int64)] = 1
+            gram += one_hot.T @ one_hot
+            target += one_hot.T @ part
         return cls(np.linalg.solve(gram, target).reshape(m, k, -1).astype(np.float32))
 
     def encode(self, x: np.ndarray, beam: int = BEAM) -> tuple[np.ndarray, np.ndarray]:
@@ -121,17 +125,17 @@ def build_index(spark: SparkSession, vectors: DataFrame, id_col: str = "vec_id",
     place = Window.partitionBy("vec").orderBy("vid")
     few = rows.withColumn("r", F.row_number().over(place)).filter(F.col("r") <= k + 1)  # limited before the shuffle too
     classes = scratch.write(few.groupBy("vec").agg(F.sort_array(F.collect_list("vid")).alias("ids")), "vectors")
-    sample = classes.orderBy(F.xxhash64("vec"), "ids").limit(TRAIN).select("vec").collect()
+    sample = classes.orderBy(F.xxhash64("vec"), "ids").limit(TRAIN).select(F.col("vec").cast("array<float>").alias("vec")).toArrow().column("vec").combine_chunks()
     schema = "block int, n int, dim int, ids array<array<long>>, codes binary, norms binary, vecs binary"
-    if not sample:
+    if not len(sample):
         return Index(spark.createDataFrame([], schema), None)
-    quantiser = spark.sparkContext.broadcast(Quantiser.train(np.array([r.vec for r in sample])))  # M * K codewords
+    quantiser = spark.sparkContext.broadcast(Quantiser.train(sample.flatten().to_numpy(zero_copy_only=False).reshape(len(sample), -1)))  # M * K codewords
     blocks = max(1, -(-classes.count() // BLOCK))
 
     def run(key: tuple, table: pa.Table) -> pa.Table:
         table = table.sort_by([("first", "ascending")])
         x = np.array(table.column("vec").combine_chunks().flatten()).reshape(table.num_rows, -1)
-        parts = [quantiser.value.encode(x[i : i + 2048]) for i in range(0, len(x), 2048)]
+        parts = [quantiser.value.encode(x[i : i + 1024]) for i in range(0, len(x), 1024)]
         codes, norms = np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
         ids = table.column("ids").combine_chunks()
         return pa.table({"block": pa.array([key[0].as_py()], pa.int32()), "n": pa.array([len(x)], pa.int32()), "dim": pa.array([x.shape[1]], pa.int32()), "ids": pa.array([ids.to_pylist()], pa.list_(pa.list_(pa.int64()))), "codes": [codes.tobytes()], "norms": [norms.astype(np.float32).tobytes()], "vecs": [x.tobytes()]})
