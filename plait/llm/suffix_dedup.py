@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from . import ragged, scratch
 
 WIDTH, GRAM = 100, 40
-SHARD = 1 << 22
+SHARD = 1 << 20
 SPILL = 1 << 26
 SLOTS = 1 << 18
 
@@ -319,7 +319,7 @@ def _anchors(flat: np.ndarray, offsets: np.ndarray, width: int) -> tuple[np.ndar
 def _runs(docs: DataFrame, width: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in ragged.cut(batch, "text"):
+            for part in ragged.cut(batch, "text", 1 << 19):
                 text, start, many, anchor, record = _anchors(*ragged.utf8(part.column("text")), width)
                 yield pa.record_batch(
                     [pa.array(anchor.view(np.int64)), pa.array(record.view(np.int64)), part.column("id").take(pa.array(text)), pa.array(start), pa.array(many.astype(np.int32))],
@@ -435,9 +435,9 @@ def _cut(docs: DataFrame) -> DataFrame:
     """docs with spans array<struct<start, stop>> to what is left of them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for part in (part for batch in batches for part in ragged.cut(batch, "text")):
             out = []
-            for name, text, spans in zip(*(batch.column(c) for c in ("id", "text", "spans")), strict=True):
+            for name, text, spans in zip(*(part.column(c) for c in ("id", "text", "spans")), strict=True):
                 data = (text.as_py() or "").encode("utf-8", "surrogatepass")
                 kept, at, removed, count = [], 0, 0, 0
                 begin = end = -1
