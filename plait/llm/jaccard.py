@@ -350,11 +350,12 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id"
     sketched = prefixes.join(reps, ["id", "n", "fp"], "left_semi").select(F.col("id").alias("rep"), "sketch").dropDuplicates(["rep"])
     members = scratch.write(_sieved(loose.join(sketched, "rep"), num, den), "members")
 
-    wide = members.groupBy("g").agg(F.sum("n").alias("size"))
-    wide = wide.select("g", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks"))
+    # The class that named the group may have left it; the smallest that stayed is the centre.
+    wide = members.groupBy("g").agg(F.sum("n").alias("size"), F.min("rep").alias("centre"))
+    wide = wide.select("g", "centre", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks"))
     dealt = members.join(wide, "g").select("g", "rep", "blocks", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int").alias("b"))
     # The centre of a large group goes to each of its blocks.
-    centre = wide.filter("blocks > 1").select("g", F.col("g").alias("rep"), "blocks", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("b"))
+    centre = wide.filter("blocks > 1").select("g", F.col("centre").alias("rep"), "blocks", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("b"))
     routed = dealt.withColumn("ask", F.lit(False)).unionByName(centre.withColumn("ask", F.lit(True)))
     needed = members.select(F.col("rep").alias("id")).distinct()
     # Of rows that share an id, only the one whose set gave the class.

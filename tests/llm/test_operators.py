@@ -12,6 +12,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -175,6 +176,23 @@ def test_near_duplicates_in_blocks(spark, monkeypatch):
     assert got == brute_components(docs, 3, 70, 100)
 
 
+def test_near_duplicates_in_blocks_without_the_smallest_id(spark, monkeypatch):
+    words = [f"word{i}" for i in range(600)]
+    hashes, _ = jaccard.shingle_sets(*ragged.utf8(pa.array(words)), 1)
+    words = [w for _, w in sorted(zip(hashes.tolist(), words, strict=True))]
+    low, rest = words[:31], words[31:]  # a prefix of 200 shingles at 0.85 has 31: near copies meet by low only
+    docs = [(0, " ".join(low + rest[169:338]))]  # in their group, but like none of them
+    for k in range(12):
+        own = list(rest[:169])
+        own[5 * k : 5 * k + 5] = rest[400 + 5 * k : 405 + 5 * k]
+        docs.append((1 + k, " ".join(low + own)))
+    monkeypatch.setattr(jaccard, "BLOCK", 600)
+    table = spark.createDataFrame(docs, "doc_id long, text string")
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.near_duplicates(spark, table, width=1, num=85, den=100).collect()}
+    assert got == brute_components(docs, 1, 85, 100)
+    assert {got[k][1] for k in range(1, 13)} == {1}
+
+
 def test_toxicity(spark):
     rng = random.Random(2)
     bad = ["scrofblex", "scrofblat", "vorpnak"]
