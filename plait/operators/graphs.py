@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 
 def _cut(df: DataFrame) -> DataFrame:
+    """The rows written and read again. A checkpoint would keep the constraints of its plan, which double each round."""
     spark = df.sparkSession
     if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
         import tempfile
@@ -16,7 +19,9 @@ def _cut(df: DataFrame) -> DataFrame:
         if not found and not spark.sparkContext.master.startswith("local"):
             raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         spark.sparkContext.setCheckpointDir(found or tempfile.mkdtemp(prefix="plait-"))
-    return df.checkpoint()
+    where = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/{uuid.uuid4().hex}"
+    df.write.parquet(where)
+    return spark.read.schema(df.schema).parquet(where)
 
 
 def normalise(edges: DataFrame) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from plait.operators import filters, graphs, metric
 
-from .registry import query, table
+from .registry import ORACLE_SQL, query, table
 
 
 def _dag(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -84,8 +84,12 @@ def edge_vertices(spark: SparkSession, sf_dir: str) -> DataFrame:
 e as (select a, b, case when (a + b) % 2 = 0 then 1 else -1 end as orient from links)
 select least(x.label, y.label) as a, greatest(x.label, y.label) as b, orient, count(*) as n from e join v x on x.v = e.a join v y on y.v = e.b where x.label is not null and y.label is not null group by 1, 2, 3""")
 def edge_label_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _label_counts(spark, sf_dir, _links(spark, sf_dir))
+
+
+def _label_counts(spark: SparkSession, sf_dir: str, links: DataFrame) -> DataFrame:
     labels = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("v"), F.when(F.col("c_custkey") % 7 == 0, F.lit(None).cast("int")).otherwise(F.col("c_nationkey")).alias("label"))
-    edges = _links(spark, sf_dir).withColumn("orient", F.when((F.col("a") + F.col("b")) % 2 == 0, 1).otherwise(-1))
+    edges = links.withColumn("orient", F.when((F.col("a") + F.col("b")) % 2 == 0, 1).otherwise(-1))
     return graphs.edge_counts(edges, labels)
 
 
@@ -125,6 +129,50 @@ def no_orphan_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filters.without_orphans(v, _links(spark, sf_dir), 0.6)
 
 
+def _all_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every order's customer and key, as they are."""
+    return table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("a"), F.col("o_orderkey").alias("b")).filter("a <> b")
+
+
+def _whole(name: str) -> str:
+    """The SQL of a query with the links of all orders."""
+    return ORACLE_SQL[name].replace(_LINKS, _ALL_LINKS)
+
+
+_ALL_LINKS = "links as (select o_custkey as a, o_orderkey as b from orders where o_custkey <> o_orderkey), both_ways as (select a, b from links union select b, a from links)"
+
+
+@query()
+def connected_components_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graphs.components(_all_links(spark, sf_dir))
+
+
+@query(_whole("adjacency_lists"))
+def adjacency_lists_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graphs.adjacency(_all_links(spark, sf_dir)).select("v", F.array_join(F.transform("near", lambda x: x.cast("string")), ",").alias("near"))
+
+
+@query(_whole("normalised_edges"))
+def normalised_edges_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graphs.normalise(_all_links(spark, sf_dir))
+
+
+@query(_whole("edge_vertices"))
+def edge_vertices_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graphs.vertices(_all_links(spark, sf_dir))
+
+
+@query(_whole("edge_label_counts"))
+def edge_label_counts_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _label_counts(spark, sf_dir, _all_links(spark, sf_dir))
+
+
+@query(_whole("no_orphan_filter").replace(" where c_custkey < 600", ""))
+def no_orphan_filter_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    v = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("v"), ((F.col("c_custkey") * 37 % 100) / 100.0).alias("occurrence"))
+    return filters.without_orphans(v, _all_links(spark, sf_dir), 0.6)
+
+
 @query(f"{_CLOSURE}, k as (select v from (select a as v from dag union select b from dag) where v % 3 <> 1) select a, b from c where a in (select v from k) and b in (select v from k)")
 def bridged_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     dag = _dag(spark, sf_dir)
