@@ -1,10 +1,11 @@
 """Approximate nearest neighbours by additive quantisation.
 
 A vector is stored as the sum of one codeword from each of M full-dimensional codebooks. Codebooks come from k-means on
-the residuals of a bounded sample (TRAIN vectors at most, the first by hash), and every vector is encoded by a beam
-search that keeps the BEAM best partial sums. Squared norms of the sums are stored beside the codes, for Euclidean
-nearness. A query scores a vector by M look-ups in its table of inner products with the codewords; the DEPTH best of
-each block of vectors are then ranked exactly on the original vectors, in double precision.
+the residuals of a bounded sample (TRAIN vectors or TRAIN_BYTES at most, the first by hash; one task fits them) and are
+then refitted to the sample's codes; every vector is encoded by a beam search that keeps the BEAM best partial sums.
+Squared norms of the sums are stored beside the codes, for Euclidean nearness. A query scores a vector by M look-ups in
+its table of inner products with the codewords; the DEPTH best of each block of vectors are then ranked exactly on the
+original vectors, in double precision.
 
 Equal vectors are one class with its smallest ids, so copies neither crowd out others nor cost anything: a search for k
 neighbours needs k + 1 ids of a class at most. Classes lie in blocks of BLOCK; queries meet every block, in blocks.
@@ -17,6 +18,7 @@ score go to smaller ids. Other columns are not read.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -29,21 +31,34 @@ from pyspark.sql.window import Window
 
 from . import scratch
 
-TRAIN = 16384
+TRAIN, TRAIN_BYTES = 16384, 1 << 23
 BOOKS, WORDS, BEAM = 16, 256, 4
 BLOCK, QUERIES, DEPTH = 16384, 512, 512
 
 
+def _nearest(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
+    """The closest centre of each row, in pieces that bound the table of distances."""
+    norms = (centres**2).sum(axis=1)
+    return np.concatenate([np.argmin(norms - 2 * x[a : a + 1024] @ centres.T, axis=1) for a in range(0, len(x), 1024)])
+
+
+def _means(x: np.ndarray, owner: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """(sum of the rows of each owner, their number)."""
+    counts = np.bincount(owner, minlength=k)
+    order = np.argsort(owner, kind="stable")
+    filled = np.flatnonzero(counts)
+    total = np.zeros((k, x.shape[1]), x.dtype)
+    total[filled] = np.add.reduceat(x[order], (np.cumsum(counts) - counts)[filled], axis=0)
+    return total, counts
+
+
 def _kmeans(x: np.ndarray, k: int, rounds: int, rng: np.random.Generator) -> np.ndarray:
-    """k centres; with fewer rows than k, rows repeat."""
+    """k centres; with fewer rows than k, the rest are zero."""
     centres = x[rng.permutation(len(x))[:k]]
     if len(centres) < k:
         centres = np.concatenate([centres, np.zeros((k - len(centres), x.shape[1]), x.dtype)])
     for _ in range(rounds):
-        near = np.argmin((centres**2).sum(axis=1) - 2 * x @ centres.T, axis=1)
-        counts = np.bincount(near, minlength=k)
-        total = np.zeros_like(centres)
-        np.add.at(total, near, x)
+        total, counts = _means(x, _nearest(x, centres), k)
         filled = counts > 0
         centres[filled] = total[filled] / counts[filled, None]
         centres[~filled] = x[rng.integers(0, len(x), int((~filled).sum()))]
@@ -51,61 +66,83 @@ def _kmeans(x: np.ndarray, k: int, rounds: int, rng: np.random.Generator) -> np.
 
 
 class Quantiser:
+    """M full-dimensional codebooks of K words. Inner products of words are made book by book when first needed, so what
+    travels is the books alone: M * K * d floats."""
+
     def __init__(self, books: np.ndarray):
         self.books = books  # M, K, d
-        m, k, d = books.shape
-        flat = books.reshape(m * k, d)
-        self.cross = (flat @ flat.T).reshape(m, k, m, k)
         self.norms = (books**2).sum(axis=2)
+        self._cross: dict[tuple[int, int], np.ndarray] = {}
+
+    def cross(self, j: int, i: int) -> np.ndarray:
+        if (j, i) not in self._cross:
+            self._cross[j, i] = 2 * self.books[j] @ self.books[i].T
+        return self._cross[j, i]
 
     @classmethod
-    def train(cls, x: np.ndarray, m: int = BOOKS, k: int = WORDS, rounds: int = 5, seed: int = 7) -> Quantiser:
+    def train(cls, x: np.ndarray, m: int = BOOKS, k: int = WORDS, rounds: int = 5, fits: int = 2, sweeps: int = 6, seed: int = 7) -> Quantiser:
         rng = np.random.default_rng(seed)
-        residual, books = x.astype(np.float32).copy(), []
+        x = x.astype(np.float32)
+        residual, books = x.copy(), []
         for _ in range(m):
             books.append(_kmeans(residual, k, rounds, rng))
-            near = np.argmin((books[-1] ** 2).sum(axis=1) - 2 * residual @ books[-1].T, axis=1)
-            residual -= books[-1][near]
-        # The beam finds better codes than the greedy residuals: fit all codewords to them at once.
+            residual -= books[-1][_nearest(residual, books[-1])]
+        # The beam finds better codes than the greedy residuals do: each book in turn takes the least squares for them,
+        # which are the means of what the other books leave.
         out = cls(np.stack(books))
-        gram = 0.5 * np.eye(m * k, dtype=np.float32)
-        target = 0.5 * out.books.reshape(m * k, -1)
-        for a in range(0, len(x), 1024):
-            part = x[a : a + 1024].astype(np.float32)
-            codes, _ = out.encode(part)
-            one_hot = np.zeros((len(part), m * k), np.float32)
+        for _ in range(fits):
+            codes = np.concatenate([out.encode(x[a : a + 1024])[0] for a in range(0, len(x), 1024)]).astype(np.int64)
+            residual = x.copy()
             for i in range(m):
-                one_hot[np.arange(len(part)), i * k + codes[:, i].astype(np.int64)] = 1
-            gram += one_hot.T @ one_hot
-            target += one_hot.T @ part
-        return cls(np.linalg.solve(gram, target).reshape(m, k, -1).astype(np.float32))
+                residual -= out.books[i][codes[:, i]]
+            for i in [*range(m)] * sweeps:
+                own = codes[:, i]
+                total, counts = _means(residual, own, k)
+                move = total / (counts[:, None] + 0.5)
+                out.books[i] += move
+                residual -= move[own]
+            out = cls(out.books)
+        return out
 
     def encode(self, x: np.ndarray, beam: int = BEAM) -> tuple[np.ndarray, np.ndarray]:
         """(codes, squared norm of their sum) of each vector."""
         m, k, _ = self.books.shape
         n = len(x)
-        dots = np.einsum("nd,mkd->nmk", x.astype(np.float32), self.books, optimize=True)
+        x = x.astype(np.float32)
         codes = np.zeros((n, 1, 0), np.int64)
         cost = np.zeros((n, 1), np.float32)  # |sum|^2 - 2 <x, sum>
         for i in range(m):
-            step = self.norms[i][None, None, :] - 2 * dots[:, i][:, None, :]
+            step = (self.norms[i] - 2 * x @ self.books[i].T)[:, None, :]
             for j in range(i):
-                step = step + 2 * self.cross[j, :, i][codes[:, :, j]]
+                step = step + self.cross(j, i)[codes[:, :, j]]
             whole = (cost[:, :, None] + step).reshape(n, -1)
             keep = min(beam, whole.shape[1])
             best = np.argpartition(whole, keep - 1, axis=1)[:, :keep]
             cost = np.take_along_axis(whole, best, axis=1)
             codes = np.concatenate([np.take_along_axis(codes, (best // k)[:, :, None], axis=1), (best % k)[:, :, None]], axis=2)
-        best = np.argmin(cost, axis=1)
-        codes = codes[np.arange(n), best]
-        norm = cost[np.arange(n), best] + 2 * np.take_along_axis(dots, codes[:, :, None], axis=2)[:, :, 0].sum(axis=1)
-        return codes.astype(np.uint8), norm
+        codes = codes[np.arange(n), np.argmin(cost, axis=1)]
+        total = np.zeros_like(x)
+        for i in range(m):
+            total += self.books[i][codes[:, i]]
+        return codes.astype(np.uint8), (total**2).sum(axis=1)
+
+
+_local: dict[str, Quantiser] = {}
+
+
+def _quantiser(shared: Broadcast) -> Quantiser:
+    """The quantiser of this worker process for the books that were sent."""
+    name, books = shared.value
+    if name not in _local:
+        _local.clear()
+        _local[name] = Quantiser(books)
+    return _local[name]
 
 
 @dataclass
 class Index:
     blocks: DataFrame
-    quantiser: Broadcast | None
+    books: Broadcast | None  # (name, M x K x d floats)
 
 
 def valid(vectors: DataFrame, id_col: str, vec_col: str) -> DataFrame:
@@ -125,23 +162,32 @@ def build_index(spark: SparkSession, vectors: DataFrame, id_col: str = "vec_id",
     place = Window.partitionBy("vec").orderBy("vid")
     few = rows.withColumn("r", F.row_number().over(place)).filter(F.col("r") <= k + 1)  # limited before the shuffle too
     classes = scratch.write(few.groupBy("vec").agg(F.sort_array(F.collect_list("vid")).alias("ids")), "vectors")
-    sample = classes.orderBy(F.xxhash64("vec"), "ids").limit(TRAIN).select(F.col("vec").cast("array<float>").alias("vec")).toArrow().column("vec").combine_chunks()
     schema = "block int, n int, dim int, ids array<array<long>>, codes binary, norms binary, vecs binary"
-    if not len(sample):
+    first = classes.select(F.size("vec").alias("d")).first()
+    if first is None:
         return Index(spark.createDataFrame([], schema), None)
-    quantiser = spark.sparkContext.broadcast(Quantiser.train(sample.flatten().to_numpy(zero_copy_only=False).reshape(len(sample), -1)))  # M * K codewords
+    dim = first.d
+    picked = classes.select(F.xxhash64("vec").alias("h"), "ids", F.col("vec").cast("array<float>").alias("vec")).orderBy("h", "ids").limit(max(WORDS, min(TRAIN, TRAIN_BYTES // (4 * dim)))).select("vec")
+
+    def train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        x = np.concatenate([np.asarray(b.column("vec").flatten()).reshape(-1, dim) for b in batches if b.num_rows])
+        yield pa.record_batch([pa.array([Quantiser.train(x).books.tobytes()], pa.binary())], ["books"])
+
+    made = picked.coalesce(1).mapInArrow(train, "books binary").first().books
+    books = spark.sparkContext.broadcast((hashlib.sha256(made).hexdigest(), np.frombuffer(made, np.float32).reshape(BOOKS, WORDS, dim)))
     blocks = max(1, -(-classes.count() // BLOCK))
 
     def run(key: tuple, table: pa.Table) -> pa.Table:
         table = table.sort_by([("first", "ascending")])
         x = np.array(table.column("vec").combine_chunks().flatten()).reshape(table.num_rows, -1)
-        parts = [quantiser.value.encode(x[i : i + 1024]) for i in range(0, len(x), 1024)]
+        quantiser = _quantiser(books)
+        parts = [quantiser.encode(x[i : i + 1024]) for i in range(0, len(x), 1024)]
         codes, norms = np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
         ids = table.column("ids").combine_chunks()
         return pa.table({"block": pa.array([key[0].as_py()], pa.int32()), "n": pa.array([len(x)], pa.int32()), "dim": pa.array([x.shape[1]], pa.int32()), "ids": pa.array([ids.to_pylist()], pa.list_(pa.list_(pa.int64()))), "codes": [codes.tobytes()], "norms": [norms.astype(np.float32).tobytes()], "vecs": [x.tobytes()]})
 
     dealt = classes.select(F.pmod(F.xxhash64("vec"), F.lit(blocks)).cast("int").alias("block"), "vec", "ids", F.col("ids")[0].alias("first"))
-    return Index(scratch.write(dealt.groupBy("block").applyInArrow(run, schema), "index"), quantiser)
+    return Index(scratch.write(dealt.groupBy("block").applyInArrow(run, schema), "index"), books)
 
 
 def _select(scores: np.ndarray, depth: int) -> np.ndarray:
@@ -161,9 +207,9 @@ def search(spark: SparkSession, index: Index, vectors: DataFrame, wanted, id_col
     """The k nearest of each vector that meets the condition ``wanted`` (on a column vid), without itself: query_id,
     rank, vec_id, score. metric: "ip" (largest inner product) or "l2" (smallest squared distance, as negative score)."""
     result = "query_id long, rank int, vec_id long, score double"
-    if index.quantiser is None:
+    if index.books is None:
         return spark.createDataFrame([], result)
-    quantiser = index.quantiser
+    shared = index.books
     queries = valid(vectors, id_col, vec_col).filter(wanted).select("vid", "vec").distinct()
     many = max(1, -(-queries.count() // QUERIES))
     packed = queries.select(F.pmod(F.xxhash64("vid", "vec"), F.lit(many)).alias("part"), F.struct("vid", "vec").alias("q")).groupBy("part").agg(F.sort_array(F.collect_list("q")).alias("qs"))
@@ -173,7 +219,7 @@ def search(spark: SparkSession, index: Index, vectors: DataFrame, wanted, id_col
     pairs = sent.join(index.blocks, "block")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        books = quantiser.value.books.astype(np.float64)
+        books = shared.value[1]
         for batch in batches:
             for i in range(batch.num_rows):
                 row = {c: batch.column(c)[i] for c in ("qs", "n", "dim", "ids", "codes", "norms", "vecs")}
@@ -189,7 +235,7 @@ def search(spark: SparkSession, index: Index, vectors: DataFrame, wanted, id_col
                 out_q, out_v, out_s = [], [], []
                 for a in range(0, len(q), 64):
                     part = q[a : a + 64]
-                    tables = np.einsum("qd,mkd->mqk", part, books, optimize=True).astype(np.float32)
+                    tables = np.einsum("qd,mkd->mqk", part.astype(np.float32), books, optimize=True)
                     scores = tables[0][:, codes[0]]
                     for m in range(1, len(codes)):
                         scores += tables[m][:, codes[m]]
