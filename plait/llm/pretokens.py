@@ -21,11 +21,12 @@ _classes: list[np.ndarray] = []
 
 def classes() -> np.ndarray:
     if not _classes:
-        every = "".join(map(chr, range(sys.maxunicode + 1)))
-        table = np.full(len(every), OTHER, np.uint8)
-        for kind, pattern in ((LETTER, r"\p{L}+"), (NUMBER, r"\p{N}+")):
-            for run in regex.finditer(pattern, every):
-                table[run.start() : run.end()] = kind
+        table = np.full(sys.maxunicode + 1, OTHER, np.uint8)
+        for base in range(0, len(table), 1 << 14):
+            part = "".join(map(chr, range(base, base + (1 << 14))))
+            for kind, pattern in ((LETTER, r"\p{L}+"), (NUMBER, r"\p{N}+")):
+                for run in regex.finditer(pattern, part):
+                    table[base + run.start() : base + run.end()] = kind
         table[WHITE] = SPACE
         _classes.append(table)
     return _classes[0]

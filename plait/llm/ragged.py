@@ -20,7 +20,7 @@ _INVERSE = U64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 _powers: dict[str, np.ndarray] = {"base": np.ones(1, U64), "inverse": np.ones(1, U64)}
 
 
-def cut(batch: pa.RecordBatch, column: str, limit: int = 1 << 20) -> Iterator[pa.RecordBatch]:
+def cut(batch: pa.RecordBatch, column: str, limit: int = 1 << 19) -> Iterator[pa.RecordBatch]:
     """Slices of the batch whose texts hold about ``limit`` bytes, at least one row each."""
     if batch.num_rows == 0:
         return

@@ -6,7 +6,9 @@ in toxic documents mark the toxic words there; everything in clean documents is
 give the toxic spans of any text, and a logistic curve over their strongest and summed values gives the document score.
 
 The model is fitted on at most FIT_DOCS labelled documents of each class (the first by hash of the id, of at most
-FIT_CHARS characters each), a documented bound; rows with crc32(id) mod 3 = 1 never take part. Scores see the text alone.
+FIT_CHARS characters each), a documented bound; rows with crc32(id) mod 3 = 1 never take part, and of near copies among
+the chosen (three of six min-hashes of their word sets seen before) only the first does, so that a group of copies does
+not decide the weights. Scores see the text alone.
 
 Results for odd input: null and empty texts get the score of a text without words; a null id is scored, and is held out
 as the crc32 of no text is not 1 (false); labels that are null or have no document are skipped; without labels of both
@@ -16,6 +18,7 @@ read. Long texts are scored whole.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -43,9 +46,10 @@ class Words:
     starts: np.ndarray
     stops: np.ndarray
     before: np.ndarray
+    ends: np.ndarray  # bounds of the texts, in code points
 
 
-def words_of(flat: np.ndarray, offsets: np.ndarray, spell: bool = True) -> Words:
+def words_of(flat: np.ndarray, offsets: np.ndarray) -> Words:
     """Runs of letters and digits, in lower case."""
     text, points, ends = ragged.codepoints(flat, offsets)
     kind = pretokens.classes()[points] if len(points) else np.zeros(0, np.uint8)
@@ -55,7 +59,7 @@ def words_of(flat: np.ndarray, offsets: np.ndarray, spell: bool = True) -> Words
     starts = np.flatnonzero(inside & (np.append(True, ~inside[:-1]) | edge[:-1])) if len(points) else np.zeros(0, np.int64)
     stops = np.flatnonzero(inside & (np.append(~inside[1:], True) | edge[1:])) + 1 if len(points) else np.zeros(0, np.int64)
     codes, keys, first = ragged.distinct(ragged.segment_hashes(ragged.spread(points), starts, stops))
-    return Words(codes, keys, _Lazy(text, starts[first], stops[first]), starts, stops, np.searchsorted(starts, ends))
+    return Words(codes, keys, _Lazy(text, starts[first], stops[first]), starts, stops, np.searchsorted(starts, ends), ends)
 
 
 class _Lazy:
@@ -85,40 +89,68 @@ def features(words: list[str]) -> np.ndarray:
     return out
 
 
+SEGMENT = 64
+
+
+def _odds(maps: np.ndarray, before: np.ndarray) -> np.ndarray:
+    """Odds behind every place of ragged maps x -> (a x + b) / (c x + d), rows (a, b, c, d), the first of a text from odds
+    1. Places go in step, a segment of each text at a time; what reaches a segment comes from the segments' own products
+    in the same way, so the steps grow with the logarithm of a text's length."""
+    lengths = np.diff(before)
+    many = -(-lengths // SEGMENT)
+    cuts = np.append(0, np.cumsum(many))
+    inside = np.arange(cuts[-1]) - np.repeat(cuts[:-1], many)  # number of the segment in its text
+    first = np.repeat(before[:-1], many) + inside * SEGMENT
+    size = np.minimum(np.repeat(lengths, many) - inside * SEGMENT, SEGMENT)
+    x = np.ones(len(first))
+    if len(first) and many.max() > 1:
+        product = maps[first].copy()
+        for s in range(1, SEGMENT):
+            live = np.flatnonzero(size > s)
+            if not len(live):
+                break
+            (a, b, c, d), (e, f, g, h) = maps[first[live] + s].T, product[live].T
+            joined = np.stack([a * e + b * g, a * f + b * h, c * e + d * g, c * f + d * h], axis=1)
+            product[live] = joined / joined.max(axis=1)[:, None]
+        after = _odds(product, cuts)
+        x[inside > 0] = after[np.flatnonzero(inside > 0) - 1]
+    order = np.argsort(-size, kind="stable")
+    first, size, x = first[order], size[order], x[order]
+    out = np.empty(len(maps))
+    for s in range(int(size[0]) if len(size) else 0):
+        n = int(np.searchsorted(-size, -s, "left"))  # segments longer than s
+        at = first[:n] + s
+        a, b, c, d = maps[at].T
+        x[:n] = (a * x[:n] + b) / (c * x[:n] + d)
+        out[at] = x[:n]
+    return out
+
+
 def marginals(emit: np.ndarray, before: np.ndarray, chain: np.ndarray, pairs: bool = False) -> tuple[np.ndarray, np.ndarray]:
     """(probability of the toxic tag of each word, expected transitions 2 x 2) for ragged emissions (toxic less clean).
-    chain: log weights of transitions. Works in log odds, all texts in step."""
+    chain: log weights of transitions."""
     lengths = np.diff(before)
-    order = np.argsort(-lengths, kind="stable")
-    order = order[lengths[order] > 0]
-    first, many = before[:-1][order], lengths[order]
-    steps = int(many[0]) if len(many) else 0
-    active = np.searchsorted(-many, -np.arange(steps), "left")  # texts longer than t
     t = np.exp(chain)
-
-    def along(r: np.ndarray, t00: float, t01: float, t10: float, t11: float) -> np.ndarray:
-        x = np.exp(np.clip(r, -40, 40))
-        return np.log((t01 + t11 * x) / (t00 + t10 * x))
-
-    forward, backward = np.zeros(len(emit)), np.zeros(len(emit))
-    r = np.zeros(len(many))
-    for s in range(steps):
-        n = active[s]
-        at = first[:n] + s
-        r = (along(r[:n], t[0, 0], t[0, 1], t[1, 0], t[1, 1]) if s else 0.0) + emit[at]
-        forward[at] = r
-    for s in range(steps - 2, -1, -1):
-        n = active[s + 1]
-        nxt = first[:n] + s + 1
-        backward[nxt - 1] = along(emit[nxt] + backward[nxt], t[0, 0], t[1, 0], t[0, 1], t[1, 1])
-    p = 1 / (1 + np.exp(-np.clip(forward + backward, -500, 500)))
+    gain = np.exp(np.clip(emit, -40, 40))
+    heads = before[:-1][lengths > 0]
+    maps = np.stack([t[1, 1] * gain, t[0, 1] * gain, np.full(len(emit), t[1, 0]), np.full(len(emit), t[0, 0])], axis=1)
+    maps[heads] = np.stack([gain[heads], np.zeros(len(heads)), np.zeros(len(heads)), np.ones(len(heads))], axis=1)
+    forward = _odds(maps, before)
+    # From the right, through the mirrored texts: odds of what follows a word, by the word's tag.
+    maps = np.stack([t[1, 1] * gain, np.full(len(emit), t[1, 0]), t[0, 1] * gain, np.full(len(emit), t[0, 0])], axis=1)
+    mirrored = np.empty_like(maps)
+    mirrored[1:] = maps[:0:-1]
+    ends = len(emit) - before[::-1]
+    mirrored[ends[:-1][np.diff(ends) > 0]] = (1, 0, 0, 1)
+    backward = _odds(mirrored, ends)[::-1]
+    odds = forward * backward
+    p = odds / (1 + odds)
     expected = np.zeros((2, 2))
     if pairs and len(emit) > 1:
         follows = np.ones(len(emit), bool)
-        follows[before[:-1][lengths > 0]] = False
+        follows[heads] = False
         right = np.flatnonzero(follows)
-        x = np.exp(np.clip(forward[right - 1], -40, 40))
-        y = np.exp(np.clip(emit[right] + backward[right], -40, 40))
+        x, y = forward[right - 1], gain[right] * backward[right]
         cells = np.stack([t[0, 0] + 0 * x, t[0, 1] * y, t[1, 0] * x, t[1, 1] * x * y])
         expected = (cells / cells.sum(axis=0)).sum(axis=1).reshape(2, 2)
     return p, expected
@@ -172,7 +204,7 @@ def _words_in_parts(texts: list[str]) -> tuple[Words, list[str]]:
         names |= zip(w.keys.tolist(), w.spell[np.arange(len(w.keys))], strict=True)
     codes, distinct, _ = ragged.distinct(np.concatenate(keys))
     none = np.zeros(0, np.int64)
-    return Words(codes, distinct, [], none, none, np.append(0, np.cumsum(np.concatenate(counts)))), [names[k] for k in distinct.tolist()]
+    return Words(codes, distinct, [], none, none, np.append(0, np.cumsum(np.concatenate(counts))), none), [names[k] for k in distinct.tolist()]
 
 
 def _summed(theta: np.ndarray, f: np.ndarray) -> np.ndarray:
@@ -262,7 +294,20 @@ def fit_on(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     return fit([r.text for r in rows], [r.y for r in rows])
 
 
-_memos: dict[int, ragged.Memo] = {}
+_memos: dict[str, ragged.Memo] = {}
+_SPANS = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
+
+
+def _spans(p: np.ndarray, before: np.ndarray, begins: np.ndarray, stops: np.ndarray) -> pa.Array:
+    """For each text its runs of words tagged toxic."""
+    hits = np.flatnonzero(p >= 0.5)
+    owner = np.searchsorted(before, hits, "right") - 1
+    follows = np.append(False, (np.diff(hits) == 1) & (owner[1:] == owner[:-1])) if len(hits) else np.zeros(0, bool)
+    heads = np.flatnonzero(~follows)
+    tails = np.append(heads[1:], len(hits))[: len(heads)] - 1
+    bounds = np.searchsorted(owner[heads], np.arange(len(before)))
+    places = pa.StructArray.from_arrays([pa.array(begins[hits[heads]], pa.int64()), pa.array(stops[hits[tails]], pa.int64())], fields=list(_SPANS.value_type))
+    return pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), places, type=_SPANS)
 
 
 def score(spark: SparkSession, docs: DataFrame, model: Model | None, text_col: str = "text") -> DataFrame:
@@ -270,56 +315,35 @@ def score(spark: SparkSession, docs: DataFrame, model: Model | None, text_col: s
     docs = docs.drop("score", "spans")
     plain = docs.schema
     shared = spark.sparkContext.broadcast(model)  # BUCKETS weights, whatever the corpus
-    token = id(shared)
+    digest = "" if model is None else hashlib.sha256(model.weights.tobytes()).hexdigest()
+
+    def memo_of(digest: str) -> ragged.Memo:
+        """The emissions of known words, kept from task to task by the weights that gave them."""
+        if digest not in _memos:
+            _memos.clear()
+            _memos[digest] = ragged.Memo(np.float64, 1 << 20)
+        return _memos[digest]
+
+    def scored(part: pa.RecordBatch, model: Model | None, memo: ragged.Memo) -> pa.RecordBatch:
+        w = words_of(*ragged.utf8(part.column(text_col)))
 
-    def emissions(model: Model, memo: ragged.Memo, w: Words) -> np.ndarray:
         def make(new: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
             return model.emissions(w.spell[new]), np.arange(len(new) + 1)
 
-        if not len(w.codes):
-            return np.zeros(0)
-        rows = memo.rows(w.keys, make)
-        return memo.flat[rows][w.codes]
+        if model is None:
+            values, spans = np.zeros(part.num_rows), pa.array([[]] * part.num_rows, _SPANS)
+        else:
+            known = memo.rows(w.keys, make) if len(w.keys) else np.zeros(0, np.int64)
+            p, _ = marginals(memo.flat[known][w.codes], w.before, model.chain)
+            heads = w.ends[:-1].repeat(np.diff(w.before))
+            values, spans = model.score(p, w.before), _spans(p, w.before, w.starts - heads, w.stops - heads)
+        return pa.RecordBatch.from_arrays([*(part.column(c) for c in plain.names), pa.array(values), spans], [*plain.names, "score", "spans"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = shared.value
-        if token not in _memos:
-            _memos.clear()
-            _memos[token] = ragged.Memo(np.float64, 1 << 21)
-        memo = _memos[token]
-        kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
-
-        def scored(group: pa.RecordBatch, scores: np.ndarray, spans: list) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([*(group.column(c) for c in plain.names), pa.array(scores), pa.array(spans, kind)], [*plain.names, "score", "spans"])
-
+        model, memo = shared.value, memo_of(digest)
         for batch in batches:
-            for group in ragged.cut(batch, text_col, 1 << 24):
-                n = group.num_rows
-                if model is None:
-                    yield scored(group, np.zeros(n), [[]] * n)
-                    continue
-                emit, counts, places = [], [], []
-                for part in ragged.cut(group, text_col):
-                    flat, offsets = ragged.utf8(part.column(text_col))
-                    w = words_of(flat, offsets)
-                    emit.append(emissions(model, memo, w))
-                    counts.append(np.diff(w.before))
-                    heads = ragged.codepoints(flat, offsets)[2][:-1].repeat(counts[-1])
-                    places.append(np.stack([w.starts - heads, w.stops - heads]).astype(np.int32))
-                before = np.append(0, np.cumsum(np.concatenate(counts)))
-                p, _ = marginals(np.concatenate(emit), before, model.chain)
-                spans: list[list[dict]] = [[] for _ in range(n)]
-                place = np.concatenate(places, axis=1)
-                hits = np.flatnonzero(p >= 0.5)
-                owners = np.searchsorted(before, hits, "right") - 1
-                last = -2
-                for hit, owner in zip(hits.tolist(), owners.tolist(), strict=True):
-                    if hit == last + 1 and spans[owner]:
-                        spans[owner][-1]["end"] = int(place[1, hit])
-                    else:
-                        spans[owner].append({"start": int(place[0, hit]), "end": int(place[1, hit])})
-                    last = hit
-                yield scored(group, model.score(p, before), spans)
+            for part in ragged.cut(batch, text_col):
+                yield scored(part, model, memo)
 
     added = T.StructType.fromDDL("score double, spans array<struct<start:long,end:long>>")
     return docs.mapInArrow(run, T.StructType([*plain.fields, *added.fields]))
