@@ -11,23 +11,27 @@ from __future__ import annotations
 import sys
 
 import numpy as np
-import regex
+from tokenizers import pre_tokenizers
 
 LETTER, NUMBER, SPACE, OTHER = 1, 2, 3, 4
-#: The characters of the Unicode property White_Space.
-WHITE = [*range(0x09, 0x0E), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
 _classes: list[np.ndarray] = []
 
 
 def classes() -> np.ndarray:
+    """The class of every code point as the tokenizer libraries have it: runs of one class among all code points in a row
+    come out as one match of the pattern, and one character of each run, between two others of a class, names it."""
     if not _classes:
+        split = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=True).pre_tokenize_str
         table = np.full(sys.maxunicode + 1, OTHER, np.uint8)
         for base in range(0, len(table), 1 << 14):
-            part = "".join(map(chr, range(base, base + (1 << 14))))
-            for kind, pattern in ((LETTER, r"\p{L}+"), (NUMBER, r"\p{N}+")):
-                for run in regex.finditer(pattern, part):
-                    table[base + run.start() : base + run.end()] = kind
-        table[WHITE] = SPACE
+            points = [c for c in range(base, base + (1 << 14)) if not 0xD800 <= c < 0xE000]
+            if not points:
+                continue
+            for _, (a, b) in split("".join(map(chr, points))):
+                c = chr(points[b - 1])  # a blank may stand before the run
+                kind = next((k for k, x in ((LETTER, "a"), (NUMBER, "1"), (OTHER, "!")) if len(split(x + c + x)) == 1), SPACE)
+                table[points[a] : points[b - 1] + 1] = kind
+        table[0x20] = SPACE
         _classes.append(table)
     return _classes[0]
 

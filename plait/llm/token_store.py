@@ -19,6 +19,7 @@ block); rows that share an id follow one another; empty tables give empty stores
 from __future__ import annotations
 
 import struct
+import sys
 import unicodedata
 import zlib
 from collections.abc import Iterator
@@ -141,17 +142,45 @@ class WordTokenizer:
         self.stand = {byte: shown for shown, byte in byte_symbols().items()}
         self.specials = [t.content for t in self.library.get_added_tokens_decoder().values()]
         self.memo = ragged.Memo(np.int32, 1 << 21)
+        self.odd = self._odd()
+
+    def _odd(self) -> np.ndarray:
+        """Marks code points that this Python's Unicode tables lack, and those that the library lower-cases, orders or
+        composes in another way: alone, between a letter and a mark above or below, and as parts of a composed one."""
+        odd = np.zeros(sys.maxunicode + 1, bool)
+        for base in range(0, len(odd), 1 << 14):
+            points = [c for c in range(base, base + (1 << 14)) if not 0xD800 <= c < 0xE000]
+            odd[points] = [unicodedata.category(chr(c)) == "Cn" for c in points]
+            probes = []
+            for c in (c for c in points if not odd[c] and not chr(c).isspace()):
+                parts = unicodedata.decomposition(chr(c)).split()
+                marks = ["a" + chr(c) + mark for mark in "\u0301\u0323"] if unicodedata.combining(chr(c)) else []
+                whole = ["".join(chr(int(x, 16)) for x in parts)] if len(parts) == 2 and not parts[0].startswith("<") else []
+                probes += [([c], x) for x in (chr(c), *marks)] + [([int(x, 16) for x in parts], x) for x in whole]
+            low = self.library.normalizer.normalize_str("\n".join(x for _, x in probes)).split(" ") if probes else []
+            for (own, x), y in zip(probes, low, strict=True):
+                if y != unicodedata.normalize("NFC", x).replace("Σ", "σ").lower():
+                    odd[own] = True
+        return odd
+
+    def normal(self, flat: np.ndarray, offsets: np.ndarray) -> tuple[str, np.ndarray, np.ndarray]:
+        """(text, code points, offsets) in the library's normal form, but for white space. Python's own functions serve
+        where they agree with the library; other texts go through it."""
+        whole, points, ends = ragged.codepoints(flat, offsets)
+        strange = ragged.sums(self.odd[points], ends) > 0
+        if not strange.any() and "İ" not in whole and unicodedata.is_normalized("NFC", whole):
+            text = whole.replace("Σ", "σ").lower()
+        else:
+            parts = [whole[a:b] for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
+            parts = [self.library.normalizer.normalize_str(p) if lib else unicodedata.normalize("NFC", p).replace("Σ", "σ").lower() for p, lib in zip(parts, strange.tolist(), strict=True)]
+            text, ends = "".join(parts), np.append(0, np.cumsum([len(p) for p in parts])).astype(np.int64)
+        return text, np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32), ends
 
     def encode(self, flat: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ragged ids of each text, as the library's encode() gives them without added special tokens."""
-        whole, points, ends = ragged.codepoints(flat, offsets)
-        found = [s for s in self.specials if s in whole]
-        if not unicodedata.is_normalized("NFC", whole) or "İ" in whole:
-            parts = [unicodedata.normalize("NFC", whole[a:b]).replace("Σ", "σ").lower() for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
-            text, ends = "".join(parts), np.append(0, np.cumsum([len(p) for p in parts])).astype(np.int64)
-        else:
-            text = whole.replace("Σ", "σ").lower()
-        points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+        data = flat.tobytes()
+        found = [m for m in (s.encode() for s in self.specials) if m in data]
+        text, points, ends = self.normal(flat, offsets)
         starts, stops, before = pretokens.word_level(points, ends)
         if len(starts):
             codes, keys, first = ragged.distinct(ragged.segment_hashes(ragged.spread(points), starts, stops))
@@ -171,10 +200,11 @@ class WordTokenizer:
         if not found:
             return ids, out
         # Texts that hold a special token's text go through the library whole.
-        data, each = flat.tobytes(), []
+        each = []
         for i in range(len(offsets) - 1):
-            t = data[offsets[i] : offsets[i + 1]].decode("utf-8", "replace")
-            each.append(np.array(self.library.encode(t, add_special_tokens=False).ids, np.int32) if any(s in t for s in found) else ids[out[i] : out[i + 1]])
+            t = data[offsets[i] : offsets[i + 1]]
+            special = any(m in t for m in found)
+            each.append(np.array(self.library.encode(t.decode("utf-8", "replace"), add_special_tokens=False).ids, np.int32) if special else ids[out[i] : out[i + 1]])
         return np.concatenate(each), np.append(0, np.cumsum([len(x) for x in each])).astype(np.int64)
 
 
