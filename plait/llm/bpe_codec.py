@@ -110,15 +110,26 @@ class Vocabulary:
             at = after[at]
         return out
 
+    def whole(self, flat: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+        """Ids of the words that are tokens as a whole, -1 for others: the perfect hash names the one token that each may
+        be, and the token's own bytes decide."""
+        keys = self.keys_of(flat, offsets)
+        slots = self.hash.slots(keys)
+        ids = self.slot_rank[slots]
+        sizes = np.diff(offsets)
+        may = np.flatnonzero((self.slot_key[slots] == keys) & (np.diff(self.offsets)[ids] == sizes) & (sizes > 0))
+        out = np.full(len(ids), -1)
+        if len(may):
+            token, at = ragged.gather(self.flat, self.offsets, ids[may])
+            own, _ = ragged.gather(flat, offsets, may)
+            out[may] = np.where(np.logical_and.reduceat(token == own, at[:-1]), ids[may], -1)
+        return out
+
     def resolve(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Ragged ids of the words."""
         sizes = np.fromiter(map(len, words), np.int64, len(words))
-        keys = self.keys_of(np.frombuffer(b"".join(words), np.uint8), np.append(0, np.cumsum(sizes)))
-        slots = self.hash.slots(keys)
-        ids = self.slot_rank[slots]
-        whole = self.slot_key[slots] == keys
-        ranks = self.ranks
-        out = [[i] if hit and ranks.get(word) == i else self.merge(word) for word, i, hit in zip(words, ids.tolist(), whole.tolist(), strict=True)]
+        ids = self.whole(np.frombuffer(b"".join(words), np.uint8), np.append(0, np.cumsum(sizes)))
+        out = [[i] if i >= 0 else self.merge(word) for word, i in zip(words, ids.tolist(), strict=True)]
         counts = np.fromiter(map(len, out), np.int64, len(out))
         return np.fromiter((i for x in out for i in x), np.int32, int(counts.sum())), np.append(0, np.cumsum(counts))
 
