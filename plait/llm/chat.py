@@ -1,18 +1,19 @@
 """Chat formatting by prefix-target expansion.
 
 Every assistant turn becomes an example of its own: all preceding turns are its context and only its reply is trainable.
-Examples of a conversation are prefixes of one another, so a row stores what its example adds to the one before (delta)
-and the length of the shared prefix (context_chars); the output grows with the input, not with the square of a
-conversation. expand() writes the prefixes out for trainers that want them.
+Examples of a conversation are prefixes of one another, so format_examples() stores them by pieces: what a piece adds to
+the one before (delta), the length of the prefix that it goes on from (context_chars), and whether an example closes with
+it. The files grow with the input, not with the square of a conversation. expand() reads them as whole examples, one row
+for each reply with its whole context, in a stream; digest() takes its figures from these whole examples.
 
 The template marks the turns; control strings and backslashes inside texts get a backslash before them, which parse()
 takes away again.
 
 Results for odd input: a null text or role reads as empty; turns are ordered by turn (nulls first), then role and text,
 so repeated rows and ties have one order; a null conv_id is a conversation of its own; turns after the last reply, and
-conversations without a reply, are kept in rows without a loss span; empty tables give empty tables; other columns are not
-read. A conversation of any length streams through one task, which holds only what follows the last reply, at most
-about FLUSH characters.
+conversations without a reply, close with a row without a loss span; empty tables give empty tables; other columns are not
+read. A conversation of any length streams through one task, as the order of its turns and the digests of its contract
+need; the task holds about FLUSH characters while formatting, and the conversation's text while reading whole examples.
 """
 
 from __future__ import annotations
@@ -23,16 +24,15 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.window import Window
 
 FLUSH = 1 << 20
 CONTROL = re.compile(r"\\|</?s>|\[/?INST\]|<</?SYS>>|<</?ROLE>>|<<TEXT>>")
 _ESCAPED = re.compile(r"\\(\\|</?s>|\[/?INST\]|<</?SYS>>|<</?ROLE>>|<<TEXT>>)")
 _PIECES = re.compile(rf"{_ESCAPED.pattern}|(</?s>|\[/?INST\]|<</?SYS>>|<</?ROLE>>|<<TEXT>>)")
 
-EXAMPLES = "conv_id long, example long, target_turn long, context_chars long, delta string, loss_start long, loss_end long"
+PIECES = "conv_id long, piece long, target_turn long, context_chars long, delta string, loss_start long, loss_end long, closes boolean"
+EXAMPLES = "conv_id long, example long, target_turn long, text string, loss_start long, loss_end long"
 
 
 def escape(text: str) -> str:
@@ -50,11 +50,11 @@ def render(role: str, text: str) -> tuple[str, int, int]:
     return head + own + tail, len(head), len(head) + len(own)
 
 
-def parse(formatted: str) -> Iterator[tuple[str, str]]:
-    """(role, text) of each turn of formatted turns."""
+def parse(formatted: str, begin: int = 0) -> Iterator[tuple[str, str]]:
+    """(role, text) of each turn of formatted turns, from a place between two turns on."""
     roles = {"<<SYS>>": "system", "[INST]": "user", "<s>": "assistant"}
-    role, begin, name = "", 0, ""
-    for m in _PIECES.finditer(formatted):
+    role, name = "", ""
+    for m in _PIECES.finditer(formatted, begin):
         mark = m[2]
         if mark is None:
             continue
@@ -68,98 +68,132 @@ def parse(formatted: str) -> Iterator[tuple[str, str]]:
             yield (name if mark == "<</ROLE>>" else role), unescape(formatted[begin : m.start()])
 
 
+def _batch(rows: list[tuple], schema: str) -> pa.RecordBatch:
+    fields = [x.split() for x in schema.split(", ")]
+    kinds = {"long": pa.int64(), "string": pa.string(), "boolean": pa.bool_()}
+    return pa.RecordBatch.from_arrays([pa.array(x, kinds[k]) for x, (_, k) in zip(zip(*rows, strict=True), fields, strict=True)], [n for n, _ in fields])
+
+
 def _format(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    schema = pa.schema([(n, pa.string() if n == "delta" else pa.int64()) for n in ("conv_id", "example", "target_turn", "context_chars", "delta", "loss_start", "loss_end")])
     out: list[tuple] = []
     held = 0
     conv: object = _format  # no conversation yet
-    example = context = size = 0
+    piece = context = size = 0
     delta: list[str] = []
+    closed = True
 
-    def rest() -> Iterator[tuple]:
-        if delta:
-            yield conv, example, None, context, "".join(delta), None, None
+    def close(turn: int | None, loss: tuple[int | None, int | None], closes: bool) -> None:
+        nonlocal piece, context, size, held, closed
+        whole = "".join(delta)
+        out.append((conv, piece, turn, context, whole, *loss, closes))
+        piece, context, size, held, closed = piece + 1, context + len(whole), 0, held + len(whole), closes
+        delta.clear()
+
+    def rest() -> None:
+        if delta or not closed:
+            close(None, (None, None), True)
 
     for batch in batches:
         for c, turn, role, text in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
             if c != conv:
-                out += rest()
-                conv, example, context, size = c, 0, 0, 0
-                delta.clear()
+                rest()
+                conv, piece, context, size, closed = c, 0, 0, 0, True
             shown, begin, end = render(role or "", text or "")
+            base = context + size
             delta.append(shown)
-            if role == "assistant" or size + len(shown) > FLUSH:
-                whole = "".join(delta)
-                base = context + len(whole) - len(shown)
-                out.append((conv, example, turn if role == "assistant" else None, context, whole, base + begin if role == "assistant" else None, base + end if role == "assistant" else None))
-                example, context, size = example + 1, context + len(whole), 0
-                held += len(whole)
-                delta.clear()
-            else:
-                size += len(shown)
+            size += len(shown)
+            closed = False
+            if role == "assistant":
+                close(turn, (base + begin, base + end), True)
+            elif size > FLUSH:
+                close(None, (None, None), False)
             if held > FLUSH or len(out) > 4096:
-                yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*out, strict=True), schema, strict=True)], schema=schema)
+                yield _batch(out, PIECES)
                 out, held = [], 0
-    out += rest()
+    rest()
     if out:
-        yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*out, strict=True), schema, strict=True)], schema=schema)
+        yield _batch(out, PIECES)
 
 
 def format_examples(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text") -> DataFrame:
-    """One row per assistant turn (target_turn, and its loss span in the whole example), in order of example; rows
-    without a loss span hold the turns that no reply follows. One shuffle, of the turns by conversation."""
+    """The examples of all conversations, by pieces: a row closes an example of an assistant turn (target_turn, with its
+    loss span in the whole example), or holds turns that no reply follows. One shuffle, of the turns by conversation."""
     t = turns.select(turns[conv_col].cast("long").alias("c"), turns[turn_col].cast("long").alias("t"), turns[role_col].alias("r"), turns[text_col].alias("x"))
-    return t.repartition("c").sortWithinPartitions("c", "t", "r", "x").mapInArrow(_format, EXAMPLES)
+    return t.repartition("c").sortWithinPartitions("c", "t", "r", "x").mapInArrow(_format, PIECES)
+
+
+def _expand(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    out: list[tuple] = []
+    conv: object = _expand
+    example = held = 0
+    whole = ""
+    for batch in batches:
+        for c, turn, context, delta, start, end, closes in zip(*(batch.column(n).to_pylist() for n in ("conv_id", "target_turn", "context_chars", "delta", "loss_start", "loss_end", "closes")), strict=True):
+            if c != conv:
+                conv, example, whole = c, 0, ""
+            if context != len(whole):
+                raise ValueError(f"pieces of conversation {c} are missing")
+            whole += delta
+            if closes:
+                out.append((c, example, turn, whole, start, end))
+                example, held = example + 1, held + len(whole)
+            if held > FLUSH or len(out) > 4096:
+                yield _batch(out, EXAMPLES)
+                out, held = [], 0
+    if out:
+        yield _batch(out, EXAMPLES)
 
 
-def expand(examples: DataFrame) -> DataFrame:
-    """Examples with their whole text instead of the delta."""
-    so_far = Window.partitionBy("conv_id").orderBy("example").rowsBetween(Window.unboundedPreceding, 0)
-    return examples.withColumn("text", F.concat_ws("", F.collect_list("delta").over(so_far))).filter("loss_start is not null").drop("delta")
+def expand(pieces: DataFrame) -> DataFrame:
+    """Whole examples from their pieces: one row for each assistant turn, all that came before it and its reply in text,
+    and a last row without a loss span where turns follow the last reply. Sorted by conversation and example within a
+    partition, which holds conversations whole."""
+    return pieces.repartition("conv_id").sortWithinPartitions("conv_id", "piece").mapInArrow(_expand, EXAMPLES)
+
+
+DIGEST = "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long"
 
 
 def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    names = ["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"]
     out: list[tuple] = []
     conv: object = _digest
     turns = chars = shown = 0
+    before = ""
     all_turns, loss = hashlib.sha256(), hashlib.sha256()
 
-    def done() -> Iterator[tuple]:
+    def done() -> None:
         if conv is not _digest:
-            yield conv, turns, all_turns.hexdigest(), chars, loss.hexdigest(), shown
-
-    def packed() -> pa.RecordBatch:
-        kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64()]
-        return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*out, strict=True), kinds, strict=True)], names)
+            out.append((conv, turns, all_turns.hexdigest(), chars, loss.hexdigest(), shown))
 
     for batch in batches:
-        for c, context, delta, start, end in zip(*(batch.column(n).to_pylist() for n in ("conv_id", "context_chars", "delta", "loss_start", "loss_end")), strict=True):
+        for c, example, start, end in zip(*(batch.column(n).to_pylist() for n in ("conv_id", "text", "loss_start", "loss_end")), strict=True):
             if c != conv:
-                out += done()
-                conv, turns, chars, shown = c, 0, 0, 0
+                done()
+                conv, turns, chars, shown, before = c, 0, 0, 0, ""
                 all_turns, loss = hashlib.sha256(), hashlib.sha256()
-            for role, text in parse(delta):
+            if not example.startswith(before):
+                raise ValueError(f"an example of conversation {c} does not go on from the one before")
+            shown += len(example)
+            for role, text in parse(example, len(before)):  # the turns before are those of the last example
                 turns += 1
                 all_turns.update(f"{role}\n{text}\n".encode("utf-8", "surrogatepass"))
             if start is not None:
-                learnt = unescape(delta[start - context : end - context])
+                learnt = unescape(example[start:end])
                 chars += len(learnt)
                 loss.update(learnt.encode("utf-8", "surrogatepass"))
-                shown += context
-            shown += len(delta)
+            before = example
         if len(out) > 4096:
-            yield packed()
+            yield _batch(out, DIGEST)
             out = []
-    out += done()
+    done()
     if out:
-        yield packed()
+        yield _batch(out, DIGEST)
 
 
-def digest(examples: DataFrame) -> DataFrame:
-    """Reads examples back: for each conversation its turns, the text under the loss mask, and the characters of all its
-    whole examples and remaining turns."""
-    return examples.repartition("conv_id").sortWithinPartitions("conv_id", "example").mapInArrow(_digest, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
+def digest(pieces: DataFrame) -> DataFrame:
+    """Reads whole examples back: for each conversation its turns, the text under the loss mask, and the characters of
+    all its examples, with a last one of the turns that no reply follows."""
+    return expand(pieces).mapInArrow(_digest, DIGEST)
 
 
 #: Turns that hold control strings themselves, to be formatted with a table as a probe.

@@ -340,7 +340,8 @@ def test_token_counts(spark):
     assert token_counts.count_tokens(spark, odd.empty(spark), BYTE).count() == 0
 
 
-def test_chat(spark):
+@pytest.mark.parametrize("flush", [20, 1 << 20])
+def test_chat(spark, monkeypatch, flush):
     rng = random.Random(6)
     pieces = ["<", "s", ">", "/", "[", "INST", "]", "\\", "<<", "SYS", ">>", "<s>", "</s>", "[/INST]", "TEXT", "é\n"]
     rows = []
@@ -349,6 +350,7 @@ def test_chat(spark):
             rows.append((c, t, rng.choice(["user", "assistant", "system", "tool", None]), rng.choice([None, "".join(rng.choice(pieces) for _ in range(rng.randrange(9)))])))
     rows += [(None, 0, "user", "x"), (99, None, "assistant", "y"), (99, 1, "assistant", "z"), (99, 1, "assistant", "z")]
     turns = spark.createDataFrame([(*r, 5) for r in rows], "conv_id long, turn long, role string, text string, example int")
+    monkeypatch.setattr(chat, "FLUSH", flush)
     examples = chat.format_examples(turns)
     got = {r.conv_id: r for r in chat.digest(examples).collect()}
     by = collections.defaultdict(list)
@@ -362,9 +364,20 @@ def test_chat(spark):
         assert (got[c].n_turns, got[c].loss_chars) == (len(own), len(learnt))
         assert got[c].turns_sha256 == hashlib.sha256(shown.encode()).hexdigest()
         assert got[c].loss_sha256 == hashlib.sha256(learnt.encode()).hexdigest()
+    chars = collections.Counter()
+    replies = collections.Counter()
     for r in chat.expand(examples).collect():
         whole = list(chat.parse(r.text))
-        assert whole[-1] == ("assistant", chat.unescape(r.text[r.loss_start : r.loss_end]))
+        chars[r.conv_id] += len(r.text)
+        own = [(x[2] or "", x[3] or "") for x in by[r.conv_id]]
+        assert whole == own[: len(whole)]
+        if r.loss_start is not None:
+            assert whole[-1] == ("assistant", chat.unescape(r.text[r.loss_start : r.loss_end]))
+            replies[r.conv_id] += 1
+        else:
+            assert len(whole) == len(own) and own[-1][0] != "assistant"
+    assert {c: got[c].formatted_chars for c in by} == chars
+    assert replies == collections.Counter(r[0] for r in rows if r[2] == "assistant")
     assert chat.digest(chat.format_examples(turns.limit(0))).count() == 0
 
 
