@@ -1,9 +1,11 @@
 """Line dedup over levelled sorted runs of line hashes.
 
-A run is a table of line keys, sorted by their 128-bit hash: documents that hold the key in that batch, and, where the
-batch was the first to hold it, the largest document. Each batch merge-anti-joins the runs to tell new keys from known
-ones and is then added as a run of level 0; FANOUT runs of a level are compacted into one of the next. Batches go from
-large ids to small ones, so the batch that brings a key also holds the document that keeps its lines.
+Batches of documents go from large ids to small ones, and a batch's line keys come to one row a key with the number of
+its documents and the largest of them, bucketed and sorted by 128-bit hash. Each batch merge-anti-joins the runs so far:
+the keys that no run holds are new and become a run of level 0; FANOUT runs of a level are compacted into one of the
+next. So a key lies in one run only, with the document that brought it, the largest of all. Runs and batches share their
+buckets, so the joins move no rows of a run. Runs are kept under a folder and can be opened again for later batches, of
+smaller ids.
 
 A key is the line without ASCII white space at both ends and with A-Z in lower case. Keys of at least ``min_chars`` code
 points in at least ``min_docs`` documents lose their lines everywhere but in the largest document.
@@ -13,19 +15,24 @@ for counting and keep their own texts; a null id counts as smaller than any othe
 all columns of docs are kept, whatever their names, and n_lines and n_dropped replace columns of these names. A document
 that loses every line stays with an empty text.
 
-All steps are DataFrame functions. Keys are counted per document and then with map-side sums, so a line that a third of
-all documents hold costs each task one row; texts are shuffled once, by document.
+All steps are DataFrame functions. Counts are summed before they are shuffled. Lines of the few keys that hold more than a
+HEAVY-th of all lines meet their key by broadcast (HEAVY keys at most), others by hash, so no task gets a hot line's rows.
+Texts are shuffled once, by document.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import uuid
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import scratch
 
 FANOUT = 3
-BATCHES = 4
+#: Batches: BATCHES at least, and so many that a task gets about KEYS lines of one.
+BATCHES, KEYS = 4, 1 << 20
+HEAVY = 1024
 BLANK = " \t\n\x0b\x0c\r"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _LEAST = -(1 << 63)
@@ -39,82 +46,131 @@ def key(line: Column) -> Column:
     return F.translate(F.btrim(line, F.lit(BLANK)), UPPER, LOWER)
 
 
-def key_hash(line: Column, min_chars: int) -> Column:
-    """struct(h1, h2) of the line's key, null for keys that are too short."""
-    k = key(line)
-    return F.when(F.char_length(k) >= min_chars, F.struct(F.xxhash64(k).alias("h1"), F.xxhash64(F.lit(7), k, F.lit(11)).alias("h2")))
-
-
 class Runs:
-    """Levelled sorted runs: rows (h1, h2, n, last), where last is null unless the run's batch brought the key."""
-
-    def __init__(self, fanout: int = FANOUT):
-        self.fanout = fanout
-        self.levels: list[list[DataFrame]] = []
-
-    def all(self) -> DataFrame | None:
-        every = [run for level in self.levels for run in level]
-        out = None
-        for run in every:
-            out = run if out is None else out.unionByName(run)
-        return out
-
-    def add(self, batch: DataFrame) -> None:
-        """batch: rows (h1, h2, n, last), one for each key."""
-        known = self.all()
-        if known is not None:
-            brought = known.filter("last is not null").select("h1", "h2", F.lit(True).alias("known"))
-            new = batch.join(brought.hint("merge"), ["h1", "h2"], "left_anti")
-            old = batch.join(brought.hint("merge"), ["h1", "h2"], "left_semi").withColumn("last", F.lit(None).cast("long"))
-            batch = new.unionByName(old)
-        self._put(batch, 0)
-
-    def _put(self, rows: DataFrame, level: int) -> None:
-        if level == len(self.levels):
+    """Levelled sorted runs under a folder: rows (h1, h2, n, last), each key in one run. They are bucketed by the hash;
+    names in the session's catalogue tell Spark so, until close()."""
+
+    ROWS = "h1 long, h2 long, n long, last long"
+
+    def __init__(self, spark: SparkSession, root: str | None = None, buckets: int | None = None, fanout: int = FANOUT):
+        self.spark, self.fanout = spark, fanout
+        self.root = root or scratch.path(spark, "runs")
+        self.buckets = buckets or max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+        self.names: list[str] = []
+        self.levels: list[list[str]] = []  # names of runs in the folder
+        for name in sorted(scratch.names(spark, self.root)):
+            level, buckets, _ = name.split("-")
+            self.buckets = int(buckets)
+            self._level(int(level)).append(name)
+        self.opened: dict[str, DataFrame] = {}
+
+    def _level(self, level: int) -> list[str]:
+        while len(self.levels) <= level:
             self.levels.append([])
-        self.levels[level].append(scratch.write(rows.sortWithinPartitions("h1", "h2"), f"run{level}"))
-        if len(self.levels[level]) >= self.fanout:
-            runs, self.levels[level] = self.levels[level], []
-            merged = runs[0]
-            for run in runs[1:]:
-                merged = merged.unionByName(run)
-            self._put(_totals(merged), level + 1)
-
-    def totals(self) -> DataFrame:
-        return _totals(self.all())
-
+        return self.levels[level]
+
+    def _open(self, path: str) -> DataFrame:
+        if path not in self.opened:
+            name = f"plait_{uuid.uuid4().hex}"
+            self.spark.sql(f"create table {name} ({self.ROWS}) using parquet clustered by (h1, h2) sorted by (h1, h2) into {self.buckets} buckets location '{path}'")
+            self.names.append(name)
+            self.opened[path] = self.spark.table(name)
+        return self.opened[path]
+
+    def store(self, rows: DataFrame, path: str, dealt: bool = False) -> DataFrame:
+        """rows written to a bucketed table at path; dealt: they lie by bucket already."""
+        name = f"plait_{uuid.uuid4().hex}"
+        rows = rows if dealt else rows.repartition(self.buckets, "h1", "h2")
+        rows.select("h1", "h2", "n", "last").write.bucketBy(self.buckets, "h1", "h2").sortBy("h1", "h2").option("path", path).option("parquet.block.size", scratch.ROW_GROUP).saveAsTable(name)
+        self.names.append(name)
+        self.opened[path] = self.spark.table(name)
+        return self.opened[path]
+
+    def every(self) -> list[DataFrame]:
+        return [self._open(f"{self.root}/{name}") for level in self.levels for name in level]
 
-def _totals(rows: DataFrame) -> DataFrame:
-    return rows.groupBy("h1", "h2").agg(F.sum("n").alias("n"), F.max("last").alias("last"))
-
-
-def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 20, min_docs: int = 3, batches: int = BATCHES) -> DataFrame:
-    """docs with text_col cleaned, and columns n_lines (before) and n_dropped."""
-    own = F.coalesce(docs[id_col].cast("long"), F.lit(_LEAST))
-    found = docs.select(own.alias("doc"), F.explode(F.array_distinct(F.transform(lines(docs[text_col]), lambda x: key_hash(x, min_chars)))).alias("k"))
-    held = scratch.write(found.filter("k is not null").select("doc", "k.h1", "k.h2"), "line-keys")
-    cuts = held.select(F.percentile_approx("doc", [i / batches for i in range(1, batches)], 1000)).first()[0] if batches > 1 else None
-    bounds = sorted({*(cuts or [])}, reverse=True)
-    runs = Runs()
+    def add(self, batch: DataFrame) -> None:
+        """batch: a bucketed table of store(), one row for each key. Only keys that no run holds are added."""
+        new = batch
+        for run in self.every():
+            new = new.join(run.select("h1", "h2").hint("merge"), ["h1", "h2"], "left_anti")
+        self._put(new, 0, True)
+
+    def _put(self, rows: DataFrame, level: int, dealt: bool) -> None:
+        name = f"{level}-{self.buckets}-{uuid.uuid4().hex}"
+        self.store(rows, f"{self.root}/{name}", dealt)
+        own = self._level(level)
+        own.append(name)
+        if len(own) >= self.fanout:
+            merged = _union([self._open(f"{self.root}/{x}") for x in own])
+            old = list(own)
+            own.clear()
+            self._put(merged, level + 1, False)
+            for x in old:
+                scratch.remove(self.spark, f"{self.root}/{x}")
+                del self.opened[f"{self.root}/{x}"]
+
+    def close(self) -> None:
+        """Takes the names from the catalogue; the files stay."""
+        for name in self.names:
+            self.spark.sql(f"drop table if exists {name}")
+        self.names, self.opened = [], {}
+
+
+def _union(parts: list[DataFrame]) -> DataFrame:
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out
+
+
+def common_keys(held: DataFrame, min_docs: int, batches: int) -> tuple[DataFrame, int]:
+    """((h1, h2, n, last) of the keys in at least min_docs documents, number of lines) for lines (doc, h1, h2)."""
+    spark = held.sparkSession
+    marks = [i / 256 for i in range(1, 256)]
+    seen = held.agg(F.count("*").alias("n"), F.percentile_approx("doc", marks, 10_000).alias("cuts")).first()
+    runs = Runs(spark)
+    many = min(256, max(batches, -(-seen.n // (KEYS * runs.buckets))))
+    cuts = seen.cuts or []
+    bounds = sorted({cuts[min(254, 256 * i // many - 1)] for i in range(1, many)}, reverse=True) if cuts else []
+    ledger = []
     for i in range(len(bounds) + 1):
         part = held
         if i < len(bounds):
             part = part.filter(F.col("doc") > bounds[i])
         if i:
             part = part.filter(F.col("doc") <= bounds[i - 1])
-        by_doc = part.groupBy("h1", "h2", "doc").agg(F.lit(1).alias("n"))
-        runs.add(by_doc.groupBy("h1", "h2").agg(F.count("*").alias("n"), F.max("doc").alias("last")))
-    common = runs.totals().filter(F.col("n") >= min_docs)
-    lost = held.join(common, ["h1", "h2"]).filter(F.col("doc") < F.col("last")).groupBy("doc").agg(F.collect_set(F.struct("h1", "h2")).alias("lost"))
+        batch = part.groupBy("h1", "h2").agg(F.count_distinct("doc").alias("n"), F.max("doc").alias("last"))
+        ledger.append(runs.store(batch, scratch.path(spark, "batch")))
+        runs.add(ledger[-1])
+    counts = _union(ledger).groupBy("h1", "h2").agg(F.sum("n").alias("n")).filter(F.col("n") >= min_docs)
+    first = _union(runs.every()).select("h1", "h2", "last")
+    common = scratch.write(counts.join(first, ["h1", "h2"]), "common")
+    runs.close()
+    return common, seen.n
+
+
+def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 20, min_docs: int = 3, batches: int = BATCHES) -> DataFrame:
+    """docs with text_col cleaned, and columns n_lines (before) and n_dropped."""
+    own, mark = F.coalesce(docs[id_col].cast("long"), F.lit(_LEAST)), F.xxhash64(docs[text_col])
+    found = docs.select(own.alias("doc"), mark.alias("mark"), F.posexplode(lines(docs[text_col])).alias("pos", "line"))
+    keyed = found.select("doc", "mark", "pos", key(F.col("line")).alias("k")).filter(F.char_length("k") >= min_chars)
+    held = scratch.write(keyed.select("doc", "mark", "pos", F.xxhash64("k").alias("h1"), F.xxhash64(F.lit(7), "k", F.lit(11)).alias("h2")), "line-keys")
+    common, rows = common_keys(held.select("doc", "h1", "h2"), min_docs, batches)
+    heavy = F.broadcast(common.filter(F.col("n") * HEAVY > rows))  # fewer than HEAVY, as n documents have n lines at least
+    hot = held.join(heavy, ["h1", "h2"])
+    rest = held.join(heavy, ["h1", "h2"], "left_anti").join(common.filter(F.col("n") * HEAVY <= rows), ["h1", "h2"])
+    lost = hot.unionByName(rest).filter(F.col("doc") < F.col("last")).groupBy("doc", "mark").agg(F.collect_set("pos").alias("lost"))
 
     kept = [c for c in docs.columns if c not in ("n_lines", "n_dropped")]
-    packed = docs.select(own.alias("doc"), F.struct(*[docs[c] for c in kept]).alias("row"))
-    both = packed.join(lost, "doc", "left")
-    every = lines(F.col("row")[text_col])
-    stays = F.when(F.col("lost").isNull(), every).otherwise(F.filter(every, lambda x: ~F.coalesce(F.array_contains(F.col("lost"), key_hash(x, min_chars)), F.lit(False))))
-    split = both.select("row", F.size(every).cast("long").alias("n_lines"), stays.alias("stays"))
-    columns = [F.array_join("stays", "\n").alias(c) if c == text_col else F.col("row")[c].alias(c) for c in kept]
-    return split.select(*columns, "n_lines", (F.col("n_lines") - F.size("stays")).alias("n_dropped"))
+    packed = docs.select(own.alias("doc"), mark.alias("mark"), F.struct(*[docs[c] for c in kept]).alias("row"))
+    both = packed.join(lost, ["doc", "mark"], "left")
+    text = F.coalesce(F.col("row")[text_col], F.lit(""))
+    split = both.select("row", lines(text).alias("every"), "lost")
+    stays = F.transform(F.array_except(F.sequence(F.lit(0), F.size("every") - 1), F.col("lost")), lambda i: F.col("every")[i])
+    cleaned = F.when(F.col("lost").isNull(), text).otherwise(F.array_join(stays, "\n"))
+    columns = [cleaned.alias(c) if c == text_col else F.col("row")[c].alias(c) for c in kept]
+    return split.select(*columns, F.size("every").cast("long").alias("n_lines"), F.when(F.col("lost").isNull(), 0).otherwise(F.size("lost")).cast("long").alias("n_dropped"))
 
 
 SQL = """

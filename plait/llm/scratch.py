@@ -38,9 +38,23 @@ def write(df: DataFrame, name: str, compression: str = "zstd") -> DataFrame:
     return spark.read.schema(df.schema).parquet(to)
 
 
+def _where(spark: SparkSession, path: str) -> tuple:
+    found = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return found.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), found
+
+
+def names(spark: SparkSession, path: str) -> list[str]:
+    """Names of what lies in a folder, none if there is no such folder."""
+    files, where = _where(spark, path)
+    return [x.getPath().getName() for x in files.listStatus(where)] if files.exists(where) else []
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    files, where = _where(spark, path)
+    files.delete(where, True)
+
+
 def clear(spark: SparkSession) -> None:
     """Removes all intermediate tables of this session; results that still read them must have been written."""
-    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
     while _made:
-        where = jvm.org.apache.hadoop.fs.Path(_made.pop())
-        where.getFileSystem(conf).delete(where, True)
+        remove(spark, _made.pop())
