@@ -4,11 +4,13 @@
 2. Every string of WIDTH bytes is filed under its anchor, the least hash among its GRAM-byte substrings. Equal strings
    have equal anchors, and neighbouring strings share theirs, so a record is an anchor with a run of starts and the
    bytes under them. Records move once, as hashes, by anchor; of equal records all but the first are covered whole, as
-   equal texts are. Bytes move only for the distinct records of anchors that have several.
+   equal texts are. Bytes move only for the distinct records of anchors that have several. Anchors that a sample shows
+   to be hot are dealt further, by the least hashes in ORDERS orders, and their rows are summed before they move.
 3. These are dealt to shards by anchor, in order of document and place, and each shard's suffixes are sorted by
    induction: the leftmost smaller (LMS) suffixes are ordered, then queues of suffixes, one for each leading byte and
    filled in order, induce all others, from left to right and back. Queues carry places and common-prefix values and
-   spill to disk beyond a bound. Neighbours with a common prefix of WIDTH bytes form groups whose first stays.
+   lie on disk beyond SPILL bytes, as the text does; neighbours with a common prefix of WIDTH bytes form groups whose
+   first stays. A shard larger than SHARD, of one anchor with many surroundings, takes a few bytes of memory a byte.
 
 Order matters to a depth of WIDTH bytes only, so LMS suffixes are ordered by refinement in words of eight bytes to that
 depth, in place of a recursion on names (see the README).
@@ -20,6 +22,7 @@ gives an empty table; other columns are not read. Matches never cross texts, whi
 
 from __future__ import annotations
 
+import collections
 import tempfile
 from collections.abc import Iterator
 
@@ -31,65 +34,87 @@ from pyspark.sql import functions as F
 from . import ragged, scratch
 
 WIDTH, GRAM = 100, 40
-SHARD = 1 << 20
-SPILL = 1 << 26
+SHARD = 1 << 22
+SPILL = 1 << 23
+CHUNK = 1 << 19
+SAMPLE, HEAVY, ORDERS = 64, 1024, 4
 SLOTS = 1 << 18
 
 
 class Queue:
-    """Places and common-prefix values in order; chunks beyond a shared bound lie on disk until they are taken."""
+    """Places and common-prefix values of one leading symbol, in order. What all queues of a task hold beyond SPILL bytes
+    lies in files of that task's own, without a name, that go with it like Spark's own spill files; a lost task is done
+    again from its input. Chunks come back one at a time."""
 
     held = 0
 
     def __init__(self):
-        self.chunks: list = []
+        self.chunks: collections.deque = collections.deque()
 
     def put(self, places: np.ndarray, common: np.ndarray) -> None:
         size = places.nbytes + common.nbytes
         if Queue.held + size > SPILL:
-            f = tempfile.TemporaryFile()
-            np.save(f, places)
-            np.save(f, common)
-            self.chunks.append(f)
+            last = self.chunks[-1] if self.chunks else None
+            if not isinstance(last, list) or last[1] >= CHUNK:
+                last = [tempfile.TemporaryFile(), 0, []]
+                self.chunks.append(last)
+            last[0].write(places.tobytes() + common.tobytes())
+            last[1] += len(places)
+            last[2].append(len(places))
         else:
             Queue.held += size
             self.chunks.append((places, common))
 
-    def take(self) -> tuple[np.ndarray, np.ndarray]:
-        out = []
-        for c in self.chunks:
-            if isinstance(c, tuple):
-                Queue.held -= c[0].nbytes + c[1].nbytes
-                out.append(c)
-            else:
-                c.seek(0)
-                out.append((np.load(c), np.load(c)))
-                c.close()
-        self.chunks = []
-        if not out:
-            return np.zeros(0, np.int64), np.zeros(0, np.uint8)
-        return np.concatenate([a for a, _ in out]), np.concatenate([b for _, b in out])
+    @staticmethod
+    def _load(chunk) -> tuple[np.ndarray, np.ndarray]:
+        if isinstance(chunk, tuple):
+            Queue.held -= chunk[0].nbytes + chunk[1].nbytes
+            return chunk
+        f, _, sizes = chunk
+        f.seek(0)
+        data, out, at = f.read(), [], 0
+        f.close()
+        for n in sizes:
+            out.append((np.frombuffer(data, np.int64, n, at), np.frombuffer(data, np.uint8, n, at + 8 * n)))
+            at += 9 * n
+        return np.concatenate([p for p, _ in out]), np.concatenate([c for _, c in out])
+
+    def take(self) -> tuple[np.ndarray, np.ndarray] | None:
+        """The first chunks, of about CHUNK places; None when there are none."""
+        out, n = [], 0
+        while self.chunks and n < CHUNK:
+            out.append(self._load(self.chunks.popleft()))
+            n += len(out[-1][0])
+        return (np.concatenate([p for p, _ in out]), np.concatenate([c for _, c in out])) if out else None
+
+    def take_last(self) -> tuple[np.ndarray, np.ndarray] | None:
+        """The last chunk."""
+        return self._load(self.chunks.pop()) if self.chunks else None
 
 
 def _kinds(text: np.ndarray) -> np.ndarray:
-    """True for S-type suffixes (smaller than the next); the last counts as S."""
+    """1 for S-type suffixes (smaller than the next), 0 for others; the last counts as S. Made from the right, a chunk at
+    a time."""
     n = len(text)
-    differs = np.flatnonzero(text[:-1] != text[1:])
-    out = np.ones(n, bool)
-    if n > 1:
-        nxt = np.searchsorted(differs, np.arange(n - 1))
-        known = nxt < len(differs)
-        at = differs[np.minimum(nxt, max(len(differs) - 1, 0))] if len(differs) else np.zeros(n - 1, np.int64)
-        out[:-1] = np.where(known, text[at] < text[np.minimum(at + 1, n - 1)], False)
+    out = np.ones(n, np.uint8)
+    after = np.uint8(1)  # the type of the place behind the chunk
+    for a in range((n - 2) // CHUNK * CHUNK, -1, -CHUNK):
+        here, there = text[a : min(a + CHUNK, n - 1)], text[a + 1 : min(a + CHUNK, n - 1) + 1]
+        m = len(here)
+        # The next place whose successor differs decides; behind the last one, what follows the chunk does.
+        decides = np.append(np.flatnonzero(here != there), m)
+        value = np.append((here < there)[decides[:-1]].astype(np.uint8), after)
+        out[a : a + m] = np.repeat(value, np.diff(np.append(-1, decides)))[:m]
+        after = out[a]
     return out
 
 
-def _words(text: np.ndarray) -> np.ndarray:
+def _words(text: np.ndarray, at: np.ndarray) -> np.ndarray:
     """Eight symbols from each place, the first highest; zeros beyond the end."""
-    padded = np.append(text, np.zeros(8, np.uint8)).astype(np.uint64)
-    out = np.zeros(len(text), np.uint64)
+    out = np.zeros(len(at), np.uint64)
     for k in range(8):
-        out = (out << np.uint64(8)) | padded[k : k + len(text)]
+        inside = at + k < len(text)
+        out = (out << np.uint64(8)) | np.where(inside, text[np.where(inside, at + k, 0)], 0).astype(np.uint64)
     return out
 
 
@@ -106,13 +131,11 @@ def _order(text: np.ndarray, places: np.ndarray, depth: int) -> tuple[np.ndarray
     common = np.zeros(n, np.uint8)
     if not n:
         return places, common
-    words = _words(text)
     group = np.zeros(n, np.int64)  # by rank of the first member
     live = np.arange(n)
     out = places.copy()
     for k in range(0, depth, 8):
-        at = out[live] + k
-        key = np.where(at < len(text), words[np.minimum(at, len(text) - 1)], np.uint64(0))
+        key = _words(text, out[live] + k)
         order = np.lexsort((key, group[live]))
         out[live] = out[live][order]  # live places are contiguous within each group
         key, own = key[order], group[live]
@@ -173,7 +196,7 @@ class _Pass:
         if not len(places):
             return
         left = np.maximum(places - 1, 0)
-        takes = (places > 0) & (self.s_type[left] == self.to_s)
+        takes = (places > 0) & ((self.s_type[left] == 1) == self.to_s)
         index = np.flatnonzero(takes)
         symbols = self.text[left[index]]
         order = np.argsort(symbols, kind="stable")
@@ -202,53 +225,43 @@ def suffix_groups(text: np.ndarray, depth: int) -> Iterator[tuple[np.ndarray, np
     """(places, common prefix with the suffix before, up to depth) of all suffixes in order, by descending leading
     symbol and, within, from the last to the first; text must end with a 0 that is its least symbol."""
     s_type = _kinds(text)
-    starts = np.flatnonzero(s_type[1:] & ~s_type[:-1]) + 1
+    starts = np.flatnonzero(s_type[1:] > s_type[:-1]) + 1
     lms, lms_common = _order(text, starts, depth)
-    heads = text[lms]
-    bounds = np.searchsorted(heads, np.arange(257))
+    bounds = np.searchsorted(text[lms], np.arange(257))
 
     def seam(a: int, b: int) -> int:
-        return _shared(text, a, b, depth)
+        return _shared(text, a, b, depth) if a >= 0 else 0
 
     # From left to right: L-type suffixes, from those before them in order.
     right = _Pass(text, s_type, depth, False)
-    larger: list[list[tuple[np.ndarray, np.ndarray]]] = [[] for _ in range(256)]
+    larger = [Queue() for _ in range(256)]
     previous = -1  # the suffix fed last
     for symbol in range(256):
-        while True:
-            places, common = right.queues[symbol].take()
-            if not len(places):
-                break
-            # What comes first of a wave lies behind the suffix fed before it.
-            common[0] = seam(previous, int(places[0])) if previous >= 0 else 0
-            larger[symbol].append((places, common))
+        while (wave := right.queues[symbol].take()) is not None:
+            places, common = wave[0], wave[1].copy()
+            common[0] = seam(previous, int(places[0]))  # what comes first of a wave lies behind the suffix fed before it
+            larger[symbol].put(places, common)
             right.feed(places, common)
             previous = int(places[-1])
-        own, common = lms[bounds[symbol] : bounds[symbol + 1]], lms_common[bounds[symbol] : bounds[symbol + 1]].copy()
-        if len(own):
-            common[0] = seam(previous, int(own[0])) if previous >= 0 else 0
+        for a in range(int(bounds[symbol]), int(bounds[symbol + 1]), CHUNK):
+            b = min(a + CHUNK, int(bounds[symbol + 1]))
+            own, common = lms[a:b], lms_common[a:b].copy()
+            common[0] = seam(previous, int(own[0]))
             right.feed(own, common)
             previous = int(own[-1])
     # From right to left: S-type suffixes, from those behind them; common is with the suffix fed before, further right.
     left = _Pass(text, s_type, depth, True)
     previous = -1
     for symbol in range(255, -1, -1):
-        waves = []
-        while True:
-            places, common = left.queues[symbol].take()
-            if not len(places):
-                break
-            common[0] = seam(previous, int(places[0])) if previous >= 0 else 0
-            waves.append((places, common))
+        while (wave := left.queues[symbol].take()) is not None:
+            places, common = wave[0], wave[1].copy()
+            common[0] = seam(previous, int(places[0]))
+            yield places, common
             left.feed(places, common)
             previous = int(places[-1])
-        yield from waves
-        if larger[symbol]:
-            places = np.concatenate([p for p, _ in larger[symbol]])[::-1]
-            common = np.concatenate([c for _, c in larger[symbol]])[::-1]
-            common = np.append(np.uint8(0), common[:-1])  # now with the suffix further right
-            common[0] = seam(previous, int(places[0])) if previous >= 0 else 0
-            larger[symbol] = []
+        while (wave := larger[symbol].take_last()) is not None:
+            places, common = wave[0][::-1], np.append(np.uint8(0), wave[1][::-1][:-1])  # now with the suffix further right
+            common[0] = seam(previous, int(places[0]))
             left.feed(places, common)
             previous = int(places[-1])
             yield places, common
@@ -256,77 +269,123 @@ def suffix_groups(text: np.ndarray, depth: int) -> Iterator[tuple[np.ndarray, np
 
 def repeated_starts(records: list[bytes], starts: list[int], width: int) -> np.ndarray:
     """Marks, for starts 0..n-1 of all records one after another, those whose string of width bytes starts earlier in
-    the list. Bytes are shifted by one so that 0 ends records; byte 255 does not occur in UTF-8."""
+    the list. Bytes are shifted by one so that 0 ends records; byte 255 does not occur in UTF-8. The text lies in a file
+    of the task's own that is mapped, as the suffixes to the left of sorted ones are read from all over it."""
     sizes = np.fromiter(map(len, records), np.int64, len(records)) + 1
     ends = np.cumsum(sizes)
-    text = np.zeros(int(ends[-1]), np.uint8)
-    whole = np.frombuffer(b"\xff".join(records) + b"\xff", np.uint8)
-    text[:] = whole + np.uint8(1)
     many = np.asarray(starts, np.int64)
-    owner = np.repeat(np.arange(len(records)), sizes)
-    place = np.arange(len(text)) - (ends - sizes)[owner]
-    begins = place < many[owner]
-    number = np.cumsum(begins) - 1
-    out = np.zeros(int(many.sum()), bool)
+    first, number = ends - sizes, np.append(0, np.cumsum(many))
+    out = np.zeros(int(number[-1]), bool)
     held: np.ndarray = np.zeros(0, np.int64)  # the unfinished group
 
     def close(places: np.ndarray, heads: np.ndarray) -> None:
-        first = np.minimum.reduceat(places, heads)
-        late = places != np.repeat(first, np.diff(np.append(heads, len(places))))
-        late &= begins[places]
-        out[number[places[late]]] = True
-
-    for places, common in suffix_groups(text, width):
-        places = np.concatenate([held, places])
-        heads = np.flatnonzero(np.append(np.ones(min(1, len(held)), bool), np.append(np.zeros(max(0, len(held) - 1), bool), common < width))) if len(held) else np.unique(np.append(0, np.flatnonzero(common < width)))
-        cut = int(heads[-1])
-        if cut:
-            close(places[:cut], heads[:-1])
-        held = places[cut:]
-    if len(held):
-        close(held, np.zeros(1, np.int64))
+        least = np.minimum.reduceat(places, heads)
+        late = places[places != np.repeat(least, np.diff(np.append(heads, len(places))))]
+        owner = np.searchsorted(ends, late, "right")
+        inside = late - first[owner]
+        begins = inside < many[owner]
+        out[number[owner[begins]] + inside[begins]] = True
+
+    with tempfile.TemporaryFile() as f:
+        for r in records:
+            f.write(r + b"\xff")
+        f.flush()
+        text = np.memmap(f, np.uint8, "r+", shape=(int(ends[-1]),))
+        for a in range(0, len(text), CHUNK):
+            text[a : a + CHUNK] += np.uint8(1)
+        for places, common in suffix_groups(text, width):
+            heads = np.flatnonzero(common < width) + len(held)
+            places = np.concatenate([held, places])
+            heads = np.append(0, heads[heads > 0])
+            cut = int(heads[-1])
+            if cut:
+                close(places[:cut], heads[:-1])
+            held = places[cut:]
+        if len(held):
+            close(held, np.zeros(1, np.int64))
+        del text
     return out
 
 
-def _anchors(flat: np.ndarray, offsets: np.ndarray, width: int) -> tuple[np.ndarray, ...]:
-    """(text, first start in it, number of starts, anchor, hash of the bytes) of the runs of starts with one anchor."""
+def _least(keys: np.ndarray, span: int, count: int) -> np.ndarray:
+    """Least of keys[i : i + span] for i below count."""
+    size = -(-len(keys) // span) * span
+    blocks = np.append(keys, np.full(size - len(keys), np.iinfo(np.uint64).max, np.uint64)).reshape(-1, span)
+    ahead = np.minimum.accumulate(blocks, axis=1).ravel()
+    back = np.minimum.accumulate(blocks[:, ::-1], axis=1)[:, ::-1].ravel()
+    return np.minimum(back[:count], ahead[span - 1 : span - 1 + count])
+
+
+def _anchors(flat: np.ndarray, offsets: np.ndarray, width: int, hot: np.ndarray) -> tuple[np.ndarray, ...]:
+    """(text, first start in it, number of starts, anchor, hash of the bytes, whether the anchor is hot) of the runs of
+    starts with one anchor. Starts with a hot anchor are dealt further by their least hashes in other orders."""
     n, span = len(flat), width - GRAM + 1
-    none = (np.zeros(0, np.int64),) * 3 + (np.zeros(0, np.uint64),) * 2
+    none = (np.zeros(0, np.int64),) * 3 + (np.zeros(0, np.uint64),) * 2 + (np.zeros(0, bool),)
     if n < width:
         return none
     places = np.arange(n - GRAM + 1)
     hashes = ragged.segment_hashes(ragged.spread(flat), places, places + GRAM)
     low = np.uint64(max(20, int(n).bit_length()))
-    key = (hashes >> low << low) | places.astype(np.uint64)  # the leftmost of equals
-    size = -(-len(key) // span) * span
-    blocks = np.append(key, np.full(size - len(key), np.iinfo(np.uint64).max, np.uint64)).reshape(-1, span)
-    ahead = np.minimum.accumulate(blocks, axis=1).ravel()
-    back = np.minimum.accumulate(blocks[:, ::-1], axis=1)[:, ::-1].ravel()
+    mask = (np.uint64(1) << low) - np.uint64(1)
     count = n - width + 1
-    chosen = (np.minimum(back[:count], ahead[span - 1 : span - 1 + count]) & ((np.uint64(1) << low) - np.uint64(1))).astype(np.int64)
     text = np.searchsorted(offsets, np.arange(count), "right") - 1
     starts = np.flatnonzero(np.arange(count) + width <= offsets[text + 1])
     if not len(starts):
         return none
-    chosen, text = chosen[starts], text[starts]
-    heads = np.flatnonzero(np.append(True, (chosen[1:] != chosen[:-1]) | (text[1:] != text[:-1])))
+
+    def chosen(order: np.ndarray) -> np.ndarray:
+        """For every start the hash that comes first in an order, the leftmost of equals."""
+        key = (order >> low << low) | places.astype(np.uint64)
+        return (_least(key, span, count)[starts] & mask).astype(np.int64)
+
+    text, at = text[starts], chosen(hashes)
+    anchor = hashes[at]
+    is_hot = np.isin(anchor, hot) if len(hot) else np.zeros(len(anchor), bool)
+    if is_hot.any():
+        for k in range(1, ORDERS):
+            other = hashes[chosen(ragged.mix(hashes ^ np.uint64(0x9E37 * k)))]
+            anchor = np.where(is_hot, ragged.mix(anchor + other * np.uint64(2 * k + 1)), anchor)
+    split = np.append(True, (text[1:] != text[:-1]) | (anchor[1:] != anchor[:-1]) | (~is_hot[1:] & (at[1:] != at[:-1])))
+    heads = np.flatnonzero(split)
     runs = np.diff(np.append(heads, len(starts)))
     begin = starts[heads]
     record = ragged.segment_hashes(ragged.spread(flat, 99), begin, begin + runs + width - 1)
-    return text[heads], begin - offsets[text[heads]], runs, hashes[chosen[heads]], record
+    return text[heads], begin - offsets[text[heads]], runs, anchor[heads], record, is_hot[heads]
 
 
-def _runs(docs: DataFrame, width: int) -> DataFrame:
+def _runs(docs: DataFrame, width: int, hot: np.ndarray) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in ragged.cut(batch, "text", 1 << 19):
-                text, start, many, anchor, record = _anchors(*ragged.utf8(part.column("text")), width)
+            for part in ragged.cut(batch, "text"):
+                text, start, many, anchor, record, is_hot = _anchors(*ragged.utf8(part.column("text")), width, hot)
                 yield pa.record_batch(
-                    [pa.array(anchor.view(np.int64)), pa.array(record.view(np.int64)), part.column("id").take(pa.array(text)), pa.array(start), pa.array(many.astype(np.int32))],
-                    ["anchor", "record", "id", "start", "many"],
+                    [pa.array(anchor.view(np.int64)), pa.array(record.view(np.int64)), part.column("id").take(pa.array(text)), pa.array(start), pa.array(many.astype(np.int32)), pa.array(is_hot)],
+                    ["anchor", "record", "id", "start", "many", "hot"],
                 )
 
-    return docs.mapInArrow(run, "anchor long, record long, id long, start long, many int")
+    return docs.mapInArrow(run, "anchor long, record long, id long, start long, many int, hot boolean")
+
+
+def _hot_anchors(docs: DataFrame, width: int) -> np.ndarray:
+    """Anchors that a sample of the texts, one in SAMPLE by hash of id, shows with more than a HEAVY-th of its rows: HEAVY
+    at most. They take another way to the same result, so the sample decides on speed alone."""
+    sample = scratch.write(_runs(docs.filter(F.pmod(F.xxhash64("id"), F.lit(SAMPLE)) == 0), width, np.zeros(0, np.uint64)).select("anchor"), "sample")
+    rows = sample.count()
+    found = sample.groupBy("anchor").agg(F.count("*").alias("n")).filter((F.col("n") * HEAVY > rows) & (F.col("n") > 16))
+    return np.array([r.anchor for r in found.select("anchor").collect()], np.int64).view(np.uint64)  # HEAVY numbers at most
+
+
+def _hot_repeated(runs: DataFrame) -> DataFrame:
+    """What _repeated() gives, for rows of hot anchors: rows of a record are summed up before they are shuffled, and
+    those of the HEAVY most common records meet their first row by broadcast."""
+    firsts = scratch.write(runs.groupBy("anchor", "record").agg(F.min(F.struct("id", "start", "many")).alias("first"), F.count("*").alias("n")), "hot-records")
+    rows = firsts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first().n
+    several = firsts.groupBy("anchor").agg(F.count("*").alias("records")).filter("records > 1")
+    heavy = F.broadcast(firsts.filter(F.col("n") * HEAVY > rows).select("anchor", "record", "first"))  # fewer than HEAVY
+    twice = firsts.filter((F.col("n") > 1) & (F.col("n") * HEAVY <= rows)).select("anchor", "record", "first")
+    met = runs.join(heavy, ["anchor", "record"]).unionByName(runs.join(heavy, ["anchor", "record"], "left_anti").join(twice, ["anchor", "record"]))
+    again = met.filter(F.struct("id", "start") > F.struct("first.id", "first.start")).select("anchor", "record", "id", "start", "many", F.lit(True).alias("again"))
+    return again.unionByName(firsts.join(several, "anchor").select("anchor", "record", "first.id", "first.start", "first.many", F.lit(False).alias("again")))
 
 
 def _repeated(runs: DataFrame) -> DataFrame:
@@ -371,7 +430,7 @@ def _repeated(runs: DataFrame) -> DataFrame:
                 yield marked(batch.take(pa.array(firsts[out])), False)
             last = (anchor[-1], record[-1])
 
-    dealt = runs.repartition("anchor").sortWithinPartitions("anchor", "record", "id", "start")
+    dealt = runs.select(*names).repartition("anchor").sortWithinPartitions("anchor", "record", "id", "start")
     return dealt.mapInArrow(run, "anchor long, record long, id long, start long, many int, again boolean")
 
 
@@ -469,7 +528,13 @@ def dedup_bytes(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", te
     maybe, rest = _sieve(texts.filter("id is not null"), copies)
     own = rest.unionByName(maybe.join(copies, "id", "left_anti"))
 
-    found = scratch.write(_repeated(_runs(own, width)), "runs")
+    hot = _hot_anchors(own, width)
+    runs = _runs(own, width, hot)
+    if len(hot):
+        runs = scratch.write(runs, "anchors")
+        found = scratch.write(_repeated(runs.filter("not hot")).unionByName(_hot_repeated(runs.filter("hot").drop("hot"))), "runs")
+    else:
+        found = scratch.write(_repeated(runs), "runs")
     need = found.filter("not again")
     size = need.agg(F.coalesce(F.sum(F.col("many") + (width - 1)), F.lit(0)).alias("n")).first().n
     shards = max(1, -(-size // SHARD))

@@ -305,8 +305,16 @@ def test_runs_hold_a_key_once(spark, tmp_path):
     runs.close()
 
 
-def test_suffix_dedup(spark):
-    docs = odd.documents(spark).filter("doc_id is null or doc_id not in (16, 17)")
+@pytest.mark.parametrize("hot", [False, True])
+def test_suffix_dedup(spark, monkeypatch, hot):
+    rng = random.Random(12)
+    phrase = odd.words(rng, 26)
+    more = [(200 + k, odd.words(rng, rng.randrange(30)) + phrase[rng.randrange(20) :] + odd.words(rng, rng.randrange(30)) + phrase * (k % 7 == 0)) for k in range(60)]
+    docs = odd.documents(spark, more).filter("doc_id is null or doc_id not in (16, 17)")
+    if hot:  # every anchor takes the way of hot ones
+        texts = docs.filter("doc_id is not null").select(F.col("doc_id").alias("id"), F.coalesce("text", F.lit("")).alias("text"))
+        anchors = suffix_dedup._runs(texts, 100, np.zeros(0, np.uint64)).select("anchor").distinct().collect()
+        monkeypatch.setattr(suffix_dedup, "_hot_anchors", lambda *_: np.array([r.anchor for r in anchors[::2]], np.int64).view(np.uint64))
     seen, want = set(), []
     for i, t in sorted((p for p in odd.pairs(docs) if p[0] is not None), key=lambda p: p[0]):
         b = (t or "").encode()
@@ -326,8 +334,9 @@ def test_suffix_dedup(spark):
 
 def test_induced_sorting(monkeypatch):
     rng = random.Random(4)
-    monkeypatch.setattr(suffix_dedup, "SPILL", 64)  # nearly every queue goes to disk
-    for _ in range(120):
+    for turn in range(160):
+        monkeypatch.setattr(suffix_dedup, "SPILL", (64, 300, 1 << 20)[turn % 3])  # nearly every queue goes to disk
+        monkeypatch.setattr(suffix_dedup, "CHUNK", (1, 7, 40, 1 << 19)[turn % 4])
         width, letters = rng.choice([3, 8, 20]), rng.choice(["a", "ab", "abcdefghijkl"])
         pool = ["".join(rng.choice(letters) for _ in range(rng.randrange(1, 60))) for _ in range(4)]
         records = [r for _ in range(rng.randrange(1, 30)) if len(r := (rng.choice(pool) + rng.choice(pool))[rng.randrange(5) :].encode()) >= width]
