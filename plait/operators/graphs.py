@@ -2,26 +2,31 @@
 
 from __future__ import annotations
 
+import re
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 
-def _cut(df: DataFrame) -> DataFrame:
-    """The rows written and read again. A checkpoint would keep the constraints of its plan, which double each round."""
-    spark = df.sparkSession
+def scratch_path(spark: SparkSession) -> str:
+    """A new path in the folder that all executors share."""
     if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
         import tempfile
 
         found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-        if not found and not spark.sparkContext.master.startswith("local"):
+        if not found and not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
             raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         spark.sparkContext.setCheckpointDir(found or tempfile.mkdtemp(prefix="plait-"))
-    where = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/{uuid.uuid4().hex}"
+    return f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/{uuid.uuid4().hex}"
+
+
+def _cut(df: DataFrame) -> DataFrame:
+    """The rows written and read again. A checkpoint would keep the constraints of its plan, which double each round."""
+    where = scratch_path(df.sparkSession)
     df.write.parquet(where)
-    return spark.read.schema(df.schema).parquet(where)
+    return df.sparkSession.read.schema(df.schema).parquet(where)
 
 
 def normalise(edges: DataFrame) -> DataFrame:
@@ -39,18 +44,24 @@ def adjacency(edges: DataFrame) -> DataFrame:
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """(v, component): the smallest vertex reached, by minima over neighbours and pointer jumping."""
-    both = _cut(edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
-    labels = _cut(vertices(edges).withColumn("component", F.col("v")))
+    """(v, component): the smallest vertex reached, by turns of large and small stars: the larger neighbours of a vertex,
+    then the smaller ones, are tied to the least vertex among it and its neighbours, until nothing moves. Least
+    neighbours are found by sums before the shuffle, so a hub costs its edges only."""
+    now = _cut(normalise(edges).select(F.col("b").alias("u"), F.col("a").alias("v")))  # u > v
+    all_vertices = vertices(edges)
+    seen = None
     while True:
-        near = both.join(labels.withColumnRenamed("v", "b"), "b").groupBy(F.col("a").alias("v")).agg(F.min("component").alias("m"))
-        lower = labels.join(near, "v").select("v", F.least("component", "m").alias("next"), "component")
-        jump = labels.select(F.col("v").alias("next"), F.col("component").alias("further"))
-        after = _cut(lower.join(jump, "next").select("v", F.least("next", "further").alias("next"), "component"))
-        done = after.filter("next <> component").isEmpty()
-        labels = after.select("v", F.col("next").alias("component"))
-        if done:
-            return labels
+        both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        large = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        large = _cut(large.filter("u <> v"))
+        least = large.groupBy("u").agg(F.min("v").alias("m"))
+        small = large.join(least, "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
+        now = _cut(small.distinct())
+        mark = tuple(now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
+        if mark == seen:
+            return all_vertices.join(now.select(F.col("u").alias("v"), F.col("v").alias("component")), "v", "left").withColumn("component", F.coalesce("component", "v"))
+        seen = mark
 
 
 def closure(edges: DataFrame, most: int = 64) -> DataFrame:

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plait.operators import filters, graphs, metric
+from plait.operators.graphs import scratch_path
 
 from .registry import ORACLE_SQL, query, table
 
@@ -53,14 +54,14 @@ def edges_beside_longer_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _links(spark: SparkSession, sf_dir: str) -> DataFrame:
-    o = table(spark, sf_dir, "orders").filter("o_orderkey % 40 = 0")
-    return o.select((F.col("o_custkey") % 600).alias("a"), (F.col("o_orderkey") % 590).alias("b")).filter("a <> b")
+    """Every order's customer and key."""
+    return table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("a"), F.col("o_orderkey").alias("b")).filter("a <> b")
 
 
-_LINKS = "links as (select o_custkey % 600 as a, o_orderkey % 590 as b from orders where o_orderkey % 40 = 0 and o_custkey % 600 <> o_orderkey % 590), both_ways as (select a, b from links union select b, a from links)"
+_LINKS = "links as (select o_custkey as a, o_orderkey as b from orders where o_custkey <> o_orderkey), both_ways as (select a, b from links union select b, a from links)"
 
 
-@query(f"with recursive {_LINKS}, r as (select a as v, a as w from both_ways union select r.v, both_ways.b from r join both_ways on r.w = both_ways.a) select v, min(w) as component from r group by 1")
+@query()
 def connected_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graphs.components(_links(spark, sf_dir))
 
@@ -84,12 +85,8 @@ def edge_vertices(spark: SparkSession, sf_dir: str) -> DataFrame:
 e as (select a, b, case when (a + b) % 2 = 0 then 1 else -1 end as orient from links)
 select least(x.label, y.label) as a, greatest(x.label, y.label) as b, orient, count(*) as n from e join v x on x.v = e.a join v y on y.v = e.b where x.label is not null and y.label is not null group by 1, 2, 3""")
 def edge_label_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _label_counts(spark, sf_dir, _links(spark, sf_dir))
-
-
-def _label_counts(spark: SparkSession, sf_dir: str, links: DataFrame) -> DataFrame:
     labels = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("v"), F.when(F.col("c_custkey") % 7 == 0, F.lit(None).cast("int")).otherwise(F.col("c_nationkey")).alias("label"))
-    edges = links.withColumn("orient", F.when((F.col("a") + F.col("b")) % 2 == 0, 1).otherwise(-1))
+    edges = _links(spark, sf_dir).withColumn("orient", F.when((F.col("a") + F.col("b")) % 2 == 0, 1).otherwise(-1))
     return graphs.edge_counts(edges, labels)
 
 
@@ -110,100 +107,95 @@ def local_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""with m as (select s_suppkey as l, s_suppkey * 3 as r from supplier where s_suppkey % 4 = 0)
 select s_suppkey as l, m.r, case when m.r is null then 'left' else 'matched' end as kind from supplier left join m on m.l = s_suppkey
-union all select null, c_custkey, 'right' from customer where c_custkey < 300 and c_custkey not in (select r from m)""")
+union all select null, c_custkey, 'right' from customer where c_custkey not in (select r from m)""")
 def merged_vertices(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = table(spark, sf_dir, "supplier")
     matching = s.filter("s_suppkey % 4 = 0").select(F.col("s_suppkey").alias("l"), (F.col("s_suppkey") * 3).alias("r"))
-    right = table(spark, sf_dir, "customer").filter("c_custkey < 300").select(F.col("c_custkey").alias("v"))
+    right = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("v"))
     return graphs.merge_vertices(s.select(F.col("s_suppkey").alias("v")), right, matching)
 
 
-_OCC = "v as (select c_custkey as v, (c_custkey * 37 % 100) / 100.0::double as occurrence from customer where c_custkey < 600)"
-
-
-@query(f"""with {_LINKS}, {_OCC}, k as (select v from v where occurrence >= 0.6), e as (select b.a, v.v as b, v.occurrence as o from both_ways b join v on v.v = b.b where b.a in (select v from k)),
+@query(f"""with {_LINKS}, v as (select c_custkey as v, (c_custkey * 37 % 100) / 100.0::double as occurrence from customer), k as (select v from v where occurrence >= 0.6),
+e as (select b.a, v.v as b, v.occurrence as o from both_ways b join v on v.v = b.b where b.a in (select v from k)),
 t as (select a, max(o) as top from e group by 1), p as (select a, b from (select *, row_number() over (partition by a order by o desc, b) as r from e) where r = 1)
 select v from k union select b from p join t using (a) where top < 0.6""")
 def no_orphan_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    v = table(spark, sf_dir, "customer").filter("c_custkey < 600").select(F.col("c_custkey").alias("v"), ((F.col("c_custkey") * 37 % 100) / 100.0).alias("occurrence"))
-    return filters.without_orphans(v, _links(spark, sf_dir), 0.6)
-
-
-def _all_links(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every order's customer and key, as they are."""
-    return table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("a"), F.col("o_orderkey").alias("b")).filter("a <> b")
+    return filters.without_orphans(_shares(spark, sf_dir), _links(spark, sf_dir), 0.6)
 
 
-def _whole(name: str) -> str:
-    """The SQL of a query with the links of all orders."""
-    return ORACLE_SQL[name].replace(_LINKS, _ALL_LINKS)
+def _shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("v"), ((F.col("c_custkey") * 37 % 100) / 100.0).alias("occurrence"))
 
 
-_ALL_LINKS = "links as (select o_custkey as a, o_orderkey as b from orders where o_custkey <> o_orderkey), both_ways as (select a, b from links union select b, a from links)"
+@query(f"""with {_LINKS}, k as (select c_custkey as v from customer where (c_custkey * 37 % 100) / 100.0::double >= 0.3) select a, b from links where a in (select v from k) and b in (select v from k)""")
+def frequent_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filters.occurrence_filter(_shares(spark, sf_dir), _links(spark, sf_dir), 0.3)[1].select("a", "b")
 
 
-@query()
-def connected_components_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return graphs.components(_all_links(spark, sf_dir))
+@query(f"{_CLOSURE}, k as (select v from (select a as v from dag union select b from dag) where v % 3 <> 1) select a, b from c where a in (select v from k) and b in (select v from k)")
+def bridged_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    dag = _dag(spark, sf_dir)
+    active = graphs.vertices(dag).filter("v % 3 <> 1")
+    return filters.bridge(dag, active, graphs.closure(dag))
 
 
-@query(_whole("adjacency_lists"))
-def adjacency_lists_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return graphs.adjacency(_all_links(spark, sf_dir)).select("v", F.array_join(F.transform("near", lambda x: x.cast("string")), ",").alias("near"))
+def _vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("vec"))
 
 
-@query(_whole("normalised_edges"))
-def normalised_edges_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return graphs.normalise(_all_links(spark, sf_dir))
+def _asked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stated queries: rows whose id is divisible by 50."""
+    return _vectors(spark, sf_dir).filter("vec_id % 50 = 0")
 
 
-@query(_whole("edge_vertices"))
-def edge_vertices_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return graphs.vertices(_all_links(spark, sf_dir))
+_D = "list_distance(a.embedding::double[], b.embedding::double[])"
+_KNN = f"select a, b, round(d, 6) as d, rank from (select *, row_number() over (partition by a order by d, b) as rank from (select a.vec_id as a, b.vec_id as b, {_D} as d from embeddings a join embeddings b on a.vec_id <> b.vec_id where a.vec_id % 50 = 0)) where rank <= 5"
 
 
-@query(_whole("edge_label_counts"))
-def edge_label_counts_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _label_counts(spark, sf_dir, _all_links(spark, sf_dir))
+def _ranked(df: DataFrame) -> DataFrame:
+    return df.select("a", "b", F.round("d", 6).alias("d"), F.col("rank").cast("long").alias("rank"))
 
 
-@query(_whole("no_orphan_filter").replace(" where c_custkey < 600", ""))
-def no_orphan_filter_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    v = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("v"), ((F.col("c_custkey") * 37 % 100) / 100.0).alias("occurrence"))
-    return filters.without_orphans(v, _all_links(spark, sf_dir), 0.6)
+@query(_KNN)
+def knn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _ranked(metric.knn_by_parts(_asked(spark, sf_dir), _vectors(spark, sf_dir), "vec_id", "vec", 5))
 
 
-@query(f"{_CLOSURE}, k as (select v from (select a as v from dag union select b from dag) where v % 3 <> 1) select a, b from c where a in (select v from k) and b in (select v from k)")
-def bridged_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    dag = _dag(spark, sf_dir)
-    active = graphs.vertices(dag).filter("v % 3 <> 1")
-    return filters.bridge(dag, active, graphs.closure(dag))
+@query(_KNN)
+def pivot_pruned_knn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _ranked(metric.knn(_asked(spark, sf_dir), _vectors(spark, sf_dir), "vec_id", "vec", 5))
 
 
-def _vectors(spark: SparkSession, sf_dir: str, n: int = 1 << 62) -> DataFrame:
-    return table(spark, sf_dir, "embeddings").filter(F.col("vec_id") < n).select("vec_id", F.slice(F.col("embedding").cast("array<double>"), 1, 6).alias("vec"))
+def _block(a: Column, b: Column) -> Column:
+    """The largest difference of one component: a metric, and a lower bound of the plain distance."""
+    return F.array_max(F.zip_with(a, b, lambda x, y: F.abs(x - y)))
 
 
-_D = "sqrt(" + " + ".join(f"(a.embedding[{i}]::double - b.embedding[{i}]::double) ** 2" for i in range(1, 7)) + ")"
-_KNN = f"select a, b, round(d, 6) as d, rank from (select *, row_number() over (partition by a order by d, b) as rank from (select a.vec_id as a, b.vec_id as b, {_D} as d from embeddings a join embeddings b on a.vec_id <> b.vec_id where a.vec_id % 50 = 0)) where rank <= 5"
+@query(_KNN)
+def bounded_knn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """With a cheap lower bound asked before the distance."""
+    return _ranked(metric.knn(_asked(spark, sf_dir), _vectors(spark, sf_dir), "vec_id", "vec", 5, bound=_block))
 
 
-@query(_KNN)
-def knn(spark: SparkSession, sf_dir: str) -> DataFrame:
-    v = _vectors(spark, sf_dir)
-    return metric.knn(v.filter("vec_id % 50 = 0"), v, "vec_id", "vec", 5).select("a", "b", F.round("d", 6).alias("d"), F.col("rank").cast("long").alias("rank"))
+@query(_KNN.replace(_D, "list_max([abs(x[1]::double - x[2]::double) for x in list_zip(a.embedding, b.embedding)])"))
+def chebyshev_knn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Under another metric."""
+    return _ranked(metric.knn(_asked(spark, sf_dir), _vectors(spark, sf_dir), "vec_id", "vec", 5, distance=_block))
 
 
-@query(_KNN)
-def pivot_pruned_knn(spark: SparkSession, sf_dir: str) -> DataFrame:
+@query(_KNN.replace("embeddings b on a.vec_id <> b.vec_id", "embeddings b on a.vec_id <> b.vec_id and b.vec_id % 7 <> 3"))
+def indexed_knn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """From a stored index that was built with half of the rows, then got the others and lost some."""
     v = _vectors(spark, sf_dir)
-    return metric.knn(v.filter("vec_id % 50 = 0"), v, "vec_id", "vec", 5, pivots=4).select("a", "b", F.round("d", 6).alias("d"), F.col("rank").cast("long").alias("rank"))
+    index = metric.MetricIndex.build(v.filter("vec_id % 2 = 0"), "vec_id", "vec", scratch_path(spark))
+    index.insert(v.filter("vec_id % 2 = 1"), "vec_id", "vec")
+    index.delete(v.filter("vec_id % 7 = 3"), "vec_id")
+    return _ranked(index.knn(_asked(spark, sf_dir), "vec_id", "vec", 5))
 
 
-@query(f"select a.vec_id as a, b.vec_id as b, round({_D}, 6) as d from embeddings a join embeddings b on a.vec_id <> b.vec_id where a.vec_id % 20 = 0 and {_D} <= 0.2")
+@query(f"select a.vec_id as a, b.vec_id as b, round({_D}, 6) as d from embeddings a join embeddings b on a.vec_id <> b.vec_id where a.vec_id % 50 = 0 and {_D} <= 0.7")
 def range_query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    v = _vectors(spark, sf_dir)
-    return metric.range_query(v.filter("vec_id % 20 = 0"), v, "vec_id", "vec", 0.2).withColumn("d", F.round("d", 6))
+    return metric.range_query(_asked(spark, sf_dir), _vectors(spark, sf_dir), "vec_id", "vec", 0.7).withColumn("d", F.round("d", 6))
 
 
 @query(f"select a, b, round(d, 6) as d from (select *, row_number() over (partition by a order by d, b) as r from (select a.vec_id as a, b.vec_id as b, {_D} as d from embeddings a join embeddings b on b.vec_id < a.vec_id)) where r = 1")
@@ -216,32 +208,28 @@ def nearest_pair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return metric.nearest_pairs(_vectors(spark, sf_dir), "vec_id", "vec", 1).withColumn("d", F.round("d", 6))
 
 
-@query("select 0::bigint as violations")
+@query(f"""with p as (select vec_id as k from embeddings order by 1 limit 3), t as (select a.vec_id as v, b.vec_id as p, {_D} as d from embeddings a, embeddings b where b.vec_id in (select k from p)),
+m as (select a.vec_id as a, b.vec_id as b, {_D} as d from embeddings a join embeddings b on a.vec_id <> b.vec_id where a.vec_id % 50 = 0),
+n as (select * from (select *, row_number() over (partition by a order by d, b) as r from m) where r <= 20)
+select count(*) filter (n.d > x.d + y.d + 1e-9 or abs(x.d - y.d) > n.d + 1e-9)::bigint as violations, count(distinct (n.a, n.b)) as pairs from n join t x on x.v = n.a join t y on y.v = n.b and y.p = x.p""")
 def triangle_check(spark: SparkSession, sf_dir: str) -> DataFrame:
-    v = _vectors(spark, sf_dir, 40)
-    pairs = metric.knn(v, v, "vec_id", "vec", 1000).filter("a < b")
-    return metric.triangle_violations(pairs.select("a", "b", "d"))
-
-
-@query(f"""with p as (select vec_id as k from embeddings order by 1 limit 3), t as (select a.vec_id as v, b.vec_id as p, {_D} as d from embeddings a, embeddings b where a.vec_id < 200 and b.vec_id in (select k from p))
-select x.v as a, y.v as b, round(max(abs(x.d - y.d)), 6) as bound from t x join t y on x.p = y.p and x.v < y.v group by 1, 2""")
-def pivot_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
     v = _vectors(spark, sf_dir)
-    t = metric.pivot_table(v.filter("vec_id < 200"), "vec_id", "vec", 3, v)
-    return metric.lower_bounds(t, t, "vec_id").withColumn("bound", F.round("bound", 6))
+    pairs = metric.knn(_asked(spark, sf_dir), v, "vec_id", "vec", 20).select("a", "b", "d")
+    return metric.triangle_violations(pairs, metric.pivot_table(v, "vec_id", "vec", 3), "vec_id")
 
 
-@query(f"""with d as (select a.vec_id as a, b.vec_id as b, {_D} as d from embeddings a join embeddings b on a.vec_id <> b.vec_id where a.vec_id < 60 and b.vec_id < 60)
-select x.a, y.b, round(min(x.d + y.d), 6) as bound from d x join d y on x.b = y.a where x.a <> y.b group by 1, 2""")
-def upper_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
-    v = _vectors(spark, sf_dir, 60)
-    return metric.upper_bounds(metric.knn(v, v, "vec_id", "vec", 1000).select("a", "b", "d")).withColumn("bound", F.round("bound", 6))
+@query(f"""with p as (select vec_id as k from embeddings order by 1 limit 3), t as (select a.vec_id as v, b.vec_id as p, {_D} as d from embeddings a, embeddings b where b.vec_id in (select k from p))
+select x.v as a, y.v as b, round(max(abs(x.d - y.d)), 6) as low, round(min(x.d + y.d), 6) as high from t x join t y on x.p = y.p and x.v <> y.v where x.v % 50 = 0 group by 1, 2""")
+def distance_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    v = _vectors(spark, sf_dir)
+    asked = metric.pivot_table(_asked(spark, sf_dir), "vec_id", "vec", 3, v)
+    return metric.distance_ranges(asked, metric.pivot_table(v, "vec_id", "vec", 3), "vec_id").select("a", "b", F.round("low", 6).alias("low"), F.round("high", 6).alias("high"))
 
 
-@query("""with c as (select o_custkey as k, count(*)::double as n from orders where o_custkey < 300 group by 1) select x.k as a, y.k as b, abs(x.n - y.n) / 2 as bound from c x join c y on x.k < y.k and abs(x.n - y.n) <= 4""")
+@query("""with c as (select o_custkey as k, count(*)::double as n from orders group by 1) select x.k as a, y.k as b, abs(x.n - y.n) / 2 as bound from c x join c y on x.k <> y.k and abs(x.n - y.n) <= 4 where x.k % 50 = 0""")
 def length_binned_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = table(spark, sf_dir, "orders").filter("o_custkey < 300").groupBy(F.col("o_custkey").alias("k")).agg(F.count("*").cast("double").alias("n"))
-    return metric.length_bins(c, "k", "n", 2.0)
+    c = table(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("k")).agg(F.count("*").cast("double").alias("n"))
+    return metric.length_bins(c.filter("k % 50 = 0"), c, "k", "n", 2.0)
 
 
 @query("""with m as (select median(s_acctbal) as m from supplier) select s_suppkey, case when s_acctbal < m then 0 when s_acctbal > m then 1 else (row_number() over (partition by s_acctbal = m order by s_suppkey) - 1) % 2 end as half from supplier, m""")

@@ -22,4 +22,4 @@ def test_components_of_all_orders(spark, orders):
             break
         for v, x in low:
             part[v] = min(part[v], x)
-    assert {r.v: r.component for r in graphs.connected_components_all(spark, where).collect()} == part
+    assert {r.v: r.component for r in graphs.connected_components(spark, where).collect()} == part
