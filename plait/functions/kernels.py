@@ -60,33 +60,112 @@ def slide(a: np.ndarray, b: np.ndarray) -> tuple[int, float]:
 
 
 def lay(points: np.ndarray) -> np.ndarray:
-    """Rotation to principal axes, longest first, with the first point left of the last and a fixed handedness."""
+    """Rotation to principal axes, longest first, of the four proper ones the one in which the ends of the sequence lie in
+    front of its middle (third axis) and it runs from top left to bottom right (first axis less second)."""
     x = points - points.mean(axis=0)
-    _, _, axes = np.linalg.svd(x, full_matrices=True)
-    if (x[-1] - x[0]) @ axes[0] < 0:
-        axes[0] *= -1
-    half = max(1, len(x) // 2)
-    if (x[:half].mean(axis=0) - x[half:].mean(axis=0) if len(x) > 1 else x[0]) @ axes[1] < 0:
-        axes[1] *= -1
-    axes[2] = np.cross(axes[0], axes[1])
+    n = len(x)
+    axes = np.linalg.svd(x.T)[0].T
+    if np.linalg.det(axes) < 0:
+        axes[2] *= -1
+    half = (n + 1) // 2
+    vee = np.append(np.linspace(1, -1, half), np.linspace(-1, 1, half)[n % 2 :])
+    vee = vee - vee.mean()
+    if vee @ (x @ axes[2]) <= 0:
+        axes[1:] *= -1
+    if np.linspace(-1, 1, n) @ (x @ (axes[0] - axes[1])) <= 0:
+        axes[:2] *= -1
     return axes
 
 
-def iterative_superposition(a: np.ndarray, b: np.ndarray, reach: float = 10.0, rounds: int = 50) -> tuple[float, list[tuple[int, int]]]:
-    """Alignment and superposition in turn until the score stops rising."""
-    n = min(len(a), len(b))
-    r, t = superpose(a[:n], b[:n])
-    best, pairs = -1.0, []
+def lengths(x: np.ndarray) -> np.ndarray:
+    """Lengths of elements with start and end (n x 6)."""
+    return np.sqrt(((x[:, 3:] - x[:, :3]) ** 2).sum(axis=1))
+
+
+def apart(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Distances of elements: of their starts plus of their ends."""
+    return np.sqrt(((x[:, None, :3] - y[None, :, :3]) ** 2).sum(axis=2)) + np.sqrt(((x[:, None, 3:] - y[None, :, 3:]) ** 2).sum(axis=2))
+
+
+def iterative_superposition(x: np.ndarray, kx: np.ndarray, y: np.ndarray, ky: np.ndarray, weights: np.ndarray | None = None, rounds: int = 100) -> tuple[float, list[tuple[int, int]], np.ndarray, np.ndarray]:
+    """(total, matches, rotation, shift): elements x are matched with y of equal kinds and moved onto their matches, in
+    turn, as long as the total rises. A match scores 30 less the distance, at least 0, times the shorter length."""
+    least = np.minimum(lengths(x)[:, None], lengths(y)[None])
+    factor = np.where(kx[:, None] == ky[None], least, 0.0) * (1.0 if weights is None else weights[:, None])
+    r, t = np.eye(3), np.zeros(3)
+    best: tuple[float, list[tuple[int, int]], np.ndarray, np.ndarray] | None = None
+    for _ in range(rounds):
+        moved = np.hstack([x[:, :3] @ r.T + t, x[:, 3:] @ r.T + t])
+        total, pairs = align(np.maximum(0.0, 30.0 - apart(moved, y)) * factor)
+        if best is not None and total <= best[0]:
+            break
+        best = (total, pairs, r, t)
+        if not pairs:
+            break
+        i, j = np.array(pairs).T
+        w = np.tile(least[i, j], 2)
+        if w.sum() <= 0:
+            break
+        r, t = superpose(np.vstack([x[i, :3], x[i, 3:]]), np.vstack([y[j, :3], y[j, 3:]]), w)
+    assert best is not None
+    return best
+
+
+def self_probability(x: np.ndarray, kinds: np.ndarray, labels: np.ndarray) -> float:
+    """Mean probability of each element's own class under one round Gaussian a class, among classes of its kind; elements
+    without a class (-1) count 0."""
+    names = np.unique(labels[labels >= 0])
+    if not len(names):
+        return 0.0
+    inside = [labels == c for c in names]
+    n = np.array([m.sum() for m in inside])
+    mean = np.stack([x[m].mean(axis=0) for m in inside])
+    s = np.sqrt(np.array([x[m].var(axis=0).sum() for m in inside]) + 1e-9)
+    kind = np.array([kinds[np.flatnonzero(m)[-1]] for m in inside])
+    density = np.where(kinds[:, None] == kind[None], n / s * np.exp(-((x[:, None] - mean[None]) ** 2).sum(axis=2) / (2 * s**2)), 0.0)
+    own = (labels[:, None] == names[None]) * density
+    whole = density.sum(axis=1)
+    return float(np.where(whole > 0, own.sum(axis=1) / np.where(whole > 0, whole, 1), 0.0).mean())
+
+
+def rematch(members: list[tuple[np.ndarray, np.ndarray]], labels: list[np.ndarray], adhesion: float = 0.0, rounds: int = 100) -> list[np.ndarray]:
+    """Labels of the elements of members (coordinates n x 6, kinds), improved in rounds: members are superposed on the mean
+    elements of the classes and take the labels of their matches, until the self-classification probability stops
+    rising; the labels of its highest value stay."""
+    x, kinds = np.concatenate([m[0] for m in members]), np.concatenate([m[1] for m in members])
+    now = np.concatenate(labels)
+    if not len(now) or now.max() < 0:
+        return [v.copy() for v in labels]
+    n = int(now.max()) + 1
+    kind = np.empty(n, kinds.dtype)
+    kind[now[now >= 0]] = kinds[now >= 0]
+    ends = np.append(0, np.cumsum([len(m[0]) for m in members]))
+    best = self_probability(x, kinds, now)
     for _ in range(rounds):
-        moved = a @ r.T + t
-        d = np.sqrt(((moved[:, None] - b[None]) ** 2).sum(axis=2))
-        total, found = align(np.exp(-d / reach))
-        if total <= best + 1e-9 or len(found) < 3:
+        count = np.bincount(now[now >= 0], minlength=n)
+        mean = np.zeros((n, 6))
+        np.add.at(mean, now[now >= 0], x[now >= 0])
+        mean[count > 0] /= count[count > 0, None]
+        weight = count**adhesion if adhesion > 0 else (count > 0).astype(float)
+        new = np.full(len(now), -1)
+        for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True):
+            _, pairs, _, _ = iterative_superposition(mean, kind, x[a:b], kinds[a:b], weight)
+            for c, i in pairs:
+                new[a + i] = c
+        p = self_probability(x, kinds, new)
+        if p <= best:
             break
-        best, pairs = total, found
-        i, j = np.array(found).T
-        r, t = superpose(a[i], b[j])
-    return best, pairs
+        best, now = p, new
+    return [now[a:b] for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
+
+
+def superpose_plane(a: np.ndarray, b: np.ndarray, mirror: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """(rotation, shift) that bring points a of the plane closest to b; a mirror image only if asked for."""
+    ca, cb = a.mean(axis=0), b.mean(axis=0)
+    u, _, vt = np.linalg.svd((a - ca).T @ (b - cb))
+    sign = 1.0 if mirror else np.sign(np.linalg.det(u @ vt)) or 1.0
+    rotation = (u @ np.diag([1.0, sign]) @ vt).T
+    return rotation, cb - rotation @ ca
 
 
 def edit_distance(a: np.ndarray, wa: np.ndarray, b: np.ndarray, wb: np.ndarray, reach: float = 10.0) -> float:
@@ -108,7 +187,7 @@ def minor_axis(axes: np.ndarray, weights: np.ndarray, major: np.ndarray) -> np.n
         sign = 1.0 if axes[0] @ axes[1] >= 0 else -1.0
         axis = weights[0] * axes[0] + sign * weights[1] * axes[1]
     else:
-        axis = np.linalg.svd((axes * weights[:, None]).T)[0][:, 0]
+        axis = np.linalg.svd((axes * np.sqrt(weights)[:, None]).T)[0][:, 0]
         axis = axis if axis @ axes[0] >= 0 else -axis
     unit = major / np.linalg.norm(major)
     axis = axis - (axis @ unit) * unit
@@ -116,11 +195,12 @@ def minor_axis(axes: np.ndarray, weights: np.ndarray, major: np.ndarray) -> np.n
     return axis / size if size > 0 else axis
 
 
-def strong_edges(n: int, edges: list[tuple[int, int, float]]) -> list[tuple[int, int, float]]:
-    """Edges accepted greedily by falling weight (equals keep their order): an edge joins two parts when it is as heavy
-    as the lesser of their heaviest edges and no lighter cycle stands against it."""
-    part = list(range(n))
-    heaviest, cycle = [0.0] * n, [float("inf")] * n
+def strong_edges(weights: list[float], edges: list[tuple]) -> list[tuple]:
+    """Edges (u, v, ..., weight) accepted greedily by falling weight (equals keep their order): one that is as heavy as the
+    lesser of the largest vertex weights of its two parts, where no accepted edge inside either part is lighter than the
+    larger of them. weights: of the vertices 0, 1, ..."""
+    part = list(range(len(weights)))
+    top, inner = list(weights), [float("inf")] * len(weights)
 
     def find(x: int) -> int:
         while part[x] != x:
@@ -129,19 +209,33 @@ def strong_edges(n: int, edges: list[tuple[int, int, float]]) -> list[tuple[int,
         return x
 
     out = []
-    for u, v, w in sorted(edges, key=lambda e: -e[2]):
-        a, b = find(u), find(v)
+    for edge in sorted(edges, key=lambda e: -e[-1]):
+        a, b, w = find(edge[0]), find(edge[1]), edge[-1]
+        if w < min(top[a], top[b]) or min(inner[a], inner[b]) < max(top[a], top[b]):
+            continue
+        out.append(edge)
         if a == b:
-            cycle[a] = min(cycle[a], w)
-            out.append((u, v, w))
-        elif w >= min(heaviest[a], heaviest[b]) and min(cycle[a], cycle[b]) >= max(heaviest[a], heaviest[b]):
+            inner[a] = min(inner[a], w)
+        else:
             part[b] = a
-            heaviest[a] = max(heaviest[a], heaviest[b], w)
-            cycle[a] = min(cycle[a], cycle[b])
-            out.append((u, v, w))
+            top[a], inner[a] = max(top[a], top[b]), min(inner[a], inner[b])
     return out
 
 
+def cluster_edges(edges: list[tuple], labels: np.ndarray, threshold: float = 0.5) -> list[tuple]:
+    """(label, label, orientation) of the strong edges between classes: an edge between classes weighs its number of
+    element edges (i, j, orientation) by the threshold, a class its number of elements."""
+    names = np.unique(labels[labels >= 0])
+    at = {int(c): i for i, c in enumerate(names)}
+    counts: dict[tuple, int] = {}
+    for i, j, *rest in edges:
+        if labels[i] >= 0 and labels[j] >= 0:
+            key = (at[int(labels[i])], at[int(labels[j])], *rest)
+            counts[key] = counts.get(key, 0) + 1
+    kept = strong_edges([float((labels == c).sum()) for c in names], [(*k, n / threshold) for k, n in counts.items()])
+    return sorted((int(names[a]), int(names[b]), *rest) for a, b, *rest, _ in kept)
+
+
 def closure(n: int, edges: set[tuple[int, int]]) -> np.ndarray:
     reach = np.zeros((n, n), bool)
     for u, v in edges:
@@ -206,61 +300,136 @@ def align_dags(n1: int, e1: set, n2: int, e2: set, scores: np.ndarray) -> tuple[
     return total, pairs[::-1]
 
 
-def correct_by_neighbours(scores: np.ndarray, edges1: list, edges2: list) -> np.ndarray:
+def correct_by_neighbours(scores: np.ndarray, weights1: np.ndarray, weights2: np.ndarray, edges1: list, edges2: list) -> np.ndarray:
     """Scores of vertices averaged with what their neighbours gain from the same match: neighbours over edges of equal
-    orientation are paired greedily by score, as far as their weights go. Vertices whose edges weigh less than
-    themselves keep their score."""
-    out = scores.copy()
-    near = []
-    for edges, n in ((edges1, scores.shape[0]), (edges2, scores.shape[1])):
-        rows: list[list[tuple[int, int, float]]] = [[] for _ in range(n)]
+    orientation are paired by falling score, each pair taking the least that is left of a budget of 1 and of both edges'
+    weights, as shares of their vertex's weight. Vertices whose edges weigh less than themselves keep their score."""
+
+    def around(edges: list, weights: np.ndarray) -> list[list[tuple[int, int, float]]]:
+        rows: list[list[tuple[int, int, float]]] = [[] for _ in weights]
         for u, v, orient, w in edges:
             rows[u].append((v, orient, w))
             rows[v].append((u, orient, w))
-        near.append(rows)
-    for i in range(scores.shape[0]):
-        for j in range(scores.shape[1]):
-            if min(sum(w for *_, w in near[0][i]), sum(w for *_, w in near[1][j])) < 1 or scores[i, j] <= 0:
+        return [[(v, o, w / weights[i]) for v, o, w in row] if row and sum(w for *_, w in row) >= weights[i] else [] for i, row in enumerate(rows)]
+
+    near1, near2 = around(edges1, weights1), around(edges2, weights2)
+    out = scores.copy()
+    for i, one in enumerate(near1):
+        for j, two in enumerate(near2):
+            if not one or not two:
                 continue
-            left, right = [w for *_, w in near[0][i]], [w for *_, w in near[1][j]]
-            options = sorted(((-scores[u, v], p, q) for p, (u, o, _) in enumerate(near[0][i]) for q, (v, r, _) in enumerate(near[1][j]) if o == r))
-            gained = used = 0.0
-            for s, p, q in options:
-                take = min(left[p], right[q])
-                gained, used = gained - s * take, used + take
-                left[p] -= take
-                right[q] -= take
-            whole = max(sum(w for *_, w in near[0][i]), sum(w for *_, w in near[1][j]))
-            out[i, j] = (scores[i, j] + gained / whole) / 2
+            left, right, budget, gained = [w for *_, w in one], [w for *_, w in two], 1.0, 0.0
+            options = sorted(((scores[u, v], p, q) for p, (u, o, _) in enumerate(one) for q, (v, r, _) in enumerate(two) if o == r), reverse=True)
+            for score, p, q in options:
+                take = min(budget, left[p], right[q])
+                if take > 0:
+                    gained += take * score
+                    budget, left[p], right[q] = budget - take, left[p] - take, right[q] - take
+            out[i, j] = (scores[i, j] + gained) / 2
     return out
 
 
-def guide_tree(distances: np.ndarray) -> list[tuple[int, int, float]]:
-    """Merges (left, right, distance) of the nearest pairs, children in order; a merged node is at the mean distance of
-    its parts, weighted by size; ties go to smaller numbers."""
-    n = len(distances)
-    d = {(i, j): float(distances[i, j]) for i in range(n) for j in range(i + 1, n)}
-    size = {i: 1 for i in range(n)}
-    out = []
+class Weighted:
+    """A sequence of points with their shares (weights relative to the members that it stands for)."""
+
+    def __init__(self, points: np.ndarray, share: np.ndarray | None = None, members: int = 1):
+        self.points, self.share, self.members = points, np.ones(len(points)) if share is None else share, members
+
+    def distance(self, other: Weighted) -> float:
+        return edit_distance(self.points, self.share, other.points, other.share)
+
+    def joined(self, other: Weighted) -> Weighted:
+        """Both in one, matched points at their weighted mean, in an order that keeps both."""
+        r = np.sqrt(((self.points[:, None] - other.points[None]) ** 2).sum(axis=2))
+        w1, w2 = self.share[:, None], other.share[None]
+        _, pairs = align(0.5 * w1 + 0.5 * w2 - ((1 - np.exp(-r / 10.0)) * np.minimum(w1, w2) + 0.5 * np.abs(w1 - w2)))
+        a, b = self.share * self.members, other.share * other.members
+        points, weight, i, j = [], [], 0, 0
+        for u, v in [*pairs, (len(a), len(b))]:
+            points += [*self.points[i:u], *other.points[j:v]]
+            weight += [*a[i:u], *b[j:v]]
+            if u < len(a):
+                points.append((self.points[u] * a[u] + other.points[v] * b[v]) / (a[u] + b[v]))
+                weight.append(a[u] + b[v])
+            i, j = u + 1, v + 1
+        members = self.members + other.members
+        return Weighted(np.array(points).reshape(-1, self.points.shape[1]), np.array(weight) / members, members)
+
+
+class Nearest:
+    """Nodes with a distance, of which the nearest pair can be taken again and again. A distance is measured only when the
+    triangle inequality over measured ones cannot rule the pair out; how many were is counted."""
+
+    def __init__(self):
+        self.nodes: dict[int, Weighted] = {}
+        self.known: dict[int, dict[int, float]] = {}
+        self.older: dict[int, tuple[float, int]] = {}  # each node's nearest one of those before it
+        self.measured = 0
+
+    def _distance(self, a: int, b: int) -> float:
+        if b not in self.known[a]:
+            self.known[a][b] = self.known[b][a] = self.nodes[a].distance(self.nodes[b])
+            self.measured += 1
+        return self.known[a][b]
+
+    def _find(self, a: int) -> None:
+        best = (float("inf"), -1)
+        rest = [b for b in self.nodes if b < a]
+        mine = self.known[a]
+        for b in sorted(rest, key=lambda b: (b not in mine, mine.get(b, 0.0), b)):
+            if b not in mine:
+                theirs = self.known[b]
+                few, many = (mine, theirs) if len(mine) <= len(theirs) else (theirs, mine)
+                if max((abs(d - many[p]) for p, d in few.items() if p in many), default=0.0) > best[0] + 1e-9:
+                    continue
+            best = min(best, (self._distance(a, b), b))
+        self.older[a] = best
+
+    def insert(self, a: int, node: Weighted) -> None:
+        self.nodes[a], self.known[a] = node, {}
+        self._find(a)
+
+    def pop(self) -> tuple[int, int, float]:
+        """The nearest pair, which leaves; equal distances go to the smaller numbers."""
+        d, b, a = min((d, b, a) for a, (d, b) in self.older.items() if b >= 0)
+        for x in (a, b):
+            del self.nodes[x], self.older[x]
+        for x, (_, y) in list(self.older.items()):
+            if y in (a, b):
+                self._find(x)
+        for x in (a, b):  # distances of nodes that have gone still bound others
+            if len(self.known[x]) <= 1:
+                del self.known[x]
+        return b, a, d
+
+
+def guide_tree(members: list[np.ndarray]) -> tuple[list[tuple[int, int, float]], Weighted | None, int]:
+    """(merges, root, distances measured): the nearest pair of nodes is merged into one weighted sequence, which is
+    measured anew against the others; merges are (left, right, distance), children in order."""
+    if not members:
+        return [], None, 0
+    n, finder, out = len(members), Nearest(), []
+    nodes = {i: Weighted(np.asarray(x, float)) for i, x in enumerate(members)}
+    for i in range(n):
+        finder.insert(i, nodes[i])
     for new in range(n, 2 * n - 1):
-        (i, j), x = min(d.items(), key=lambda e: (e[1], e[0]))
-        out.append((i, j, x))
-        for k in [k for k in size if k not in (i, j)]:
-            di, dj = d.pop((min(i, k), max(i, k))), d.pop((min(j, k), max(j, k)))
-            d[k, new] = (size[i] * di + size[j] * dj) / (size[i] + size[j])
-        del d[i, j]
-        size[new] = size.pop(i) + size.pop(j)
-    return out
+        left, right, d = finder.pop()
+        out.append((left, right, d))
+        nodes[new] = nodes.pop(left).joined(nodes.pop(right))
+        finder.insert(new, nodes[new])
+    return out, nodes[max(nodes)], finder.measured
 
 
-def newick(names: list[str], merges: list[tuple[int, int, float]], weights: list[float] | None = None) -> str:
-    """The tree as text; a branch takes the share of the distance that the other side's weight has."""
+def newick(names: list[str], merges: list[tuple[int, int, float]], weighted: bool = False) -> str:
+    """The tree as text; a branch takes the share of the distance that the other side's weight has. weighted: with
+    #number[weight] behind the inner nodes and [1] behind the leaves."""
     n = len(names)
-    w = list(weights or [1.0] * n)
-    text = list(names)
-    for left, right, d in merges:
+    w = [1] * n
+    text = [f"{x}[1]" if weighted else x for x in names]
+    for k, (left, right, d) in enumerate(merges):
         whole = w[left] + w[right]
-        text.append(f"({text[left]}:{d * w[right] / whole:g},{text[right]}:{d * w[left] / whole:g})")
+        mark = f"#{n + k}[{whole}]" if weighted else ""
+        text.append(f"({text[left]}:{d * w[right] / whole:g},{text[right]}:{d * w[left] / whole:g}){mark}")
         w.append(whole)
     return (text[-1] if text else "") + ";"
 
@@ -295,15 +464,15 @@ def soft_ramp(d: np.ndarray, reach: float = 30.0, soft: float = 0.01) -> np.ndar
 
 def element_scores(x: np.ndarray, kx: np.ndarray, y: np.ndarray, ky: np.ndarray) -> np.ndarray:
     """Scores of elements (six coordinates) of equal kinds, 0 otherwise."""
-    d = np.sqrt(((x[:, None, :3] - y[None, :, :3]) ** 2).sum(axis=2)) + np.sqrt(((x[:, None, 3:] - y[None, :, 3:]) ** 2).sum(axis=2))
-    return np.where(kx[:, None] == ky[None], soft_ramp(d), 0.0)
+    return np.where(kx[:, None] == ky[None], soft_ramp(apart(x, y)), 0.0)
 
 
-def consensus(members: list[tuple[np.ndarray, np.ndarray, list]], merges: list[tuple[int, int, float]]) -> tuple[list[list[tuple[int, int]]], set[tuple[int, int]]]:
-    """Clusters of equivalent elements, as lists of (member, position), and their order. Members are (coordinates,
+def consensus(members: list[tuple[np.ndarray, np.ndarray, list]], merges: list[tuple[int, int, float]]) -> tuple[list[list[tuple[int, int]]], set[tuple[int, int]], int]:
+    """Clusters of equivalent elements, as lists of (member, position), their order, and the number of merges whose partial
+    orders were too wide to be matched exactly and were matched along a linear order. Members are (coordinates,
     kinds, edges (i, j, orient)); nodes merge along the tree. A cluster holds one kind and one element of a member at
     most, and the order has no cycle."""
-    nodes = []
+    nodes, linear = [], 0
     for m, (x, kinds, edges) in enumerate(members):
         n = len(x)
         nodes.append({"x": x, "w": np.ones(n), "kind": np.asarray(kinds), "in": [[(m, i)] for i in range(n)], "order": {(i, i + 1) for i in range(n - 1)}, "edges": {(min(i, j), max(i, j), o): 1.0 for i, j, o in edges}, "size": 1})
@@ -311,11 +480,12 @@ def consensus(members: list[tuple[np.ndarray, np.ndarray, list]], merges: list[t
         p, q = nodes[left], nodes[right]
         wp, wq = p["w"] / p["size"], q["w"] / q["size"]
         s = element_scores(p["x"], p["kind"], q["x"], q["kind"])
-        s = correct_by_neighbours(s, [(*e, w / p["size"]) for e, w in p["edges"].items()], [(*e, w / q["size"]) for e, w in q["edges"].items()])
-        s = s * wp[:, None] * wq[None]
+        s = correct_by_neighbours(s, wp, wq, [(*e, w / p["size"]) for e, w in p["edges"].items()], [(*e, w / q["size"]) for e, w in q["edges"].items()])
+        s = np.where(p["kind"][:, None] == q["kind"][None], s, 0.0) * wp[:, None] * wq[None]
         try:
             _, pairs = align_dags(len(wp), p["order"], len(wq), q["order"], s)
-        except OverflowError:  # too wide: match along one linear order of each
+        except OverflowError:  # too wide: match along one linear order of each, and say so
+            linear += 1
             a, b = _linear(p), _linear(q)
             _, found = align(s[np.ix_(a, b)])
             pairs = [(a[i], b[j]) for i, j in found]
@@ -324,7 +494,7 @@ def consensus(members: list[tuple[np.ndarray, np.ndarray, list]], merges: list[t
     top = nodes[-1]
     order = _linear(top)
     place = {v: i for i, v in enumerate(order)}
-    return [sorted(top["in"][v]) for v in order], {(place[u], place[v]) for u, v in top["order"]}
+    return [sorted(top["in"][v]) for v in order], {(place[u], place[v]) for u, v in top["order"]}, linear
 
 
 def _linear(node: dict) -> list[int]:
@@ -357,18 +527,42 @@ def _merge(p: dict, q: dict, pairs: list[tuple[int, int]]) -> dict:
     return {"x": x / np.maximum(w, 1e-12)[:, None], "w": w, "kind": kind, "in": inside, "order": reduce_edges(n, order), "edges": edges, "size": p["size"] + q["size"]}
 
 
+def superpose_points(a: np.ndarray, b: np.ndarray, reach: float = 10.0, rounds: int = 50) -> tuple[float, list[tuple[int, int]]]:
+    """Alignment and superposition of points in turn until the score stops rising, from every run of three points that fit
+    each other within the reach: the best of the starts, so leading insertions and shifts are found."""
+    best: tuple[float, list[tuple[int, int]]] = (-1.0, [])
+    if min(len(a), len(b)) < 3:
+        return align(np.zeros((len(a), len(b))))
+    step = max(1, max(len(a), len(b)) // 8)
+    for i in range(0, len(a) - 2, step):
+        for j in range(0, len(b) - 2, step):
+            n = min(len(a) - i, len(b) - j)
+            r, t = superpose(a[i : i + n], b[j : j + n])
+            last: tuple[float, list[tuple[int, int]]] = (-1.0, [])
+            for _ in range(rounds):
+                moved = a @ r.T + t
+                total, found = align(np.exp(-np.sqrt(((moved[:, None] - b[None]) ** 2).sum(axis=2)) / reach))
+                if total <= last[0] + 1e-9 or len(found) < 3:
+                    break
+                last = (total, found)
+                p, q = np.array(found).T
+                r, t = superpose(a[p], b[q])
+            best = max(best, last, key=lambda x: x[0])
+    return best
+
+
 def family_consensus(members: list[np.ndarray], reach: float = 10.0, ratio: float = 1e-4, rounds: int = 100) -> tuple[np.ndarray, np.ndarray, list[list[tuple[int, int]]]]:
     """(points, share of members at each, matches) of a family of point sequences: the member nearest to all others is
     the first consensus; members are aligned and moved onto it and averaged until the deviation settles."""
     n = len(members)
-    score = np.array([[0.0 if i == j else -iterative_superposition(a, b, reach)[0] for j, b in enumerate(members)] for i, a in enumerate(members)])
+    score = np.array([[0.0 if i == j else -superpose_points(a, b, reach)[0] for j, b in enumerate(members)] for i, a in enumerate(members)])
     now = members[int(np.argmin(score.sum(axis=1)))].copy()
     last, matches, share = float("inf"), [], np.ones(len(now))
     for _ in range(rounds):
         total, count, square = np.zeros_like(now), np.zeros(len(now)), 0.0
         matches = []
         for m in members:
-            _, pairs = iterative_superposition(m, now, reach)
+            _, pairs = superpose_points(m, now, reach)
             if len(pairs) < 3:
                 k = min(len(m), len(now))
                 pairs = [(i, i) for i in range(k)]

@@ -11,9 +11,9 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from plait.functions import kernels
+from plait.operators.windows import running_total
 
 
 def sequences(df: DataFrame, group: str, member: str, order: list[str], coords: list[str], kind: str | None = None) -> DataFrame:
@@ -24,6 +24,11 @@ def sequences(df: DataFrame, group: str, member: str, order: list[str], coords:
     return own.select(F.col(group).alias("g"), F.col(member).alias("m"), xs.alias("xs"), F.transform("_e", lambda e: e["_k"]).alias("kinds"))
 
 
+def _fresh(df: DataFrame) -> DataFrame:
+    """df with columns of its own, for cogroups of tables that come from one."""
+    return df.select(*[F.col(c).alias(c) for c in df.columns])
+
+
 def _pairs(seqs: DataFrame) -> DataFrame:
     x = seqs.select("g", F.col("m").alias("a"), F.col("xs").alias("xa"), F.col("kinds").alias("ka"))
     y = seqs.select("g", F.col("m").alias("b"), F.col("xs").alias("xb"), F.col("kinds").alias("kb"))
@@ -73,55 +78,122 @@ def sliding_deviations(seqs: DataFrame) -> DataFrame:
 
 
 def iterative_scores(seqs: DataFrame) -> DataFrame:
-    return _each(_pairs(seqs), "double", lambda x, k, y, l: kernels.iterative_superposition(x[:, :3], y[:, :3])[0])
+    """(g, a, b, value): total of matching and superposing the elements of each pair of members in turn."""
+    return _each(_pairs(seqs), "double", lambda x, k, y, l: kernels.iterative_superposition(x, k, y, l)[0])
 
 
-def guide_trees(distances: DataFrame) -> DataFrame:
-    """(g, node, left, right, distance, newick): merges of each group from its pair distances (g, a, b, value); leaves
-    are numbered in order of member."""
+def guide_trees(seqs: DataFrame) -> DataFrame:
+    """(g, node, left, right, distance, newick, measured): merges of each family, whose leaves are numbered in order of
+    member; measured counts the distances that its tree took. A family is one task's by nature of its merges; families
+    of one member have no merges and no rows."""
 
     def tree(pdf: pd.DataFrame) -> pd.DataFrame:
-        names = sorted({*pdf.a, *pdf.b})
-        at = {m: i for i, m in enumerate(names)}
-        d = np.zeros((len(names), len(names)))
-        for a, b, v in zip(pdf.a, pdf.b, pdf.value, strict=True):
-            d[at[a], at[b]] = d[at[b], at[a]] = v
-        merges = kernels.guide_tree(d)
-        text = kernels.newick([str(m) for m in names], merges)
-        return pd.DataFrame([(pdf.g.iloc[0], len(names) + i, l, r, x, text) for i, (l, r, x) in enumerate(merges)], columns=["g", "node", "left", "right", "distance", "newick"])
+        pdf = pdf.sort_values("m")
+        merges, _, measured = kernels.guide_tree([np.stack(x).astype(float) for x in pdf["xs"]])
+        text = kernels.newick([str(m) for m in pdf.m], merges, weighted=True)
+        return pd.DataFrame([(pdf.g.iloc[0], len(pdf) + i, l, r, x, text, measured) for i, (l, r, x) in enumerate(merges)], columns=["g", "node", "left", "right", "distance", "newick", "measured"])
+
+    return seqs.groupBy("g").applyInPandas(tree, "g long, node int, left int, right int, distance double, newick string, measured long")
+
+
+def consensus_structures(seqs: DataFrame) -> DataFrame:
+    """(g, pos, point, occupancy): the weighted sequence at the root of each family's guide tree."""
+
+    def root(pdf: pd.DataFrame) -> pd.DataFrame:
+        _, top, _ = kernels.guide_tree([np.stack(x).astype(float) for x in pdf.sort_values("m")["xs"]])
+        return pd.DataFrame({"g": pdf.g.iloc[0], "pos": range(len(top.points)), "point": list(top.points), "occupancy": top.share})
+
+    return seqs.groupBy("g").applyInPandas(root, "g long, pos int, point array<double>, occupancy double")
+
 
-    return distances.groupBy("g").applyInPandas(tree, "g long, node int, left int, right int, distance double, newick string")
+def _members(rows: pd.DataFrame, edges: pd.DataFrame) -> list[tuple]:
+    """(coordinates, kinds, edges) of each member of a family, in order of member."""
+    by: dict = {}
+    for m, i, j, o in zip(edges["m"], edges["i"], edges["j"], edges["orient"], strict=True):
+        by.setdefault(m, []).append((int(i), int(j), int(o)))
+    return [(np.stack([np.resize(np.asarray(v, float), 6) for v in xs]), np.asarray(kinds), sorted(by.get(m, []))) for m, xs, kinds in zip(rows["m"], rows["xs"], rows["kinds"], strict=True)]
 
 
-def consensus_clusters(seqs: DataFrame, trees: DataFrame, edges: bool = True) -> DataFrame:
-    """(g, m, pos, cluster, label): the cluster of every element, in order. A cluster has one kind and one element of a
-    member at most, and clusters are partially ordered. Neighbouring strands (kind E) are joined by typed edges."""
+def consensus_clusters(seqs: DataFrame, trees: DataFrame, edges: DataFrame | None = None) -> DataFrame:
+    """(g, m, pos, cluster, label, linear): the cluster of every element, in order. A cluster has one kind and one element
+    of a member at most, and clusters are partially ordered. edges: (g, m, i, j, orient) between positions of a member.
+    linear: merges of the family that were matched along linear orders, as their partial orders were too wide."""
+    packed = seqs.select("g", "m", "xs", "kinds", F.lit(None).cast("array<struct<i:int,j:int,orient:int>>").alias("links"))
+    if edges is not None:
+        links = edges.groupBy("g", "m").agg(F.sort_array(F.collect_list(F.struct(F.col("i").cast("int").alias("i"), F.col("j").cast("int").alias("j"), F.col("orient").cast("int").alias("orient")))).alias("links"))
+        packed = seqs.select("g", "m", "xs", "kinds").join(links, ["g", "m"], "left")
 
     def solve(key, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        left = left.sort_values("m")
-        members = []
-        for xs, kinds in zip(left["xs"], left["kinds"], strict=True):
-            x, k = np.stack([np.resize(np.asarray(v, float), 6) for v in xs]), np.asarray(kinds)
-            near = [(i, i + 1, -1) for i in range(len(k) - 1) if edges and k[i] == k[i + 1] == "E"]
-            members.append((x, k, near))
+        left = left.sort_values("m").reset_index(drop=True)
+        links = pd.DataFrame([(m, e["i"], e["j"], e["orient"]) for m, x in zip(left.m, left.links, strict=True) if x is not None for e in x], columns=["m", "i", "j", "orient"])
+        members = _members(left, links)
         merges = [(int(l), int(r), float(d)) for l, r, d in right.sort_values("node")[["left", "right", "distance"]].itertuples(index=False)]
         if len(members) != len(merges) + 1:
-            return pd.DataFrame([], columns=["g", "m", "pos", "cluster", "label"])
-        clusters, _ = kernels.consensus(members, merges)
+            raise ValueError(f"the tree of family {key[0]} has other leaves than the family")
+        clusters, _, linear = kernels.consensus(members, merges)
         names = list(left.m)
         rows = []
         for c, inside in enumerate(clusters):
             label = f"{members[inside[0][0]][1][inside[0][1]]}{c}"
-            rows += [(key[0], names[m], i, c, label) for m, i in inside]
-        return pd.DataFrame(rows, columns=["g", "m", "pos", "cluster", "label"])
+            rows += [(key[0], names[m], i, c, label, linear) for m, i in inside]
+        return pd.DataFrame(rows, columns=["g", "m", "pos", "cluster", "label", "linear"])
+
+    return _fresh(packed).groupBy("g").cogroup(_fresh(trees).groupBy("g")).applyInPandas(solve, "g long, m long, pos int, cluster int, label string, linear int")
+
+
+def rematched_clusters(seqs: DataFrame, clusters: DataFrame) -> DataFrame:
+    """(g, m, pos, cluster): clusters after rematching each family's members to their mean elements, up to the highest
+    self-classification probability; -1 for elements that are left out."""
 
-    return seqs.groupBy("g").cogroup(trees.groupBy("g")).applyInPandas(solve, "g long, m long, pos int, cluster int, label string")
+    def solve(key, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        left = left.sort_values("m")
+        own = [(np.stack([np.resize(np.asarray(v, float), 6) for v in xs]), np.asarray(k)) for xs, k in zip(left["xs"], left["kinds"], strict=True)]
+        at = {(m, p): c for m, p, c in zip(right.m, right.pos, right.cluster, strict=True)}
+        labels = [np.array([at.get((m, i), -1) for i in range(len(x))]) for m, (x, _) in zip(left.m, own, strict=True)]
+        new = kernels.rematch(own, labels)
+        return pd.DataFrame([(key[0], m, i, int(c)) for m, row in zip(left.m, new, strict=True) for i, c in enumerate(row)], columns=["g", "m", "pos", "cluster"])
+
+    return _fresh(seqs).groupBy("g").cogroup(_fresh(clusters).groupBy("g")).applyInPandas(solve, "g long, m long, pos int, cluster int")
+
+
+def cluster_statistics(seqs: DataFrame, clusters: DataFrame, edges: DataFrame | None = None, threshold: float = 0.5) -> DataFrame:
+    """(g, cluster, label, sheet_id, found_in, occurrence, average_length, coord_variance): the statistics of every cluster
+    of every family. Sheets are the components of strong edges between clusters of kind E, numbered from 1 by falling
+    occurrence times length, 0 for others."""
+    x = seqs.select("g", "m", F.posexplode(F.arrays_zip("xs", "kinds")).alias("pos", "e")).select("g", "m", "pos", F.col("e.xs").alias("x"), F.col("e.kinds").alias("kind"))
+    placed = x.join(clusters.select("g", "m", "pos", "cluster", "label"), ["g", "m", "pos"])
+    length = F.sqrt(sum(((F.col("x")[i + 3] - F.col("x")[i]) ** 2 for i in (1, 2)), (F.col("x")[3] - F.col("x")[0]) ** 2))
+    spread = sum((F.coalesce(F.var_samp(F.col("x")[i]), F.lit(0.0)) for i in range(1, 6)), F.coalesce(F.var_samp(F.col("x")[0]), F.lit(0.0)))
+    total = seqs.groupBy("g").agg(F.count("*").alias("members"))
+    own = placed.groupBy("g", "cluster", "label").agg(F.min("kind").alias("kind"), F.count("*").alias("found_in"), F.coalesce(F.avg(F.when(length > 0, length)), F.lit(0.0)).alias("average_length"), spread.alias("coord_variance"))
+    own = own.join(total, "g").withColumn("occurrence", F.col("found_in") / F.col("members"))
+    if edges is None:
+        return own.select("g", "cluster", "label", F.lit(0).alias("sheet_id"), "found_in", "occurrence", "average_length", "coord_variance")
+    at = clusters.select("g", "m", F.col("pos").alias("i"), F.col("cluster").alias("a"))
+    met = edges.join(at, ["g", "m", "i"]).join(at.withColumnRenamed("i", "j").withColumnRenamed("a", "b"), ["g", "m", "j"]).groupBy("g", "a", "b", "orient").agg(F.count("*").alias("n"))
+
+    def sheets(key, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        left = left.sort_values("cluster").reset_index(drop=True)
+        at = {c: i for i, c in enumerate(left.cluster)}
+        kept = kernels.strong_edges(left.found_in.astype(float).tolist(), [(at[a], at[b], o, n / threshold) for a, b, o, n in sorted(zip(right.a, right.b, right.orient, right.n, strict=True))])
+        part = list(range(len(left)))
+        for u, v, *_ in kept:
+            low, high = sorted((part[u], part[v]))
+            part = [low if p == high else p for p in part]
+        left["part"] = part
+        strands = left.kind == "E"
+        weight = (left.occurrence * left.average_length).where(strands, 0.0).groupby(left.part).sum()
+        order = [p for p in sorted(weight.index, key=lambda p: (-round(weight[p], 6), p)) if strands[left.part == p].any()]
+        left["sheet_id"] = [order.index(p) + 1 if s else 0 for p, s in zip(part, strands, strict=True)]
+        return left[["g", "cluster", "label", "sheet_id", "found_in", "occurrence", "average_length", "coord_variance"]]
+
+    return _fresh(own).groupBy("g").cogroup(_fresh(met).groupBy("g")).applyInPandas(sheets, "g long, cluster int, label string, sheet_id int, found_in long, occurrence double, average_length double, coord_variance double")
 
 
 def dense_labels(df: DataFrame, label: str, name: str = "dense") -> DataFrame:
-    """Labels renumbered from 0 without gaps, -1 kept. Distinct labels are ranked, then joined."""
-    own = df.select(label).distinct().filter(F.col(label) >= 0)
-    ranked = own.select(label, (F.row_number().over(Window.orderBy(label)) - 1).alias(name))
+    """Labels renumbered from 0 without gaps, -1 kept. Distinct labels are ranked by range, then joined."""
+    own = df.select(label).distinct().filter(F.col(label) >= 0).withColumn("_n", F.lit(1))
+    ranked = running_total(own, label, "_n").select(label, (F.col("upto") - 1).cast("int").alias(name))
     return df.join(ranked, label, "left").withColumn(name, F.coalesce(name, F.lit(-1)))
 
 
@@ -131,17 +203,18 @@ def member_table(df: DataFrame, member: str, cluster: str, value: str) -> DataFr
     return out.select(member, cluster, F.when(F.col("_n") == 1, F.col(value)).otherwise(F.raise_error(F.lit("several elements in one cell")).cast(dict(df.dtypes)[value])).alias(value))
 
 
-def strong_edges(edges: DataFrame, group: str) -> DataFrame:
-    """Greedy strong subgraph of each group's label edges (a, b, orient, weight), heaviest first."""
+def strong_edges(vertices: DataFrame, edges: DataFrame, group: str, threshold: float = 0.5) -> DataFrame:
+    """Greedy strong subgraph of each group: edges (group, a, b, orient, n) weigh their number by the threshold, vertices
+    (group, v, n) their number."""
 
-    def solve(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["weight", "a", "b", "orient"], ascending=[False, True, True, True])
-        names = sorted({*pdf.a, *pdf.b})
+    def solve(key, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        left, right = left.sort_values("v"), right.sort_values(["n", "a", "b", "orient"], ascending=[False, True, True, True])
+        names = left.v.tolist()
         at = {v: i for i, v in enumerate(names)}
-        kept = kernels.strong_edges(len(names), [(at[a], at[b], w) for a, b, w in zip(pdf.a, pdf.b, pdf.weight, strict=True)])
-        return pd.DataFrame(sorted((pdf[group].iloc[0], names[u], names[v], w) for u, v, w in kept), columns=[group, "a", "b", "weight"])
+        kept = kernels.strong_edges(left.n.astype(float).tolist(), [(at[a], at[b], o, n / threshold) for a, b, o, n in zip(right.a, right.b, right.orient, right.n, strict=True)])
+        return pd.DataFrame(sorted((key[0], names[u], names[v], o, w) for u, v, o, w in kept), columns=[group, "a", "b", "orient", "weight"])
 
-    return edges.groupBy(group).applyInPandas(solve, f"{group} long, a long, b long, weight double")
+    return _fresh(vertices).groupBy(group).cogroup(_fresh(edges).groupBy(group)).applyInPandas(solve, f"{group} long, a long, b long, orient int, weight double")
 
 
 def minor_axes(df: DataFrame, group: str, axis: list[str], weight: str, major: list[str]) -> DataFrame:

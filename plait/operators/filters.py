@@ -92,8 +92,8 @@ def submatrix(matrix: DataFrame, rows: DataFrame, cols: DataFrame) -> DataFrame:
 
 
 def put_submatrix(matrix: DataFrame, part: DataFrame) -> DataFrame:
-    """The matrix with the cells of part (r, c, value) in place of its own."""
-    return matrix.join(part.withColumnRenamed("value", "_new"), ["r", "c"], "left").withColumn("value", F.coalesce("_new", "value")).drop("_new")
+    """The matrix with the cells of part (r, c, value) in place of its own, or beside them."""
+    return matrix.join(part.select("r", "c"), ["r", "c"], "left_anti").select("r", "c", "value").unionByName(part.select("r", "c", "value"))
 
 
 def single(df: DataFrame, group: list[str], col: str) -> DataFrame:

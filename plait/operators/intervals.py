@@ -27,16 +27,34 @@ def count(ranges: Column) -> Column:
 
 
 def overlap_join(left: DataFrame, right: DataFrame, key: str, width: int = 64) -> DataFrame:
-    """Pairs of overlapping intervals (key, start, end, ...) with the overlap. Intervals meet in bins of ``width``
-    numbers, so long keys are spread over tasks; a pair is reported in the bin where its overlap begins."""
-
-    def binned(df: DataFrame, p: str) -> DataFrame:
-        own = df.select(F.col(key), *[F.col(c).alias(f"{p}_{c}") for c in df.columns if c != key])
-        return own.filter(F.col(f"{p}_start") <= F.col(f"{p}_end")).withColumn("_bin", F.explode(F.sequence(F.floor(F.col(f"{p}_start") / width), F.floor(F.col(f"{p}_end") / width))))
-
-    both = binned(left, "l").join(binned(right, "r"), [key, "_bin"])
+    """Pairs of overlapping intervals (key, start, end, ...) with the overlap. An interval lies at the level whose bins,
+    ``width`` numbers doubled level by level, are as long as it is, so in two of them at most; the shorter of a pair is
+    sent up to the levels of longer ones. Open ends cost no more than others, and a pair is reported in the bin where
+    its overlap begins."""
+
+    def own(df: DataFrame, p: str) -> DataFrame:
+        named = df.select(F.col(key), *[F.col(c).alias(f"{p}_{c}") for c in df.columns if c != key]).filter(F.col(f"{p}_start") <= F.col(f"{p}_end"))
+        size = F.col(f"{p}_end").cast("long") - F.col(f"{p}_start") + 1
+        return named.withColumn("_level", F.ceil(F.log2(F.greatest(size / width, F.lit(1.0)))).cast("int"))
+
+    def bins(df: DataFrame, p: str) -> DataFrame:
+        step = F.pow(F.lit(2.0), "_level") * width
+        return df.withColumn("_bin", F.explode(F.sequence(F.floor(F.col(f"{p}_start") / step), F.floor(F.col(f"{p}_end") / step))))
+
+    def up(df: DataFrame, p: str, strictly: bool) -> DataFrame:
+        higher = F.filter(F.array(*[F.lit(x) for x in levels]), lambda x: x > F.col("_level") if strictly else x >= F.col("_level"))
+        return bins(df.withColumn("_level", F.explode(higher)), p)
+
+    x, y = own(left, "l"), own(right, "r")
+    levels = sorted(r[0] for r in x.select("_level").union(y.select("_level")).distinct().collect())  # one for each power of two
+    if not levels:
+        levels = [0]
+    on = [key, "_level", "_bin"]
+    longer_left, longer_right = bins(x, "l").join(up(y, "r", False), on), up(x, "l", True).join(bins(y, "r"), on)
+    both = longer_left.unionByName(longer_right)
     start, end = F.greatest("l_start", "r_start"), F.least("l_end", "r_end")
-    return both.withColumn("start", start).withColumn("end", end).filter("start <= end").filter(F.col("_bin") == F.floor(F.col("start") / width)).drop("_bin")
+    first = F.floor(F.col("start") / (F.pow(F.lit(2.0), "_level") * width))
+    return both.withColumn("start", start).withColumn("end", end).filter("start <= end").filter(F.col("_bin") == first).drop("_bin", "_level")
 
 
 def coalesce(df: DataFrame, key: str, gap: int = 1) -> DataFrame:

@@ -16,6 +16,7 @@ from pyspark.sql.window import Window
 
 from plait.functions.scalars import array_distance
 from plait.operators.graphs import _cut
+from plait.operators.windows import running_total
 
 Distance = Callable[[Column, Column], Column]
 #: Pivots at most, about the square root of the rows below that; parts of a cell; rings around a pivot.
@@ -243,13 +244,3 @@ def split_by_median(df: DataFrame, key: str, distance: Column) -> DataFrame:
     mid = low.crossJoin(high).select(((F.col("_l") + F.col("_h")) / 2).alias("_m"))  # one row
     w = Window.partitionBy("_d").orderBy(key)
     return d.crossJoin(F.broadcast(mid)).withColumn("half", F.when(F.col("_d") < F.col("_m"), 0).when(F.col("_d") > F.col("_m"), 1).otherwise((F.row_number().over(w) - 1) % 2)).drop("_d", "_m")
-
-
-def running_total(df: DataFrame, order: str, n: str, name: str = "upto") -> DataFrame:
-    """df with the sum of n up to and with each row, in order of distinct values: rows are dealt by range, summed in each
-    range, and the ranges' sums (as many as partitions) added."""
-    dealt = _cut(df.repartitionByRange(order).withColumn("_range", F.spark_partition_id()))
-    sums = dealt.groupBy("_range").agg(F.sum(n).alias("_sum"))
-    before = sums.select("_range", (F.sum("_sum").over(Window.orderBy("_range")) - F.col("_sum")).alias("_before"))
-    inside = F.sum(n).over(Window.partitionBy("_range").orderBy(order))
-    return dealt.withColumn("_in", inside).join(F.broadcast(before), "_range").withColumn(name, F.col("_in") + F.col("_before")).drop("_in", "_before", "_range")

@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from plait.operators.windows import row_before
+
 
 def ordered_unique(df: DataFrame, keys: list[str], order: str) -> DataFrame:
     """First rows of distinct keys, in order."""
@@ -59,6 +61,6 @@ def prefix_index(df: DataFrame, col: str, most: int) -> DataFrame:
 
 
 def changed_only(df: DataFrame, key: str, order: list[str], name: str = "shown") -> DataFrame:
-    """The key where it differs from the row before, else an empty text (reports)."""
-    w = Window.partitionBy(F.lit(0)).orderBy(*order)
-    return df.withColumn(name, F.when(F.lag(key).over(w).eqNullSafe(F.col(key)), "").otherwise(F.col(key)))
+    """The key where it differs from the row before, else an empty text (reports); a first row shows its key."""
+    marked = row_before(df.withColumn("_there", F.struct(key)), "_there", order, "_before")
+    return marked.withColumn(name, F.when(F.col("_before").eqNullSafe(F.col("_there")), "").otherwise(F.col(key))).drop("_before", "_there")

@@ -34,19 +34,36 @@ def cdf_steps(df: DataFrame, group: str, value: str) -> DataFrame:
     return counts.select(group, value, (F.sum("n").over(w) / F.sum("n").over(Window.partitionBy(group))).alias("p"))
 
 
+#: Items of a dense table (clusters, classes) at most; a table that is dense in both directions is for few of them.
+FEW = 4096
+
+
+def _few(df: DataFrame, what: str) -> DataFrame:
+    """One row with all rows of df in an array, when there are FEW at most; an error beyond."""
+    checked = F.when(F.count("*") <= FEW, F.array_sort(F.collect_list(F.struct(*df.columns)))).otherwise(F.raise_error(F.lit(f"more than {FEW} {what}")))
+    kind = f"array<struct<{','.join(f'`{n}`:{t}' for n, t in df.dtypes)}>>"
+    return df.agg(checked.cast(kind).alias("_all"))
+
+
 def occurrence_matrix(df: DataFrame, item: str, member: str) -> DataFrame:
-    """(item, member, count) for every item and member, 0 where absent: the dense form of a small cross table."""
-    return df.select(item).distinct().crossJoin(df.select(member).distinct()).join(df.groupBy(item, member).agg(F.count("*").alias("n")), [item, member], "left").withColumn("n", F.coalesce("n", F.lit(0)).cast("long"))
+    """(item, member, n) for every item and member, 0 where absent: present cells are counted, and zeros are filled in
+    when each member's row is written out."""
+    cells = df.groupBy(item, member).agg(F.count("*").alias("n"))
+    rows = cells.groupBy(member).agg(F.map_from_entries(F.collect_list(F.struct(item, "n"))).alias("_own"))
+    items = _few(cells.select(item).distinct(), "items")
+    wide = rows.crossJoin(F.broadcast(items)).select(member, "_own", F.explode("_all").alias("_i"))
+    return wide.select(F.col("_i")[item].alias(item), member, F.coalesce(F.try_element_at("_own", F.col("_i")[item]), F.lit(0)).cast("long").alias("n"))
 
 
 def occurrence_correlation(df: DataFrame, item: str, member: str) -> DataFrame:
-    """Correlation of the 0/1 occurrence of items over members, from joint counts; 0 where an item never varies."""
+    """Correlation of the 0/1 occurrence of items over members, from joint counts; 0 where an item never varies. Items that
+    never meet get their value when the table is written out."""
     present = df.select(item, member).distinct()
     total = present.agg(F.count_distinct(member).alias("total"))
-    own = present.groupBy(item).agg(F.count("*").alias("n"))
+    own = present.groupBy(F.col(item).alias("i")).agg(F.count("*").alias("n"))
     joint = present.select(F.col(item).alias("a"), member).join(present.select(F.col(item).alias("b"), member), member).groupBy("a", "b").agg(F.count("*").alias("both"))
-    cells = own.select(F.col(item).alias("a"), F.col("n").alias("na")).crossJoin(own.select(F.col(item).alias("b"), F.col("n").alias("nb")))
-    all_ = cells.join(joint, ["a", "b"], "left").crossJoin(F.broadcast(total)).withColumn("both", F.coalesce("both", F.lit(0)))
+    cells = _few(own, "items").crossJoin(F.broadcast(total)).select("total", "_all", F.explode("_all").alias("x")).select("total", "x", F.explode("_all").alias("y"))
+    all_ = cells.select("total", F.col("x.i").alias("a"), F.col("x.n").alias("na"), F.col("y.i").alias("b"), F.col("y.n").alias("nb")).join(joint, ["a", "b"], "left").withColumn("both", F.coalesce("both", F.lit(0)))
     below = F.col("na") * (F.col("total") - F.col("na")) * F.col("nb") * (F.col("total") - F.col("nb"))
     top = F.col("total") * F.col("both") - F.col("na") * F.col("nb")
     return all_.select("a", "b", F.when(below == 0, 0.0).otherwise(top / F.sqrt(below.cast("double"))).alias("r"))
@@ -66,14 +83,25 @@ def anova_f(df: DataFrame, label: str, coords: list[str], key: str) -> DataFrame
 
 def self_classification(df: DataFrame, label: str, kind: str, coords: list[str]) -> DataFrame:
     """(row..., p): the probability of each row's own class under one round Gaussian a class, among classes of its type.
-    Class parameters are summaries; rows meet them by type."""
+    The classes of a type (FEW at most) come to each row as one array, so rows are neither multiplied nor grouped."""
     spread = sum((F.var_pop(c) for c in coords[1:]), F.var_pop(coords[0]))
-    classes = df.filter(F.col(label).isNotNull()).groupBy(kind, label).agg(F.count("*").alias("n"), F.sqrt(spread + 1e-9).alias("s"), *[F.avg(c).alias(f"m_{c}") for c in coords])
-    far = sum(((F.col(c) - F.col(f"m_{c}")) ** 2 for c in coords[1:]), (F.col(coords[0]) - F.col(f"m_{coords[0]}")) ** 2)
-    weight = F.col("n") / F.col("s") * F.exp(-far / (2 * F.col("s") * F.col("s")))
-    met = df.join(F.broadcast(classes.withColumnRenamed(label, "_c")), kind).withColumn("_f", weight)
-    keys = df.columns
-    return met.groupBy(*keys).agg((F.sum(F.when(F.col("_c") == F.col(label), F.col("_f")).otherwise(0.0)) / F.sum("_f")).alias("p")).withColumn("p", F.when(F.col(label).isNull(), 0.0).otherwise(F.coalesce("p", F.lit(0.0))))
+    means = [F.avg(c).alias(f"m_{c}") for c in coords]
+    classes = df.filter(F.col(label).isNotNull()).groupBy(kind, label).agg(F.count("*").alias("n"), F.sqrt(spread + 1e-9).alias("s"), *means)
+    one = F.struct(F.col(label).alias("c"), "n", "s", *[f"m_{c}" for c in coords])
+    held = F.when(F.count("*") <= FEW, F.collect_list(one)).otherwise(F.raise_error(F.lit(f"more than {FEW} classes of a type")))
+    kinds = dict(df.dtypes)
+    shape = f"array<struct<c:{kinds[label]},n:bigint,s:double,{','.join(f'm_{c}:double' for c in coords)}>>"
+    packed = classes.groupBy(kind).agg(held.cast(shape).alias("_classes"))
+
+    def weight(c):
+        far = sum(((F.col(x) - c[f"m_{x}"]) ** 2 for x in coords[1:]), (F.col(coords[0]) - c[f"m_{coords[0]}"]) ** 2)
+        return c["n"] / c["s"] * F.exp(-far / (2 * c["s"] * c["s"]))
+
+    add = lambda total, x: total + x
+    all_ = F.aggregate(F.transform("_classes", weight), F.lit(0.0), add)
+    mine = F.aggregate(F.transform(F.filter("_classes", lambda c: c["c"] == F.col(label)), weight), F.lit(0.0), add)
+    p = F.when(F.col(label).isNull(), 0.0).otherwise(F.coalesce(mine / all_, F.lit(0.0)))
+    return df.join(packed, kind, "left").select(*df.columns, p.alias("p"))
 
 
 def contingency(df: DataFrame, a: str, b: str) -> DataFrame:

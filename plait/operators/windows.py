@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window, WindowSpec
 
+from plait.operators.graphs import _cut
+
 #: The smoothing taps, out of 65536.
 TAPS = (6980, 16384, 18808, 16384, 6980)
 SHORT_CHUNK = 6
@@ -96,16 +98,27 @@ def spectrum(df: DataFrame, size: str, order: list[str], name: str = "rainbow")
 
 
 def local_shapes(df: DataFrame, w: WindowSpec, coords: list[str], name: str = "shape") -> DataFrame:
-    """The five points around each inner point, as distances from each to each: a shape without place or turn."""
+    """The five points around each inner point in coordinates of their own, x, y and z of one point after another: from
+    their mean, along the step from the second to the fourth point, towards the middle one and across both."""
     points = [F.struct(*[F.lag(c, -k).over(w).alias(c) for c in coords]) for k in range(-2, 3)]
-    out = df.withColumn("_p", F.array(*points))
-
-    def apart(i: int, j: int) -> Column:
-        a, b = F.col("_p")[i], F.col("_p")[j]
-        return F.sqrt(sum(((a[c] - b[c]) ** 2 for c in coords[1:]), (a[coords[0]] - b[coords[0]]) ** 2))
-
-    whole = F.col("_p")[0][coords[0]].isNotNull() & F.col("_p")[4][coords[0]].isNotNull()
-    return out.filter(whole).withColumn(name, F.array(*[apart(i, j) for i in range(5) for j in range(i + 1, 5)])).drop("_p")
+    out = df.withColumn("_p", F.array(*points)).filter(F.col("_p")[0][coords[0]].isNotNull() & F.col("_p")[4][coords[0]].isNotNull())
+    p = [[F.col("_p")[i][c] for c in coords] for i in range(5)]
+    mean = [sum((p[i][c] for i in range(1, 5)), p[0][c]) / 5 for c in range(3)]
+    dot = lambda u, v: u[0] * v[0] + u[1] * v[1] + u[2] * v[2]
+    vector = lambda n: [F.col(n)[c] for c in range(3)]
+
+    def unit(n: str) -> Column:
+        v = vector(n)
+        return F.array(*[x / F.sqrt(dot(v, v)) for x in v])
+
+    out = out.withColumn("_x", F.array(*[p[3][c] - p[1][c] for c in range(3)])).withColumn("_x", unit("_x"))
+    out = out.withColumn("_y", F.array(*[2 * p[2][c] - p[1][c] - p[3][c] for c in range(3)]))
+    along = dot(vector("_x"), vector("_y"))
+    out = out.withColumn("_y", F.array(*[F.col("_y")[c] - along * F.col("_x")[c] for c in range(3)])).withColumn("_y", unit("_y"))
+    x, y = vector("_x"), vector("_y")
+    out = out.withColumn("_z", F.array(x[1] * y[2] - x[2] * y[1], x[2] * y[0] - x[0] * y[2], x[0] * y[1] - x[1] * y[0]))
+    own = [[p[i][c] - mean[c] for c in range(3)] for i in range(5)]
+    return out.withColumn(name, F.array(*[dot(vector(n), own[i]) for i in range(5) for n in ("_x", "_y", "_z")])).drop("_p", "_x", "_y", "_z")
 
 
 def bond_angles(df: DataFrame, w: WindowSpec, x: str, y: str, z: str) -> DataFrame:
@@ -132,5 +145,34 @@ def first_per_key(df: DataFrame, key: str, order: list[str]) -> DataFrame:
 def range_index(df: DataFrame, key: str, order: list[str]) -> DataFrame:
     """First and last row number of each key in sorted order, from counts alone: keys are summed, not numbered by row."""
     counts = df.groupBy(key).agg(F.count("*").alias("n"))
-    w = Window.orderBy(key).rowsBetween(Window.unboundedPreceding, 0)
-    return counts.withColumn("last", F.sum("n").over(w)).select(key, (F.col("last") - F.col("n") + 1).alias("first"), "last")
+    return running_total(counts, key, "n", "last").select(key, (F.col("last") - F.col("n") + 1).alias("first"), "last")
+
+
+def rank_by(df: DataFrame, score: str, weights: str | None = None, name: str = "rank") -> DataFrame:
+    """Ranks from 1 by falling score, equal scores sharing the mean of their ranks; with weights, a rank counts the
+    weight above and half of one's own equals. Values are summed first, so no task sees all rows."""
+    own = df.groupBy(score).agg((F.count("*") if weights is None else F.sum(weights)).cast("double").alias("_n"))
+    placed = running_total(own.filter(F.col(score).isNotNull()).withColumn("_o", -F.col(score)), "_o", "_n", "_upto")
+    rank = placed.select(score, (F.col("_upto") - F.col("_n") + (F.col("_n") + (1 if weights is None else 0)) / 2).alias(name))
+    return df.join(rank, score, "left")
+
+
+def running_total(df: DataFrame, order: str, n: str, name: str = "upto") -> DataFrame:
+    """df with the sum of n up to and with each row, in order of distinct values: rows are dealt by range, summed in each
+    range, and the ranges' sums (as many as partitions) added."""
+    dealt = _cut(df.repartitionByRange(order).withColumn("_range", F.spark_partition_id()))
+    sums = dealt.groupBy("_range").agg(F.sum(n).alias("_sum"))
+    before = sums.select("_range", (F.sum("_sum").over(Window.orderBy("_range")) - F.col("_sum")).alias("_before"))
+    inside = F.sum(n).over(Window.partitionBy("_range").orderBy(order))
+    return dealt.withColumn("_in", inside).join(F.broadcast(before), "_range").withColumn(name, F.col("_in") + F.col("_before")).drop("_in", "_before", "_range")
+
+
+def row_before(df: DataFrame, col: str, order: list[str], name: str) -> DataFrame:
+    """df with the value of col in the row before, over all rows in one order: rows are dealt by range, and the first of
+    a range takes the last value of the ranges before (as many as partitions)."""
+    dealt = _cut(df.repartitionByRange(*order).withColumn("_range", F.spark_partition_id()))
+    lasts = dealt.groupBy("_range").agg(F.max_by(F.struct(col), F.struct(*order)).alias("_last"))
+    before = lasts.select("_range", F.lag("_last").over(Window.orderBy("_range")).alias("_last"))
+    w = Window.partitionBy("_range").orderBy(*order)
+    out = dealt.withColumn("_own", F.lag(F.struct(col)).over(w)).join(F.broadcast(before), "_range")
+    return out.withColumn(name, F.coalesce("_own", "_last")[col]).drop("_own", "_last", "_range")

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from plait.operators import clustering, stats
+from plait.operators import clustering, graphs, stats
 
 from .registry import query, table
 
@@ -54,24 +54,46 @@ def iterative_superposition_scores(spark: SparkSession, sf_dir: str) -> DataFram
     return clustering.iterative_scores(_families(spark, sf_dir)).withColumn("value", F.round("value", 6))
 
 
+def _links(families: DataFrame) -> DataFrame:
+    """Edges between neighbouring strands of a member, parallel where the first lies at an even place."""
+    x = families.select("g", "m", F.posexplode("kinds").alias("i", "kind"))
+    y = x.select("g", "m", (F.col("i") - 1).alias("i"), F.col("kind").alias("next"))
+    met = x.join(y, ["g", "m", "i"]).filter("kind = 'E' and next = 'E'")
+    return met.select("g", "m", "i", (F.col("i") + 1).alias("j"), F.when(F.col("i") % 2 == 0, 1).otherwise(-1).alias("orient"))
+
+
 @query()
 def guide_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return clustering.guide_trees(clustering.edit_distances(_families(spark, sf_dir)))
+    return clustering.guide_trees(_families(spark, sf_dir))
+
+
+@query()
+def consensus_structures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = clustering.consensus_structures(_families(spark, sf_dir))
+    return out.select("g", "pos", F.transform("point", lambda x: F.round(x, 5)).alias("point"), F.round("occupancy", 6).alias("occupancy"))
+
+
+def _clusters(families: DataFrame) -> DataFrame:
+    return clustering.consensus_clusters(families, clustering.guide_trees(families), _links(families))
 
 
 @query()
 def consensus_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _clusters(_families(spark, sf_dir))
+
+
+@query()
+def rematched_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     f = _families(spark, sf_dir)
-    return clustering.consensus_clusters(f, clustering.guide_trees(clustering.edit_distances(f)))
+    return clustering.rematched_clusters(f, _clusters(f))
 
 
 @query()
 def consensus_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Size and occurrence of every cluster of every family."""
+    """Sheet, size, occurrence, length and variance of every cluster of every family."""
     f = _families(spark, sf_dir)
-    c = clustering.consensus_clusters(f, clustering.guide_trees(clustering.edit_distances(f)))
-    total = f.groupBy("g").agg(F.count("*").alias("members"))
-    return c.groupBy("g", "cluster", "label").agg(F.count("*").alias("found_in")).join(total, "g").withColumn("occurrence", F.col("found_in") / F.col("members"))
+    out = clustering.cluster_statistics(f, graphs._cut(_clusters(f)), _links(f))
+    return out.withColumns({c: F.round(c, 6) for c in ("occurrence", "average_length", "coord_variance")})
 
 
 @query("select vec_id, dense_rank() over (order by case when label % 3 = 0 then -1 else label * 5 end) - case when label % 3 = 0 then 2 else 2 end as dense from embeddings")
@@ -88,9 +110,11 @@ def member_cluster_table(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def strong_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    li = table(spark, sf_dir, "lineitem")
-    e = li.groupBy((F.col("l_orderkey") % 5).alias("g"), (F.col("l_partkey") % 12).alias("a"), (F.col("l_suppkey") % 12).alias("b")).agg(F.count("*").cast("double").alias("weight")).filter("a < b").withColumn("orient", F.lit(1))
-    return clustering.strong_edges(e, "g")
+    """Between classes of parts in five groups of orders: a class weighs its lines, an edge the suppliers' lines it shares."""
+    li = table(spark, sf_dir, "lineitem").select((F.col("l_orderkey") % 5).alias("g"), (F.col("l_partkey") % 12).alias("a"), (F.col("l_suppkey") % 12).alias("b"))
+    vertices = li.select("g", F.col("a").alias("v")).union(li.select("g", F.col("b").alias("v"))).groupBy("g", "v").agg(F.count("*").alias("n"))
+    e = li.groupBy("g", "a", "b").agg(F.count("*").alias("n")).filter("a < b").withColumn("orient", F.when((F.col("a") + F.col("b")) % 2 == 0, 1).otherwise(-1))
+    return clustering.strong_edges(vertices, e, "g", 0.05)
 
 
 @query()
@@ -106,7 +130,16 @@ def matched_agreement(spark: SparkSession, sf_dir: str) -> DataFrame:
     return clustering.matched_agreement(counts, "label", "other").select(F.round("agreement", 9).alias("agreement"))
 
 
-@query()
+_XYZ = "with p as (select vec_id, label, embedding[1]::double as x, embedding[2]::double as y, embedding[3]::double as z from embeddings), "
+
+
+@query(_XYZ + """w as (select vec_id, lag(x, 2) over w as x0, lag(y, 2) over w as y0, lag(z, 2) over w as z0, lag(x, 1) over w as x1, lag(y, 1) over w as y1, lag(z, 1) over w as z1, x as x2, y as y2, z as z2, lead(x, 1) over w as x3, lead(y, 1) over w as y3, lead(z, 1) over w as z3, lead(x, 2) over w as x4, lead(y, 2) over w as y4, lead(z, 2) over w as z4 from p window w as (partition by label order by vec_id)),
+q as (select *, sqrt((x3 - x1)^2 + (y3 - y1)^2 + (z3 - z1)^2) as n, (x0 + x1 + x2 + x3 + x4) / 5 as mx, (y0 + y1 + y2 + y3 + y4) / 5 as my, (z0 + z1 + z2 + z3 + z4) / 5 as mz from w where x0 is not null and x4 is not null),
+r as (select *, (x3 - x1) / n as ax, (y3 - y1) / n as ay, (z3 - z1) / n as az, 2 * x2 - x1 - x3 as tx, 2 * y2 - y1 - y3 as ty, 2 * z2 - z1 - z3 as tz from q),
+s as (select *, tx - (ax * tx + ay * ty + az * tz) * ax as ux, ty - (ax * tx + ay * ty + az * tz) * ay as uy, tz - (ax * tx + ay * ty + az * tz) * az as uz from r),
+t as (select *, ux / sqrt(ux * ux + uy * uy + uz * uz) as bx, uy / sqrt(ux * ux + uy * uy + uz * uz) as by_, uz / sqrt(ux * ux + uy * uy + uz * uz) as bz from s),
+c as (select *, ay * bz - az * by_ as cx, az * bx - ax * bz as cy, ax * by_ - ay * bx as cz from t)
+select vec_id, [round(ax * (x0 - mx) + ay * (y0 - my) + az * (z0 - mz), 6), round(bx * (x0 - mx) + by_ * (y0 - my) + bz * (z0 - mz), 6), round(cx * (x0 - mx) + cy * (y0 - my) + cz * (z0 - mz), 6), round(ax * (x1 - mx) + ay * (y1 - my) + az * (z1 - mz), 6), round(bx * (x1 - mx) + by_ * (y1 - my) + bz * (z1 - mz), 6), round(cx * (x1 - mx) + cy * (y1 - my) + cz * (z1 - mz), 6), round(ax * (x2 - mx) + ay * (y2 - my) + az * (z2 - mz), 6), round(bx * (x2 - mx) + by_ * (y2 - my) + bz * (z2 - mz), 6), round(cx * (x2 - mx) + cy * (y2 - my) + cz * (z2 - mz), 6), round(ax * (x3 - mx) + ay * (y3 - my) + az * (z3 - mz), 6), round(bx * (x3 - mx) + by_ * (y3 - my) + bz * (z3 - mz), 6), round(cx * (x3 - mx) + cy * (y3 - my) + cz * (z3 - mz), 6), round(ax * (x4 - mx) + ay * (y4 - my) + az * (z4 - mz), 6), round(bx * (x4 - mx) + by_ * (y4 - my) + bz * (z4 - mz), 6), round(cx * (x4 - mx) + cy * (y4 - my) + cz * (z4 - mz), 6)] as shape from c""")
 def local_shapes(spark: SparkSession, sf_dir: str) -> DataFrame:
     from plait.operators import windows
 
@@ -115,7 +148,11 @@ def local_shapes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("vec_id", F.transform("shape", lambda v: F.round(v, 6)).alias("shape"))
 
 
-@query()
+@query(_XYZ + """s as (select vec_id, lead(x, 1) over o - x as ux, lead(y, 1) over o - y as uy, lead(z, 1) over o - z as uz, lead(x, 2) over o - lead(x, 1) over o as vx, lead(y, 2) over o - lead(y, 1) over o as vy, lead(z, 2) over o - lead(z, 1) over o as vz, lead(x, 3) over o - lead(x, 2) over o as wx, lead(y, 3) over o - lead(y, 2) over o as wy, lead(z, 3) over o - lead(z, 2) over o as wz from p window o as (partition by label order by vec_id)),
+n as (select *, uy * vz - uz * vy as px, uz * vx - ux * vz as py, ux * vy - uy * vx as pz, vy * wz - vz * wy as qx, vz * wx - vx * wz as qy, vx * wy - vy * wx as qz from s where wx is not null)
+select vec_id, round(acos(greatest(-1, least(1, (ux * vx + uy * vy + uz * vz) / sqrt((ux * ux + uy * uy + uz * uz) * (vx * vx + vy * vy + vz * vz))))), 6) as alpha,
+round(atan2((ux * qx + uy * qy + uz * qz) * sqrt(vx * vx + vy * vy + vz * vz), px * qx + py * qy + pz * qz), 6) as beta,
+round(acos(greatest(-1, least(1, (vx * wx + vy * wy + vz * wz) / sqrt((vx * vx + vy * vy + vz * vz) * (wx * wx + wy * wy + wz * wz))))), 6) as gamma from n""")
 def bond_angles(spark: SparkSession, sf_dir: str) -> DataFrame:
     from plait.operators import windows
 

@@ -63,10 +63,10 @@ def dictionary_joins(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _spans(spark: SparkSession, sf_dir: str, step: int) -> DataFrame:
     o = table(spark, sf_dir, "orders")
-    return o.filter(F.col("o_orderkey") % 3 == step).select((F.col("o_custkey") % 40).alias("k"), (F.col("o_orderkey") * 7 % 20011).alias("start"), (F.col("o_orderkey") * 7 % 20011 + F.col("o_orderkey") % 37).alias("end"))
+    return o.filter(F.col("o_orderkey") % 2 == step).select((F.col("o_custkey") % 40).alias("k"), (F.col("o_orderkey") * 7 % 20011).alias("start"), (F.col("o_orderkey") * 7 % 20011 + F.col("o_orderkey") % 37).alias("end"))
 
 
-_SPANS = "select o_custkey % 40 as k, o_orderkey * 7 % 20011 as start, o_orderkey * 7 % 20011 + o_orderkey % 37 as \"end\" from orders where o_orderkey % 3 = {}"
+_SPANS = "select o_custkey % 40 as k, o_orderkey * 7 % 20011 as start, o_orderkey * 7 % 20011 + o_orderkey % 37 as \"end\" from orders where o_orderkey % 2 = {}"
 
 
 @query(f"""select a.k, greatest(a.start, b.start) as start, least(a."end", b."end") as "end", count(*) as n from ({_SPANS.format(0)}) a join ({_SPANS.format(1)}) b on a.k = b.k
@@ -75,11 +75,11 @@ def interval_overlap_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return intervals.overlap_join(_spans(spark, sf_dir, 0), _spans(spark, sf_dir, 1), "k").groupBy("k", "start", "end").agg(F.count("*").alias("n"))
 
 
-@query(f"""with s as ({_SPANS.format(0)}), m as (select *, max("end") over (partition by k order by start, "end" rows between unbounded preceding and 1 preceding) as before from s),
+@query(f"""with s as ({_SPANS.format(0)} union all {_SPANS.format(1)}), m as (select *, max("end") over (partition by k order by start, "end" rows between unbounded preceding and 1 preceding) as before from s),
 g as (select *, sum(case when start <= before + 1 then 0 else 1 end) over (partition by k order by start, "end" rows unbounded preceding) as island from m)
 select k, min(start) as start, max("end") as "end" from g group by k, island""")
 def coalesce_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return intervals.coalesce(_spans(spark, sf_dir, 0), "k")
+    return intervals.coalesce(_spans(spark, sf_dir, 0).union(_spans(spark, sf_dir, 1)), "k")
 
 
 @query("""with s as (select o_custkey as k, o_orderkey as start, o_orderkey + o_custkey % 50 as "end" from orders),
@@ -237,17 +237,18 @@ def grouped_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sets.changed_only(s, "nation", ["s_nationkey", "s_suppkey"]).select("s_suppkey", "shown")
 
 
-@query("""with p as (select vec_id, label, label % 2 as kind, embedding[1]::double as x1, embedding[2]::double as y1, embedding[3]::double as z1, embedding[4]::double as x2, embedding[5]::double as y2, embedding[6]::double as z2 from embeddings where vec_id < 60),
-d as (select a.vec_id as a, b.vec_id as b, sqrt((a.x1 - b.x1)^2 + (a.y1 - b.y1)^2 + (a.z1 - b.z1)^2) + sqrt((a.x2 - b.x2)^2 + (a.y2 - b.y2)^2 + (a.z2 - b.z2)^2) as d from p a join p b on a.kind = b.kind and a.vec_id < b.vec_id)
+@query("""with p as (select vec_id, label, label % 2 as kind, embedding[1]::double as x1, embedding[2]::double as y1, embedding[3]::double as z1, embedding[4]::double as x2, embedding[5]::double as y2, embedding[6]::double as z2 from embeddings),
+d as (select a.vec_id as a, b.vec_id as b, sqrt((a.x1 - b.x1)^2 + (a.y1 - b.y1)^2 + (a.z1 - b.z1)^2) + sqrt((a.x2 - b.x2)^2 + (a.y2 - b.y2)^2 + (a.z2 - b.z2)^2) as d from p a join p b on a.kind = b.kind and a.vec_id <> b.vec_id where a.vec_id % 50 = 0)
 select a, b, round(d, 6) as d, round(30 - d, 6) as linear, round((-(d - 29.4) + sqrt((d - 29.4) * (d - 29.4) + 4 * 29.7 * 0.3)) / 59.4, 6) as ramp, round(exp(-d / 30), 6) as soft from d""")
 def type_restricted_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = table(spark, sf_dir, "embeddings").filter("vec_id < 60")
+    """The stated rows, whose id is divisible by 50, against all rows of their kind."""
+    e = table(spark, sf_dir, "embeddings")
     p = e.select("vec_id", (F.col("label") % 2).alias("kind"), *[F.col("embedding")[i].cast("double").alias(f"c{i}") for i in range(6)])
     a = p.select(F.col("vec_id").alias("a"), "kind", *[F.col(f"c{i}").alias(f"a{i}") for i in range(6)])
     b = p.select(F.col("vec_id").alias("b"), "kind", *[F.col(f"c{i}").alias(f"b{i}") for i in range(6)])
     cols = lambda s, r: [F.col(f"{s}{i}") for i in r]
     d = scalars.element_distance(cols("a", range(3)), cols("a", range(3, 6)), cols("b", range(3)), cols("b", range(3, 6)))
-    pairs = a.join(b, "kind").filter("a < b").select("a", "b", d.alias("d"))
+    pairs = a.filter("a % 50 = 0").join(b, "kind").filter("a <> b").select("a", "b", d.alias("d"))
     same = F.lit(True)
     return pairs.select("a", "b", F.round("d", 6).alias("d"), F.round(scalars.linear_score(F.col("d"), same), 6).alias("linear"), F.round(scalars.smoothed_ramp(F.col("d")), 6).alias("ramp"), F.round(scalars.exp_score(F.col("d")), 6).alias("soft"))
 

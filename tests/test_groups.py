@@ -14,7 +14,7 @@ from plait.plans import groups
 def tables(spark, tmp_path_factory):
     where = tmp_path_factory.mktemp("families")
     rng = random.Random(5)
-    orders = [(100 + i, c) for i, c in enumerate(c for c in (1, 2, 25, 26) for _ in range(3))]
+    orders = [(100 + i, c) for i, c in enumerate([c for c in (1, 2, 25, 26) for _ in range(3)] + [40])]
     lines = [(o, n, rng.randrange(1, 200), rng.randrange(1, 100), float(rng.randrange(1, 50)), rng.random() * 1000, rng.choice("FO")) for o, _ in orders for n in range(1, rng.randrange(4, 7))]
     spark.createDataFrame(orders, "o_orderkey long, o_custkey long").write.parquet(f"{where}/orders.parquet")
     spark.createDataFrame(lines, "l_orderkey long, l_linenumber int, l_partkey long, l_suppkey long, l_quantity double, l_extendedprice double, l_linestatus string").write.parquet(f"{where}/lineitem.parquet")
@@ -63,16 +63,42 @@ def test_all_pairs_are_there(spark, tables, name):
     assert got == {(x[0], x[1], y[1]) for x, y in pairs(members)}
 
 
+def plain_tree(own):
+    """The tree by measuring everything: (merges, root)."""
+    nodes = {i: kernels.Weighted(x) for i, x in enumerate(own)}
+    out = []
+    for new in range(len(own), 2 * len(own) - 1):
+        d, a, b = min((nodes[a].distance(nodes[b]), a, b) for a in nodes for b in nodes if a < b)
+        out.append((a, b, d))
+        nodes[new] = nodes.pop(a).joined(nodes.pop(b))
+    return out, nodes.popitem()[1]
+
+
 def test_trees_and_clusters_of_every_family(spark, tables):
     where, members = tables
     trees = groups.guide_trees(spark, where).collect()
     clusters = groups.consensus_clusters(spark, where).collect()
+    roots = groups.consensus_structures(spark, where).collect()
+    families = {c for c, _ in members}
     assert sorted((r.g, r.m, r.pos) for r in clusters) == sorted((c, o, i) for (c, o), rows in members.items() for i in range(len(rows)))
-    for g in {c for c, _ in members}:
+    assert {r.linear for r in clusters} == {0}
+    for g in families:
         own = [points(members[k])[0] for k in sorted(members) if k[0] == g]
-        d = np.array([[plain_edit(x, y) if x is not y else 0.0 for y in own] for x in own])
-        want = kernels.guide_tree(d)
+        want, root = plain_tree(own)
         got = sorted((r.node, r.left, r.right, r.distance) for r in trees if r.g == g)
         assert [t[1:3] for t in got] == [t[:2] for t in want] and np.allclose([t[3] for t in got], [t[2] for t in want])
-    assert {r.g for r in groups.consensus_statistics(spark, where).select("g").collect()} == {c for c, _ in members}
-    assert {r.g for r in groups.family_consensus(spark, where).select("g").collect()} == {c for c, _ in members}
+        found = sorted((r.pos, r.point, r.occupancy) for r in roots if r.g == g)
+        assert np.allclose([f[1] for f in found], root.points, atol=1e-4) and np.allclose([f[2] for f in found], root.share, atol=1e-5)
+    stats = groups.consensus_statistics(spark, where).collect()
+    counted = {}
+    for r in clusters:
+        counted.setdefault((r.g, r.cluster), []).append(r)
+    assert {(r.g, r.cluster): r.found_in for r in stats} == {k: len(v) for k, v in counted.items()}
+    for r in stats:
+        x = np.array([points(members[r.g, c.m])[0][c.pos] for c in counted[r.g, r.cluster]])
+        assert r.average_length == pytest.approx(kernels.lengths(x).mean(), abs=1e-5)
+        assert r.coord_variance == pytest.approx(x.var(axis=0, ddof=1).sum() if len(x) > 1 else 0.0, abs=1e-4)
+        assert (r.sheet_id > 0) <= r.label.startswith("E")
+    again = groups.rematched_clusters(spark, where).collect()
+    assert sorted((r.g, r.m, r.pos) for r in again) == sorted((r.g, r.m, r.pos) for r in clusters)
+    assert {r.g for r in groups.family_consensus(spark, where).select("g").collect()} == families
