@@ -32,6 +32,40 @@ def align(scores: np.ndarray) -> tuple[float, list[tuple[int, int]]]:
     return float(total[m, n]), pairs[::-1]
 
 
+def totals(scores: np.ndarray) -> np.ndarray:
+    """Totals of align() for many score matrices at once (B x m x n), smaller ones padded with zeros, which change nothing."""
+    b, m, n = scores.shape
+    row = np.zeros((n + 1, b))
+    cells = np.ascontiguousarray(np.moveaxis(scores, 0, 2))
+    for i in range(m):
+        before, row = row, np.zeros((n + 1, b))
+        step = before[:-1] + cells[i]
+        for j in range(n):
+            row[j + 1] = np.maximum(np.maximum(row[j], before[j + 1]), step[j])
+    return row[n]
+
+
+def padded(arrays: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """(B x longest x d with zeros behind the ends, lengths)."""
+    sizes = np.array([len(x) for x in arrays])
+    width = next((x.shape[1] for x in arrays if x.ndim == 2), 1)
+    out = np.zeros((len(arrays), max(1, int(sizes.max(initial=0))), width))
+    for i, x in enumerate(arrays):
+        if len(x):
+            out[i, : len(x)] = x
+    return out, sizes
+
+
+def edit_distances(a: list[np.ndarray], wa: list[np.ndarray], b: list[np.ndarray], wb: list[np.ndarray], reach: float = 10.0) -> np.ndarray:
+    """edit_distance() of many pairs."""
+    x, y = padded(a)[0], padded(b)[0]
+    w1, w2 = padded([w[:, None] for w in wa])[0], np.moveaxis(padded([w[:, None] for w in wb])[0], 1, 2)
+    r = np.sqrt(((x[:, :, None] - y[:, None]) ** 2).sum(axis=3))
+    apart = (1 - np.exp(-r / reach)) * np.minimum(w1, w2) + 0.5 * np.abs(w1 - w2)
+    scores = np.where((w1 > 0) & (w2 > 0), 0.5 * w1 + 0.5 * w2 - apart, 0.0)
+    return np.maximum(0.0, 0.5 * w1.sum(axis=(1, 2)) + 0.5 * w2.sum(axis=(1, 2)) - totals(scores))
+
+
 def superpose(a: np.ndarray, b: np.ndarray, w: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """(rotation, shift) that bring points a (n x 3) closest to b, never a mirror image."""
     w = np.ones(len(a)) if w is None else w
@@ -253,50 +287,61 @@ def reduce_edges(n: int, edges: set[tuple[int, int]]) -> set[tuple[int, int]]:
     return {(int(u), int(v)) for u, v in np.argwhere(reach & ~longer)}
 
 
-def ideals(n: int, edges: set[tuple[int, int]], most: int = 20_000) -> dict[frozenset, list[tuple[int, frozenset]]]:
-    """Order ideals of an acyclic graph with the ways to take away one of their last vertices. Their number grows with
-    the width; more than ``most`` is an error, so a caller can fall back to a linear order and say so."""
+def ideals(n: int, edges: set[tuple[int, int]], most: int = 20_000) -> list[list[tuple[int, int]]]:
+    """Order ideals of an acyclic graph, smaller ones first: for each the ways to take away one of its last vertices, as
+    (vertex, number of the ideal without it). Their number grows with the width; more than ``most`` is an error, so a
+    caller can fall back to a linear order and say so."""
     reach = closure(n, edges)
-    above = [frozenset(np.flatnonzero(reach[:, v]).tolist()) for v in range(n)]
-    found: dict[frozenset, list[tuple[int, frozenset]]] = {frozenset(): []}
-    frontier = [frozenset()]
+    above = [sum(1 << int(u) for u in np.flatnonzero(reach[:, v])) for v in range(n)]
+    tips: list[list[tuple[int, int]]] = [[]]
+    frontier = {0: 0}
     while frontier:
-        new: dict[frozenset, list[tuple[int, frozenset]]] = {}
-        for ideal in frontier:
+        new: dict[int, list[tuple[int, int]]] = {}
+        for ideal, number in frontier.items():
             for v in range(n):
-                if v not in ideal and above[v] <= ideal:
-                    new.setdefault(ideal | {v}, []).append((v, ideal))
-        if len(found) + len(new) > most:
+                if not ideal >> v & 1 and above[v] & ideal == above[v]:
+                    new.setdefault(ideal | 1 << v, []).append((v, number))
+        if len(tips) + len(new) > most:
             raise OverflowError("too many order ideals")
-        found |= {k: sorted(v, key=lambda x: x[0]) for k, v in new.items()}
-        frontier = sorted(new, key=sorted)
-    return found
+        frontier = {}
+        for ideal in sorted(new):
+            frontier[ideal] = len(tips)
+            tips.append(sorted(new[ideal]))
+    return tips
 
 
 def align_dags(n1: int, e1: set, n2: int, e2: set, scores: np.ndarray) -> tuple[float, list[tuple[int, int]]]:
     """Best matching of vertices that keeps both orders, over pairs of order ideals."""
-    one, two = ideals(n1, e1), ideals(n2, e2)
-    best: dict[tuple, tuple[float, object]] = {}
-    for a, tips_a in one.items():
-        for b, tips_b in two.items():
+    one, two, score = ideals(n1, e1), ideals(n2, e2), scores.tolist()
+    best: list[list[float]] = []
+    steps: list[list[tuple | None]] = []
+    for a, tips_a in enumerate(one):
+        values: list[float] = []
+        moves: list[tuple | None] = []
+        best.append(values)
+        steps.append(moves)
+        for tips_b in two:
+            b = len(values)
             value, step = (0.0, None) if not a and not b else (-1.0, None)
             for _, rest in tips_a:
-                if best[rest, b][0] > value:
-                    value, step = best[rest, b][0], (rest, b, None)
+                if best[rest][b] > value:
+                    value, step = best[rest][b], (rest, b, None)
             for _, rest in tips_b:
-                if best[a, rest][0] > value:
-                    value, step = best[a, rest][0], (a, rest, None)
+                if values[rest] > value:
+                    value, step = values[rest], (a, rest, None)
             for u, ra in tips_a:
+                own, line = best[ra], score[u]
                 for v, rb in tips_b:
-                    if best[ra, rb][0] + scores[u, v] > value:
-                        value, step = best[ra, rb][0] + scores[u, v], (ra, rb, (u, v))
-            best[a, b] = value, step
-    at = (frozenset(range(n1)), frozenset(range(n2)))
-    total, pairs = best[at][0], []
-    while (step := best[at][1]) is not None:
+                    if own[rb] + line[v] > value:
+                        value, step = own[rb] + line[v], (ra, rb, (u, v))
+            values.append(value)
+            moves.append(step)
+    a, b, pairs = len(one) - 1, len(two) - 1, []
+    total = best[a][b]
+    while (step := steps[a][b]) is not None:
         if step[2]:
             pairs.append(step[2])
-        at = step[:2]
+        a, b = step[:2]
     return total, pairs[::-1]
 
 
@@ -366,23 +411,30 @@ class Nearest:
         self.older: dict[int, tuple[float, int]] = {}  # each node's nearest one of those before it
         self.measured = 0
 
-    def _distance(self, a: int, b: int) -> float:
-        if b not in self.known[a]:
-            self.known[a][b] = self.known[b][a] = self.nodes[a].distance(self.nodes[b])
-            self.measured += 1
-        return self.known[a][b]
+    def _measure(self, a: int, others: list[int]) -> None:
+        d = edit_distances([self.nodes[a].points] * len(others), [self.nodes[a].share] * len(others), [self.nodes[b].points for b in others], [self.nodes[b].share for b in others])
+        for b, x in zip(others, d.tolist(), strict=True):
+            self.known[a][b] = self.known[b][a] = x
+        self.measured += len(others)
+
+    def _bound(self, a: int, b: int) -> float:
+        """What measured distances say that theirs is at least."""
+        few, many = sorted((self.known[a], self.known[b]), key=len)
+        return max((abs(d - many[p]) for p, d in few.items() if p in many), default=0.0)
 
-    def _find(self, a: int) -> None:
-        best = (float("inf"), -1)
+    def _find(self, a: int, at_once: int = 32) -> None:
+        """The nearest node before a: those not measured yet are, by rising bound and a few at once, until the bound rules
+        out the rest."""
         rest = [b for b in self.nodes if b < a]
         mine = self.known[a]
-        for b in sorted(rest, key=lambda b: (b not in mine, mine.get(b, 0.0), b)):
-            if b not in mine:
-                theirs = self.known[b]
-                few, many = (mine, theirs) if len(mine) <= len(theirs) else (theirs, mine)
-                if max((abs(d - many[p]) for p, d in few.items() if p in many), default=0.0) > best[0] + 1e-9:
-                    continue
-            best = min(best, (self._distance(a, b), b))
+        best = min(((mine[b], b) for b in rest if b in mine), default=(float("inf"), -1))
+        open_ = sorted((self._bound(a, b), b) for b in rest if b not in mine)
+        for i in range(0, len(open_), at_once):
+            few = [b for x, b in open_[i : i + at_once] if x <= best[0] + 1e-9]
+            if not few:
+                break
+            self._measure(a, few)
+            best = min(best, min((mine[b], b) for b in few))
         self.older[a] = best
 
     def insert(self, a: int, node: Weighted) -> None:

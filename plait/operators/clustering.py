@@ -16,6 +16,10 @@ from plait.functions import kernels
 from plait.operators.windows import running_total
 
 
+#: Cells of score matrices that are filled at once.
+CELLS = 1 << 19
+
+
 def sequences(df: DataFrame, group: str, member: str, order: list[str], coords: list[str], kind: str | None = None) -> DataFrame:
     """(group, member, xs array<array<double>>, kinds array<string>): the elements of each member in order."""
     place = F.struct(*order, *[F.col(c).cast("double").alias(f"_{i}") for i, c in enumerate(coords)], (F.col(kind).cast("string") if kind else F.lit("")).alias("_k"))
@@ -45,9 +49,37 @@ def _each(pairs: DataFrame, kind: str, f) -> DataFrame:
     return pairs.select("g", "a", "b", value("xa", "ka", "xb", "kb").alias("value"))
 
 
+def _many(pairs: DataFrame, f) -> DataFrame:
+    """A column ``value`` of f over lists of pairs of like size: whole Arrow batches go through the kernel in few steps."""
+
+    @F.pandas_udf("double")
+    def value(xa: pd.Series, ka: pd.Series, xb: pd.Series, kb: pd.Series) -> pd.Series:
+        a, b = [np.stack(x) for x in xa], [np.stack(x) for x in xb]
+        sizes = np.array([(len(p), len(q)) for p, q in zip(a, b, strict=True)])
+        order = np.lexsort((sizes[:, 1], sizes[:, 0]))
+        out, at = np.zeros(len(a)), 0
+        while at < len(order):
+            cells = np.maximum.accumulate(sizes[order[at:], 0]) * np.maximum.accumulate(sizes[order[at:], 1]) * np.arange(1, len(order) - at + 1)
+            own = order[at : at + max(1, int(np.searchsorted(cells, CELLS, "right")))]
+            out[own] = f([a[i] for i in own], [np.asarray(ka.iloc[i]) for i in own], [b[i] for i in own], [np.asarray(kb.iloc[i]) for i in own])
+            at += len(own)
+        return pd.Series(out)
+
+    return pairs.select("g", "a", "b", value("xa", "ka", "xb", "kb").alias("value"))
+
+
 def alignment_scores(seqs: DataFrame) -> DataFrame:
     """(g, a, b, value): total of the best monotone matching of the elements of each pair of members."""
-    return _each(_pairs(seqs), "double", lambda x, k, y, l: kernels.align(np.where(k[:, None] == l[None], np.maximum(0, 30 - np.sqrt(((x[:, None] - y[None]) ** 2).sum(axis=2))), 0))[0])
+
+    def scores(a: list, ka: list, b: list, kb: list) -> np.ndarray:
+        x, y = kernels.padded(a)[0], kernels.padded(b)[0]
+        names = {k: i + 1.0 for i, k in enumerate(sorted({*np.concatenate(ka), *np.concatenate(kb)}))}
+        kx, ky = (kernels.padded([np.array([[names[v]] for v in k]) for k in ks])[0] for ks in (ka, kb))
+        same = (kx == np.moveaxis(ky, 1, 2)) & (kx > 0)
+        d = np.sqrt(((x[:, :, None] - y[:, None]) ** 2).sum(axis=3))
+        return kernels.totals(np.where(same, np.maximum(0, 30 - d), 0.0))
+
+    return _many(_pairs(seqs), scores)
 
 
 def matchings(seqs: DataFrame) -> DataFrame:
@@ -58,7 +90,7 @@ def matchings(seqs: DataFrame) -> DataFrame:
 
 def edit_distances(seqs: DataFrame) -> DataFrame:
     """(g, a, b, value): the metric distance of each pair of members, all weights 1."""
-    return _each(_pairs(seqs), "double", lambda x, k, y, l: kernels.edit_distance(x, np.ones(len(x)), y, np.ones(len(y))))
+    return _many(_pairs(seqs), lambda a, _, b, __: kernels.edit_distances(a, [np.ones(len(x)) for x in a], b, [np.ones(len(x)) for x in b]))
 
 
 def superposition_deviations(seqs: DataFrame) -> DataFrame:
