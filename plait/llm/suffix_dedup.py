@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from . import ragged, scratch
 
 WIDTH, GRAM = 100, 40
-SHARD = 1 << 22
+SHARD = 1 << 21
 SPILL = 1 << 23
 CHUNK = 1 << 19
 SAMPLE, HEAVY, ORDERS = 64, 1024, 4
@@ -333,18 +333,23 @@ def _anchors(flat: np.ndarray, offsets: np.ndarray, width: int, hot: np.ndarray)
     if not len(starts):
         return none
 
-    def chosen(order: np.ndarray) -> np.ndarray:
-        """For every start the hash that comes first in an order, the leftmost of equals."""
-        key = (order >> low << low) | places.astype(np.uint64)
-        return (_least(key, span, count)[starts] & mask).astype(np.int64)
-
-    text, at = text[starts], chosen(hashes)
+    # For every start the place of its least hash, the leftmost of equals.
+    text, at = text[starts], (_least((hashes >> low << low) | places.astype(np.uint64), span, count)[starts] & mask).astype(np.int64)
     anchor = hashes[at]
     is_hot = np.isin(anchor, hot) if len(hot) else np.zeros(len(anchor), bool)
     if is_hot.any():
+        # The substrings below runs of hot starts, one run after another.
+        own = starts[is_hot]
+        heads = np.flatnonzero(np.append(True, np.diff(own) != 1))
+        sizes = np.diff(np.append(heads, len(own)))
+        before = np.append(0, np.cumsum(sizes + span - 1))
+        below = np.repeat(own[heads] - before[:-1], sizes + span - 1) + np.arange(before[-1])
+        inside = np.arange(len(own)) + np.repeat(np.arange(len(heads)) * (span - 1), sizes)
         for k in range(1, ORDERS):
-            other = hashes[chosen(ragged.mix(hashes ^ np.uint64(0x9E37 * k)))]
-            anchor = np.where(is_hot, ragged.mix(anchor + other * np.uint64(2 * k + 1)), anchor)
+            order = ragged.mix(hashes[below] ^ np.uint64(0x9E37 * k))
+            key = (order >> low << low) | np.arange(len(below), dtype=np.uint64)
+            first = (_least(key, span, len(below) - span + 1)[inside] & mask).astype(np.int64)
+            anchor[is_hot] = ragged.mix(anchor[is_hot] + hashes[below[first]] * np.uint64(2 * k + 1))
     split = np.append(True, (text[1:] != text[:-1]) | (anchor[1:] != anchor[:-1]) | (~is_hot[1:] & (at[1:] != at[:-1])))
     heads = np.flatnonzero(split)
     runs = np.diff(np.append(heads, len(starts)))
@@ -377,14 +382,35 @@ def _hot_anchors(docs: DataFrame, width: int) -> np.ndarray:
 
 def _hot_repeated(runs: DataFrame) -> DataFrame:
     """What _repeated() gives, for rows of hot anchors: rows of a record are summed up before they are shuffled, and
-    those of the HEAVY most common records meet their first row by broadcast."""
+    those of the HEAVY most common records are told from their first row by a table that is sent to all tasks."""
     firsts = scratch.write(runs.groupBy("anchor", "record").agg(F.min(F.struct("id", "start", "many")).alias("first"), F.count("*").alias("n")), "hot-records")
     rows = firsts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first().n
     several = firsts.groupBy("anchor").agg(F.count("*").alias("records")).filter("records > 1")
-    heavy = F.broadcast(firsts.filter(F.col("n") * HEAVY > rows).select("anchor", "record", "first"))  # fewer than HEAVY
-    twice = firsts.filter((F.col("n") > 1) & (F.col("n") * HEAVY <= rows)).select("anchor", "record", "first")
-    met = runs.join(heavy, ["anchor", "record"]).unionByName(runs.join(heavy, ["anchor", "record"], "left_anti").join(twice, ["anchor", "record"]))
-    again = met.filter(F.struct("id", "start") > F.struct("first.id", "first.start")).select("anchor", "record", "id", "start", "many", F.lit(True).alias("again"))
+    many = F.col("n") * HEAVY > rows
+    common = firsts.filter(many).select("anchor", "record", "first.id", "first.start").collect()  # fewer than HEAVY rows
+    shared = runs.sparkSession.sparkContext.broadcast({(r.anchor, r.record): (r.id, r.start) for r in common})
+    names = ["anchor", "record", "id", "start", "many"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows of common records other than the first (again), and all rows of other records (not again)."""
+        table = sorted(shared.value.items())
+        pairs = np.array([k for k, _ in table], np.int64).reshape(-1, 2)
+        first = np.array([v for _, v in table], np.int64).reshape(-1, 2)
+        keys = ragged.mix(pairs[:, 0].view(np.uint64) + ragged.mix(pairs[:, 1].copy().view(np.uint64))) if len(pairs) else np.zeros(0, np.uint64)
+        order = np.argsort(keys)
+        for batch in batches:
+            anchor, record, name, start = (batch.column(c).to_numpy() for c in names[:4])
+            own = ragged.mix(anchor.view(np.uint64) + ragged.mix(record.view(np.uint64)))
+            at = order[np.minimum(np.searchsorted(keys[order], own), len(keys) - 1)] if len(keys) else np.zeros(len(own), np.int64)
+            known = (pairs[at] == np.stack([anchor, record], axis=1)).all(axis=1) if len(keys) else np.zeros(len(own), bool)
+            is_first = known & (first[at] == np.stack([name, start], axis=1)).all(axis=1) if len(keys) else known
+            keep = pa.array(~is_first)
+            yield pa.RecordBatch.from_arrays([*(batch.column(c).filter(keep) for c in names), pa.array(known[~is_first])], [*names, "again"])
+
+    told = scratch.write(runs.select(*names).mapInArrow(run, "anchor long, record long, id long, start long, many int, again boolean"), "hot-told")
+    twice = firsts.filter((F.col("n") > 1) & ~many).select("anchor", "record", "first")
+    rest = told.filter("not again").drop("again").join(twice, ["anchor", "record"]).filter(F.struct("id", "start") > F.struct("first.id", "first.start"))
+    again = told.filter("again").unionByName(rest.select(*names, F.lit(True).alias("again")))
     return again.unionByName(firsts.join(several, "anchor").select("anchor", "record", "first.id", "first.start", "first.many", F.lit(False).alias("again")))
 
 
@@ -523,8 +549,13 @@ def dedup_bytes(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", te
         raise ValueError(f"width must be {GRAM + 8} at least")
     texts = docs.select(docs[id_col].cast("long").alias("id"), F.coalesce(docs[text_col], F.lit("")).alias("text"))
     keys = texts.filter("id is not null").filter(F.octet_length("text") >= width).select("id", F.octet_length("text").alias("size"), F.xxhash64("text").alias("h1"), F.xxhash64(F.lit(3), "text").alias("h2"))
-    firsts = keys.groupBy("size", "h1", "h2").agg(F.min("id").alias("first"), F.max("id").alias("top")).filter("first < top")
-    copies = scratch.write(keys.join(firsts, ["size", "h1", "h2"]).filter("id > first").select("id", "size").distinct(), "copies")
+    firsts = scratch.write(keys.groupBy("size", "h1", "h2").agg(F.min("id").alias("first"), F.max("id").alias("top"), F.count("*").alias("n")).filter("first < top"), "copied")
+    # Groups of more than a HEAVY-th of all copies, so fewer than HEAVY, meet their copies by broadcast.
+    rows = firsts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first().n
+    heavy = F.broadcast(firsts.filter(F.col("n") * HEAVY > rows).drop("top", "n"))
+    on = ["size", "h1", "h2"]
+    met = keys.join(heavy, on).unionByName(keys.join(heavy, on, "left_anti").join(firsts.filter(F.col("n") * HEAVY <= rows).drop("top", "n"), on))
+    copies = scratch.write(met.filter("id > first").select("id", "size").distinct(), "copies")
     maybe, rest = _sieve(texts.filter("id is not null"), copies)
     own = rest.unionByName(maybe.join(copies, "id", "left_anti"))
 
