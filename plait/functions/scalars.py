@@ -119,3 +119,87 @@ def cdf_polygon(steps: Column, height: float = 1.0) -> Column:
     above = F.transform(steps, lambda s: F.array(s["value"].cast("double"), (1 - s["p"]) * height / 2))
     below = F.transform(F.reverse(steps), lambda s: F.array(s["value"].cast("double"), -(1 - s["p"]) * height / 2))
     return F.concat(F.array(F.array(F.lit(0.0), F.lit(height / 2))), above, below, F.array(F.array(F.lit(0.0), F.lit(-height / 2))))
+
+
+#: Colours of a deviation, hottest first, over the shares 0, 1/2 and 1.
+HEAT = ((255, 0, 0), (255, 200, 255), (0, 0, 255))
+
+
+def interpolate(x: Column, points: list[tuple[float, float]]) -> Column:
+    """The value at x of a line through points (place, value) in order, level beyond its ends."""
+    out = F.when(x < points[0][0], F.lit(float(points[0][1])))
+    for (x0, y0), (x1, y1) in zip(points, points[1:], strict=False):
+        out = out.when(x <= x1, ((x - x0) * y1 + (x1 - x) * y0) / (x1 - x0))
+    return out.otherwise(F.lit(float(points[-1][1])))
+
+
+def heat_color(v: Column, norm: float = 50.0) -> Column:
+    """The colour of a deviation as RGB in hex, by its share of the warm colour."""
+    x = F.exp(-v / norm)
+    parts = [interpolate(x, [(i / 2, HEAT[i][c]) for i in range(3)]) for c in range(3)]
+    return F.lower(F.concat(F.lit("#"), *[F.lpad(F.hex(F.floor(p).cast("int")), 2, "0") for p in parts]))
+
+
+def dot(a: list[Column], b: list[Column]) -> Column:
+    return sum((x * y for x, y in zip(a[1:], b[1:], strict=True)), a[0] * b[0])
+
+
+def cross(a: list[Column], b: list[Column]) -> list[Column]:
+    return [a[1] * b[2] - a[2] * b[1], a[2] * b[0] - a[0] * b[2], a[0] * b[1] - a[1] * b[0]]
+
+
+def norm(a: list[Column]) -> Column:
+    return F.sqrt(dot(a, a))
+
+
+def element_length(start: Column, end: Column) -> Column:
+    """Residues of an element, both ends included."""
+    return end - start + 1
+
+
+def square_score(squared: Column, match: float = 10.0) -> Column:
+    """Score of a squared distance: 1 for none, negative beyond the match value."""
+    return (match - squared) / match
+
+
+def shape_score(a: Column, b: Column, points: int = 5, match: float = 2.0) -> Column:
+    """Score of two shapes, arrays of coordinates of some points: by their deviation, 0 from the match value on."""
+    return F.greatest(F.lit(0.0), (match - array_distance(a, b) / math.sqrt(points)) / match)
+
+
+def split_transform(m: Column) -> tuple[Column, Column]:
+    """(rotation, shift) of a flat 4 x 4 transform that shifts before (last row) and behind (last column) its rotation."""
+    rotation = F.array(*[F.array(*[m[4 * i + j] for j in range(3)]) for i in range(3)])
+    shift = F.array(*[sum((m[4 * i + j] * m[12 + j] for j in (1, 2)), m[4 * i] * m[12]) + m[4 * i + 3] for i in range(3)])
+    return rotation, shift
+
+
+def join_transform(rotation: Column, shift: Column) -> Column:
+    """The flat 4 x 4 transform of a rotation and the shift behind it."""
+    return F.array(*[x for i in range(3) for x in (*[rotation[i][j] for j in range(3)], shift[i])], *[F.lit(0.0)] * 3, F.lit(1.0))
+
+
+def insert_after(entries: Column, after: Column, new: Column) -> Column:
+    """An ordered map, as an array of entries (key, value), with an entry behind the key named; at the end without it."""
+    at = F.array_position(F.transform(entries, lambda e: e["key"]), after).cast("int")
+    cut = F.when(at > 0, at).otherwise(F.size(entries))
+    return F.concat(F.slice(entries, F.lit(1), cut), F.array(new), F.slice(entries, cut + 1, F.size(entries)))
+
+
+def length_extent(steps: Column) -> tuple[Column, Column]:
+    """Least and largest positive value of a distribution's steps array<struct<value, p>>, 0 without any."""
+    positive = F.filter(F.transform(steps, lambda x: x["value"]), lambda v: v > 0)
+    return F.coalesce(F.array_min(positive), F.lit(0)), F.coalesce(F.array_max(positive), F.lit(0))
+
+
+def bounded_float(s: Column, low: float, high: float, default: float, percent: bool = False) -> Column:
+    """A number within bounds, else the default; with percent, "5%" is 0.05."""
+    value = F.regexp_replace(F.trim(s), r"\s*%$", "").try_cast("double")
+    if percent:
+        value = value * F.when(s.contains("%"), 0.01).otherwise(1.0)
+    return F.coalesce(F.when(value.between(low, high), value), F.lit(default))
+
+
+def shown(value: Column) -> Column:
+    """A number of ordinary size with six decimals at most and no zeros behind."""
+    return F.regexp_replace(F.regexp_replace(F.format_string("%.6f", value), r"(\.\d*?)0+$", "$1"), r"\.$", "")

@@ -38,6 +38,45 @@ def is_missing(col: Column) -> Column:
     return col.isin(".", "?")
 
 
+def polymer(number: Column) -> Column:
+    """Rows of polymers are those with a residue number."""
+    return number.isNotNull()
+
+
+def heavy_atoms(symbol: Column, alternative: Column) -> Column:
+    """No hydrogen, and of alternative places the first."""
+    return (symbol != "H") & F.coalesce(alternative.isin(".", "A"), F.lit(True))
+
+
+def selected(df: DataFrame, selector: str, group: str, order: str, chain: str, number: str) -> DataFrame:
+    """Rows of each group that a selector names: "A" a chain's first unbroken stretch of rows, "A:10" that stretch from
+    the first row with the number on, "A:10:B:50" everything from the first row of the one to the rows of the other that
+    follow each other, over chains between them."""
+    part = selector.split(":")
+    w = Window.partitionBy(group).orderBy(order)
+    upto = w.rowsBetween(Window.unboundedPreceding, 0)
+    begins = F.col(chain) == part[0]
+    if len(part) > 1:
+        begins = begins & (F.col(number) == int(part[1]))
+    out = df.withColumn("_in", F.max(F.when(begins, 1).otherwise(0)).over(upto))
+    if len(part) < 4:
+        ends = (F.col("_in") == 1) & ~F.coalesce(F.col(chain) == part[0], F.lit(False))
+        out = out.withColumn("_out", F.max(F.when(ends, 1).otherwise(0)).over(upto))
+    else:
+        last = (F.col("_in") == 1) & (F.col(chain) == part[2]) & (F.col(number) == int(part[3]))
+        out = out.withColumn("_last", F.coalesce(last, F.lit(False)))
+        passed = F.lag("_last").over(w) & ~F.col("_last")
+        out = out.withColumn("_out", F.max(F.when(passed, 1).otherwise(0)).over(upto))
+    return out.filter("_in = 1 and _out = 0").drop("_in", "_out", "_last")
+
+
+def first_index_where(df: DataFrame, group: str, order: str, wanted: Column) -> DataFrame:
+    """(group, place): the place from 0 of each group's first wanted row, null where there is none."""
+    w = Window.partitionBy(group).orderBy(order)
+    own = df.withColumn("_i", F.row_number().over(w) - 1)
+    return own.groupBy(group).agg(F.min(F.when(wanted, F.col("_i"))).alias("place"))
+
+
 def by_row_ids(df: DataFrame, ids: DataFrame, key: str) -> DataFrame:
     return df.join(ids.select(key).distinct(), key, "left_semi")
 

@@ -144,3 +144,23 @@ def long_path_exists(edges: DataFrame) -> DataFrame:
     whole = closure(edges)
     two = edges.select("a", F.col("b").alias("m")).join(whole.select(F.col("a").alias("m"), "b"), "m").select("a", "b").distinct()
     return edges.join(two, ["a", "b"], "left_semi")
+
+
+def incident_edges(edges: DataFrame) -> DataFrame:
+    """(v, edges): ids of the edges (id, a, b) at each vertex, in order; a loop counts once."""
+    ends = edges.select("id", F.explode(F.array("a", "b")).alias("v")).distinct()
+    return ends.groupBy("v").agg(F.array_sort(F.collect_list("id")).alias("edges"))
+
+
+def path_labels_unique(edges: DataFrame) -> DataFrame:
+    """One row: whether no directed path of edges (a, b, label) has a label twice. Labels flow along the edges, each kept
+    once a vertex, until nothing new arrives."""
+    own = _cut(edges.select("a", "b", "label").distinct())
+    known = _cut(own.select(F.col("b").alias("v"), "label").distinct())
+    fresh = known
+    while not fresh.isEmpty():
+        further = fresh.join(own.select(F.col("a").alias("v"), "b"), "v").select(F.col("b").alias("v"), "label").distinct()
+        fresh = _cut(further.join(known, ["v", "label"], "left_anti"))
+        known = _cut(known.union(fresh))
+    twice = own.join(known.withColumnRenamed("v", "a"), ["a", "label"], "left_semi")
+    return twice.agg((F.count("*") == 0).alias("is_unique"))

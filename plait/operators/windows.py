@@ -148,13 +148,12 @@ def range_index(df: DataFrame, key: str, order: list[str]) -> DataFrame:
     return running_total(counts, key, "n", "last").select(key, (F.col("last") - F.col("n") + 1).alias("first"), "last")
 
 
-def rank_by(df: DataFrame, score: str, weights: str | None = None, name: str = "rank") -> DataFrame:
-    """Ranks from 1 by falling score, equal scores sharing the mean of their ranks; with weights, a rank counts the
-    weight above and half of one's own equals. Values are summed first, so no task sees all rows."""
-    own = df.groupBy(score).agg((F.count("*") if weights is None else F.sum(weights)).cast("double").alias("_n"))
-    placed = running_total(own.filter(F.col(score).isNotNull()).withColumn("_o", -F.col(score)), "_o", "_n", "_upto")
-    rank = placed.select(score, (F.col("_upto") - F.col("_n") + (F.col("_n") + (1 if weights is None else 0)) / 2).alias(name))
-    return df.join(rank, score, "left")
+def positions_by(df: DataFrame, value: str, tie: str, name: str = "position") -> DataFrame:
+    """Places from 0 in order of value, equal values in order of tie. Counts of values are summed by range first, so no
+    task numbers all rows."""
+    counts = running_total(df.groupBy(value).agg(F.count("*").alias("_n")), value, "_n", "_upto")
+    inside = F.row_number().over(Window.partitionBy(value).orderBy(tie))
+    return df.withColumn("_r", inside).join(counts, value).withColumn(name, F.col("_upto") - F.col("_n") + F.col("_r") - 1).drop("_r", "_n", "_upto")
 
 
 def running_total(df: DataFrame, order: str, n: str, name: str = "upto") -> DataFrame:

@@ -175,6 +175,52 @@ def first_available(wanted: DataFrame, sources: list[tuple[str, DataFrame]], key
     return found.filter("content is not null"), found.filter("content is null").select(key)
 
 
+def read_names(spark: SparkSession, path: str) -> DataFrame:
+    """(id, name) of lines of an id and a name of several words, maybe packed."""
+    text = F.trim("line")
+    return lines(spark, path).filter(text != "").select(F.regexp_extract(text, r"^(\S+)", 1).alias("id"), F.regexp_extract(text, r"^\S+\s+(.*)$", 1).alias("name"))
+
+
+def read_classification(spark: SparkSession, path: str) -> DataFrame:
+    """(domain, family, idfam, length, resolution) of lines of a domain, four numbers of its family, four of its sequence
+    family, their count, its length and resolution."""
+    own = read_columns(spark, path, list(range(12)))
+    return own.select(F.col("c0").alias("domain"), F.concat_ws(".", *[f"c{i}" for i in range(1, 5)]).alias("family"), F.concat_ws(".", *[f"c{i}" for i in range(5, 9)]).alias("idfam"), F.col("c10").try_cast("int").alias("length"), F.col("c11").try_cast("double").alias("resolution"))
+
+
+def read_accession(spark: SparkSession, path: str, accession: str) -> DataFrame:
+    """(pdb, domain, chain, auth_chain, start, end) of a saved answer {accession: {"PDB": {pdb: mappings or {"mappings":
+    mappings}}}}; an accession that it lacks has no rows, an entry of another kind is an error."""
+    one = "struct<domain:string,struct_asym_id:string,chain_id:string,start:struct<residue_number:int>,end:struct<residue_number:int>>"
+    own = spark.read.text(path, wholetext=True).select(F.from_json("value", "map<string,struct<PDB:map<string,string>>>")[accession]["PDB"].alias("m"))
+    entry = own.select(F.explode("m").alias("pdb", "entry"))
+    plain = F.from_json("entry", f"array<{one}>")
+    inner = F.from_json("entry", f"struct<mappings:array<{one}>>")["mappings"]
+    found = F.when(F.ltrim("entry").startswith("["), plain).otherwise(inner)
+    kind = f"array<{one}>"
+    checked = F.when(found.isNotNull(), found).otherwise(F.raise_error(F.concat(F.lit("no mappings for "), F.col("pdb"))).cast(kind))
+    x = entry.select("pdb", F.explode(checked).alias("x"))
+    return x.select("pdb", "x.domain", F.col("x.struct_asym_id").alias("chain"), F.col("x.chain_id").alias("auth_chain"), F.col("x.start.residue_number").alias("start"), F.col("x.end.residue_number").alias("end"))
+
+
+def read_lists(spark: SparkSession, folder: str, pattern: str = "*.txt") -> DataFrame:
+    """Member lists in all folders below one, with the name of the file that each comes from: (source, domain, pdb, ...)."""
+    text = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).text(folder, wholetext=True)
+    own = text.select(F.regexp_extract(F.input_file_name(), r"([^/]*?)(?:\.[^./]*)?$", 1).alias("source"), F.posexplode(F.split("value", "\r?\n")).alias("line_no", "line"))
+    part = F.split(F.trim(F.regexp_replace("line", "#.*$", "")), ",", 3)
+    named = own.filter(F.trim(F.regexp_replace("line", "#.*$", "")) != "").select("source", "line_no", F.trim(part[0]).alias("pdb"), F.trim(F.try_element_at(part, F.lit(2))).alias("chain_id"), F.coalesce(F.nullif(F.trim(F.try_element_at(part, F.lit(3))), F.lit("")), F.lit(":")).alias("ranges"))
+    number = F.row_number().over(Window.partitionBy("source", "pdb", "chain_id").orderBy("line_no")) - 1
+    return named.withColumn("domain", F.concat_ws("_", "pdb", "chain_id", F.lpad(number.cast("string"), 2, "0"))).drop("line_no")
+
+
+def read_structure(spark: SparkSession, path: str) -> DataFrame:
+    """Atom rows of tag-value structure files, of each file's first model: (file, row, and the items that it needs)."""
+    items = {"group_PDB": "string", "id": "int", "type_symbol": "string", "label_atom_id": "string", "label_alt_id": "string", "label_comp_id": "string", "label_asym_id": "string", "label_seq_id": "int", "Cartn_x": "double", "Cartn_y": "double", "Cartn_z": "double", "pdbx_PDB_model_num": "string"}
+    atoms = category_table(read_tag_values(spark, path, "atom_site"), items)
+    first = atoms.groupBy("file", "block").agg(F.min_by(F.struct("pdbx_PDB_model_num"), "row").alias("_first"))
+    return atoms.join(first, ["file", "block"]).filter(F.col("pdbx_PDB_model_num").eqNullSafe(F.col("_first.pdbx_PDB_model_num"))).drop("_first")
+
+
 #: Fixed pattern: one line of a structure-similarity hit list.
 HIT = r"^\s*(\d+):\s+(\S{4})-(\S)\s+(-?[\d.]+)\s+([\d.]+)\s+(\d+)\s+(\d+)\s+(\d+)\s+(.*?)\s*$"
 

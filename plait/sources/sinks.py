@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 
 def write_json(df: DataFrame, path: str, by: str | None = None) -> None:
@@ -72,3 +73,38 @@ def html_rows(df: DataFrame, columns: list[str], order: list[str], most: int = 5
 def archive_list(wanted: DataFrame, actual: DataFrame, key: str, alternative: str) -> DataFrame:
     """Content for every wanted key: the actual one, or the alternative, with a mark for what is missing."""
     return wanted.select(key).join(actual.select(key, "content"), key, "left").select(key, F.coalesce("content", F.lit(alternative)).alias("content"), F.col("content").isNull().alias("missing"))
+
+
+def write_distinct(df: DataFrame, path: str, key: str, form: str = "json") -> None:
+    """The distinct keys, in order, as JSON or CSV."""
+    own = df.select(key).distinct().orderBy(key)
+    (own.write.mode("overwrite").json(path) if form == "json" else write_csv(own, path))
+
+
+def structure_lines(points: DataFrame, order: str, name: str = "structure") -> DataFrame:
+    """(n, line) of a structure of points (x, y, z, occupancy) as tag-value text: one trace atom a point, in order."""
+    number = F.row_number().over(Window.partitionBy(F.lit(name)).orderBy(order))
+    place = [F.format_string("%.3f", F.col(c).cast("double")).alias(f"Cartn_{c}") for c in "xyz"]
+    own = points.select(number.alias("_n"), F.lit("ATOM").alias("group_PDB"), number.alias("id"), F.lit("C").alias("type_symbol"), F.lit("CA").alias("label_atom_id"), F.lit("X").alias("label_asym_id"), number.alias("label_seq_id"), *place, F.format_string("%.3f", F.col("occupancy").cast("double")).alias("occupancy"))
+    head = points.sparkSession.createDataFrame([(-1000, f"data_{name}")], "n long, line string")
+    return head.union(category_lines(own, "atom_site", "_n"))
+
+
+def alignment_lines(matches: DataFrame, letters: DataFrame, a: str, b: str) -> DataFrame:
+    """(pair, name, line): both sequences of each pair one above the other, unmatched places against dashes. matches: (pair,
+    i, j); letters: (pair, side, pos, letter) with side "a" or "b"."""
+    x = letters.filter("side = 'a'").select("pair", F.col("pos").alias("i"), F.col("letter").alias("la"))
+    y = letters.filter("side = 'b'").select("pair", F.col("pos").alias("j"), F.col("letter").alias("lb"))
+    both = matches.join(x, ["pair", "i"]).join(y, ["pair", "j"])
+    only_a = x.join(matches.select("pair", "i"), ["pair", "i"], "left_anti").select("pair", "i", F.lit(None).cast("int").alias("j"), "la", F.lit("-").alias("lb"))
+    only_b = y.join(matches.select("pair", "j"), ["pair", "j"], "left_anti").select("pair", F.lit(None).cast("int").alias("i"), "j", F.lit("-").alias("la"), "lb")
+    every = both.select("pair", "i", "j", "la", "lb").unionByName(only_a).unionByName(only_b)
+    # A place of one sequence alone stands behind the last match before it; those of the first come first.
+    last_i = F.coalesce(F.col("i"), F.lit(-1))
+    pairs = matches.groupBy("pair").agg(F.array_sort(F.collect_list(F.struct("i", "j"))).alias("_m"))
+    placed = every.join(pairs, "pair", "left").withColumn("_k", F.when(F.col("i").isNotNull() & F.col("j").isNotNull(), F.size(F.filter("_m", lambda m: m["i"] <= F.col("i")))).when(F.col("i").isNotNull(), F.size(F.filter("_m", lambda m: m["i"] < F.col("i")))).otherwise(F.size(F.filter("_m", lambda m: m["j"] < F.col("j")))))
+    placed = placed.withColumn("_k", F.when(F.col("_m").isNull(), 0).otherwise(F.col("_k")))
+    rank = F.when(F.col("i").isNotNull() & F.col("j").isNotNull(), 0).when(F.col("i").isNotNull(), 1).otherwise(2)
+    cells = placed.groupBy("pair").agg(F.array_sort(F.collect_list(F.struct(F.col("_k").alias("k"), rank.alias("r"), last_i.alias("i"), F.coalesce(F.col("j"), F.lit(-1)).alias("j"), "la", "lb"))).alias("c"))
+    line = lambda n: F.array_join(F.transform("c", lambda x: x[n]), "")
+    return cells.select("pair", F.explode(F.array(F.struct(F.lit(a).alias("name"), line("la").alias("line")), F.struct(F.lit(b).alias("name"), line("lb").alias("line")))).alias("x")).select("pair", "x.*")
