@@ -7,9 +7,9 @@ all within e + 1 neighbouring diagonals (document position less window position)
 that overlap by e, bands that reach the bound are kept, and a banded alignment of the window to the text below the band
 decides. So no occurrence within the budget is missed, and none beyond it is reported.
 
-The benchmark is shared with all tasks in blocks of at most SHARE characters; a larger benchmark takes several passes
-over the documents. Documents are neither shuffled nor gathered, so an item that a third of all documents hold costs
-nothing special.
+The benchmark is sent to all tasks in blocks of at most SHARE characters, whose index takes about 90 bytes a character;
+a larger benchmark takes several passes over the documents, written between, so that one block is in memory at a time.
+Documents are neither shuffled nor gathered, so an item that a third of all documents hold costs nothing special.
 
 Results for odd input: null and empty texts have no leaks; items that are null or have fewer than q characters in normal
 form take no part; items that share an id are searched each; repeated documents give repeated rows; empty tables give no
@@ -26,11 +26,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from . import pretokens, ragged
+from . import pretokens, ragged, scratch
 
 Q, ERROR = 10, 0.08
 WINDOW, STEP = 80, 20
-SHARE = 1 << 23
+SHARE = 1 << 19
 _BITS = 22
 
 
@@ -186,4 +186,7 @@ def find_leaks(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, text_
                     yield pa.RecordBatch.from_arrays([*columns, pa.array([x + y for x, y in zip(before, found, strict=True)], _KIND)], [*plain.names, "leaks"])
 
         done = done.mapInArrow(run, T.StructType([*plain.fields, done.schema["leaks"]]))
+        if b < blocks - 1:
+            done = scratch.write(done, "leaks")
+            shared.unpersist()
     return done

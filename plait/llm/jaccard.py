@@ -5,8 +5,9 @@ are one class, under its smallest id. Classes that can link must share one of th
 shingles of both, in any one order of all shingles. The order here is by hash, with the most frequent shingles found
 (HOT of them at most) put last, so that prefixes are made of rare ones. Classes of like size that share a prefix shingle
 are members of the group of the smallest of them. Members that cannot link with any other by the bounds on size and on
-the parity sketch (a bit for every two shingles; it differs in no more bits than the sets differ in shingles) leave; the
-others go to their groups with their whole sets.
+the parity sketch (a bit for every two shingles; it differs in no more bits than the sets differ in shingles) leave
+(groups beyond SIEVE members, and beyond LARGE that are a HEAVY-th of all, are left as they are); the others go to their
+groups with their whole sets.
 
 Within a group an inverted index answers T-occurrence queries: the T - 1 longest lists of a query are left out of the
 merge, the short rest is heap-merged into candidates, and candidates are looked up in the long lists by binary search
@@ -37,7 +38,7 @@ from . import ragged, scratch
 HOT = 1 << 18
 RARE = 16
 BLOCK = 1 << 21
-SIEVE = 4096
+SIEVE, HEAVY, LARGE = 4096, 1024, 1024
 
 
 def shingle_sets(flat: np.ndarray, offsets: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -323,7 +324,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id"
     texts = docs.select(docs[id_col].cast("long").alias("id"), docs[text_col].alias("text"))
     none = np.zeros(0, np.uint64)
     sets = scratch.write(_prefixes(spark, texts, width, num, den, none), "prefixes")
-    classes = scratch.write(sets.filter("n > 0 and id is not null").groupBy("fp", "n").agg(F.min("id").alias("rep")), "classes")
+    classes = scratch.write(sets.filter("n > 0 and id is not null").groupBy("fp", "n").agg(F.min("id").alias("rep"), F.count("*").alias("copies")), "classes")
+    rows = classes.agg(F.coalesce(F.sum("copies"), F.lit(0)).alias("n")).first().n
     reps = classes.select(F.col("rep").alias("id"), "n", "fp")
 
     def frequent(prefixes: DataFrame) -> np.ndarray:
@@ -348,7 +350,12 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id"
     meeting = sized.groupBy("t", "level").agg(F.min("rep").alias("g"), F.max("rep").alias("top")).filter("g < top").drop("top")
     loose = sized.join(meeting, ["t", "level"]).select("g", "rep", "n").distinct()
     sketched = prefixes.join(reps, ["id", "n", "fp"], "left_semi").select(F.col("id").alias("rep"), "sketch").dropDuplicates(["rep"])
-    members = scratch.write(_sieved(loose.join(sketched, "rep"), num, den), "members")
+    met = scratch.write(loose, "met")
+    size = met.count()
+    # Large groups of more than a HEAVY-th of all members, so fewer than HEAVY, are not gathered for the sieve.
+    large = F.broadcast(met.groupBy("g").agg(F.count("*").alias("_n")).filter((F.col("_n") * HEAVY > size) & (F.col("_n") > LARGE)).select("g"))
+    gathered = met.join(large, "g", "left_anti").join(sketched, "rep")
+    members = scratch.write(_sieved(gathered, num, den).unionByName(met.join(large, "g", "left_semi").select("g", "rep", "n")), "members")
 
     # The class that named the group may have left it; the smallest that stayed is the centre.
     wide = members.groupBy("g").agg(F.sum("n").alias("size"), F.min("rep").alias("centre"))
@@ -370,11 +377,15 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id"
         second = _link(again.join(whole, "rep").select("g", "b", "rep", "ask", "shingles"), num, den, True)
         links = links.unionByName(second.select("a", "c"))
     labels = components(links)
-    named = classes.join(labels.withColumnRenamed("v", "rep"), "rep", "left").select("fp", "n", F.coalesce("label", "rep").alias("component_id"))
+    named = scratch.write(classes.join(labels.withColumnRenamed("v", "rep"), "rep", "left").select("fp", "n", "copies", F.coalesce("label", "rep").alias("component_id")), "named")
+    # Classes of more than a HEAVY-th of all documents, so fewer than HEAVY, meet their copies by broadcast.
+    is_heavy = F.col("copies") * HEAVY > rows
+    heavy, light = F.broadcast(named.filter(is_heavy).drop("copies")), named.filter(~is_heavy).drop("copies")
     own = sets.select("id", "n", "fp")
-    out = own.join(named, ["fp", "n"], "left")
-    component = F.when(F.col("id").isNotNull(), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("id")))
-    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"))
+    filled, on = own.filter("n > 0 and id is not null"), ["fp", "n"]
+    out = filled.join(heavy, on).unionByName(filled.join(heavy, on, "left_anti").join(light, on))
+    out = out.unionByName(own.filter("n = 0 or id is null").withColumn("component_id", F.col("id")))
+    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "component_id")
 
 
 #: The same rows by a plain self-join, for tables of a few thousand documents (four words, 0.85).
