@@ -7,8 +7,8 @@ give the toxic spans of any text, and a logistic curve over their strongest and
 
 The model is fitted on at most FIT_DOCS labelled documents of each class (the first by hash of the id, of at most
 FIT_CHARS characters each), a documented bound; rows with crc32(id) mod 3 = 1 never take part, and of near copies among
-the chosen (three of six min-hashes of their word sets seen before) only the first does, so that a group of copies does
-not decide the weights. Scores see the text alone.
+the chosen (the same band of three of twelve min-hashes of their word sets) only the first does, so that a group of copies
+does not decide the weights. Scores see the text alone.
 
 Results for odd input: null and empty texts get the score of a text without words; a null id is scored, and is held out
 as the crc32 of no text is not 1 (false); labels that are null or have no document are skipped; without labels of both
@@ -33,6 +33,7 @@ from . import pretokens, ragged
 FIT_DOCS = 1000
 FIT_CHARS = 20_000
 BUCKETS = 1 << 18
+OFTEN = 5
 THRESHOLD = 0.7
 
 
@@ -157,16 +158,20 @@ def marginals(emit: np.ndarray, before: np.ndarray, chain: np.ndarray, pairs: bo
 
 
 def _summary(p: np.ndarray, before: np.ndarray) -> np.ndarray:
-    """Per text: a constant, the log odds of the strongest word, and the log of the summed probabilities."""
+    """Per text: a constant, the log odds of the strongest word, the log of the summed probabilities, and that of their
+    share of the words, as long texts come upon some toxic-looking words by chance."""
     n = len(before) - 1
-    out = np.zeros((n, 3))
+    many = np.diff(before)
+    out = np.zeros((n, 4))
     out[:, 0], out[:, 1] = 1, -6
-    filled = np.flatnonzero(np.diff(before) > 0)
+    filled = np.flatnonzero(many > 0)
+    total = np.zeros(n)
     if len(filled):
         top = np.maximum.reduceat(p, before[:-1][filled])
         out[filled, 1] = np.clip(np.log((top + 1e-9) / (1 - top + 1e-9)), -6, 6)
-        strong = np.where(p > 0.05, p, 0)  # many faint words say nothing
-        out[filled, 2] = np.log1p(np.add.reduceat(strong, before[:-1][filled]))
+        total[filled] = np.add.reduceat(np.where(p > 0.05, p, 0), before[:-1][filled])  # many faint words say nothing
+    out[:, 2] = np.log1p(total)
+    out[:, 3] = np.log((total + 0.02) / (many + 20))
     return out
 
 
@@ -182,15 +187,16 @@ class Model:
 
 
 def _independent(w: Words, n: int) -> np.ndarray:
-    """Texts that don't share most of their words with an earlier one, by min-hashes of their word sets."""
-    seen: set[tuple[int, int]] = set()
+    """Texts that are no near copies of an earlier one: none of four bands of three min-hashes of their word sets is the
+    same as an earlier text's."""
+    seen: set[tuple] = set()
     keep = []
     for i in range(n):
         own = w.keys[np.unique(w.codes[w.before[i] : w.before[i + 1]])]
-        marks = {(k, int(ragged.mix(own ^ np.uint64(0x51 + 977 * k)).min())) for k in range(6)} if len(own) else set()
-        if len(marks & seen) < 3:
+        bands = {(b, *(int(ragged.mix(own ^ np.uint64(0x51 + 977 * (3 * b + k))).min()) for k in range(3))) for b in range(4)} if len(own) else {()}
+        if not bands & seen:
             keep.append(i)
-            seen |= marks
+        seen |= bands
     return np.array(keep, np.int64)
 
 
@@ -226,18 +232,24 @@ def fit(texts: list[str], toxic: list[int], rounds: int = 60) -> Model | None:
     flat, before = np.concatenate(codes), np.append(0, np.cumsum([len(c) for c in codes]))
     f = np.concatenate([features(spelled[a : a + 8192]) for a in range(0, max(1, len(spelled)), 8192)]).astype(np.int32)
 
-    # Features that stand out in toxic texts, by the number of texts that hold them.
+    # Features that stand out in toxic texts: by their rate among all words, a text counting OFTEN times at most.
     doc = np.repeat(np.arange(len(codes)), np.diff(before))
     step = 64  # texts at a time, to keep their words' features small
-    held = np.concatenate([np.unique(doc[a:b, None] * BUCKETS + f[flat[a:b], 1:]) for a, b in ((before[i], before[min(i + step, len(codes))]) for i in range(0, len(codes), step))])
-    which = held % BUCKETS
-    bad = labels[held // BUCKETS] == 1
-    many, few = (labels == 1).sum(), (labels == 0).sum()
-    t, c = np.bincount(which[bad], minlength=BUCKETS), np.bincount(which[~bad], minlength=BUCKETS)
-    n, share = np.maximum(t + c, 1), many / (many + few)
+    which, times, owner = [], [], []
+    for i in range(0, len(codes), step):
+        part = slice(before[i], before[min(i + step, len(codes))])
+        pairs, counts = np.unique(doc[part, None] * BUCKETS + f[flat[part], 1:], return_counts=True)
+        which.append(pairs % BUCKETS)
+        owner.append(pairs // BUCKETS)
+        times.append(np.minimum(counts, OFTEN))
+    place, times, bad = np.concatenate(which), np.concatenate(times).astype(float), labels[np.concatenate(owner)] == 1
+    t, c = np.bincount(place[bad], times[bad], BUCKETS), np.bincount(place[~bad], times[~bad], BUCKETS)
+    texts_with = np.bincount(place[bad], minlength=BUCKETS)
+    words_t, words_c = (max(1, int(np.diff(before)[labels == y].sum())) for y in (1, 0))
+    share, n = words_t / (words_t + words_c), np.maximum(t + c, 1)
     # The log likelihood against an even spread; 12 makes chance hits rare among 100,000 features.
     gain = t * np.log(np.maximum(t, 1) / (n * share)) + c * np.log(np.maximum(c, 1) / (n * (1 - share)))
-    marks = (gain > 12) & (t / many > 12 * c / few)
+    marks = (gain > 12) & (t / words_t > 12 * c / words_c) & (texts_with >= 4)
     marks[:2] = False
     tagged = marks[f[:, 1:]].any(axis=1)
     tags = (tagged[flat] & (labels[doc] == 1)).astype(float)
@@ -270,10 +282,10 @@ def fit(texts: list[str], toxic: list[int], rounds: int = 60) -> Model | None:
                 theta[used] += move
     p, _ = marginals(_summed(theta, f)[flat], before, chain)
     x, y = _summary(p, before), labels.astype(float)
-    curve = np.zeros(3)
+    curve = np.zeros(x.shape[1])
     for _ in range(25):  # Newton's method with a small penalty
         q = 1 / (1 + np.exp(-np.clip(x @ curve, -30, 30)))
-        curve += np.linalg.solve((x * (q * (1 - q))[:, None]).T @ x + 0.05 * np.eye(3), x.T @ (y - q) - 0.05 * curve)
+        curve += np.linalg.solve((x * (q * (1 - q))[:, None]).T @ x + 0.05 * np.eye(len(curve)), x.T @ (y - q) - 0.05 * curve)
     return Model(theta, chain, curve)
 
 
