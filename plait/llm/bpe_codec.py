@@ -179,10 +179,11 @@ def _memo(vocabulary: Vocabulary) -> ragged.Memo:
 
 def encode(spark: SparkSession, docs: DataFrame, ranks_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, ids array<int>) for every row of docs. No shuffle."""
-    content = _shared(spark, ranks_path)
+    content, kinds = _shared(spark, ranks_path), pretokens.shared(spark)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary = content.value
+        pretokens.adopt(kinds.value)
         memo = _memo(vocabulary)
         for batch in batches:
             for part in ragged.cut(batch, "text"):

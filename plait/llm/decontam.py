@@ -170,7 +170,7 @@ def find_leaks(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, text_
     items = benchmark.select(benchmark[item_col].cast("long").alias("i"), benchmark[item_text_col].alias("t")).filter("i is not null and t is not null")
     size = items.agg(F.coalesce(F.sum(F.length("t")), F.lit(0)).alias("n")).first().n
     blocks = max(1, -(-size // SHARE))
-    docs = docs.drop("leaks")
+    docs, kinds = docs.drop("leaks"), pretokens.shared(spark)
     plain = docs.schema
     done = docs.withColumn("leaks", F.array().cast("array<struct<item_id:long,edits:long,start:long,end:long>>"))
     for b in range(blocks):
@@ -178,6 +178,7 @@ def find_leaks(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, text_
         shared = spark.sparkContext.broadcast(Windows([(r.i, r.t) for r in part]))
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            pretokens.adopt(kinds.value)
             for batch in batches:
                 for piece in ragged.cut(batch, text_col):
                     found = shared.value.leaks(*ragged.utf8(piece.column(text_col)))

@@ -11,6 +11,8 @@ from __future__ import annotations
 import sys
 
 import numpy as np
+from pyspark import Broadcast
+from pyspark.sql import SparkSession
 from tokenizers import pre_tokenizers
 
 LETTER, NUMBER, SPACE, OTHER = 1, 2, 3, 4
@@ -36,6 +38,16 @@ def classes() -> np.ndarray:
     return _classes[0]
 
 
+def shared(spark: SparkSession) -> Broadcast:
+    """The classes, made by the driver, for adopt() in workers: a byte for each code point."""
+    return spark.sparkContext.broadcast(classes())
+
+
+def adopt(table: np.ndarray) -> None:
+    if not _classes:
+        _classes.append(table)
+
+
 def _contractions(points: np.ndarray, marks: np.ndarray, stops: np.ndarray) -> np.ndarray:
     """Code points after each apostrophe that a contraction takes: 0, 1 or 2."""
     last = len(points) - 1

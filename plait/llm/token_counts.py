@@ -12,6 +12,7 @@ library has it by default.
 
 from __future__ import annotations
 
+import hashlib
 import json
 from collections.abc import Iterator
 
@@ -85,7 +86,7 @@ class Merges:
         return out
 
 
-_loaded: dict[int, tuple[Merges, ragged.Memo]] = {}
+_loaded: dict[str, tuple[Merges, ragged.Memo]] = {}
 
 
 def _count_texts(merges: Merges, memo: ragged.Memo, flat: np.ndarray, offsets: np.ndarray) -> np.ndarray:
@@ -140,12 +141,13 @@ def _split(text: bytes, marks: list[bytes]) -> list[tuple[bytes, bool]]:
 def count_tokens(spark: SparkSession, docs: DataFrame, vocabulary_path: str, id_col: str = "doc_id", text_col: str = "text", limit: int = 1024) -> DataFrame:
     """Columns id, n_bytes, n_tokens, over_limit for every row of docs. No shuffle; memory is bounded by a batch."""
     with open(vocabulary_path, encoding="utf-8") as f:
-        vocabulary = spark.sparkContext.broadcast(f.read())
-    token = hash(vocabulary_path)
+        text = f.read()
+    vocabulary, kinds, token = spark.sparkContext.broadcast(text), pretokens.shared(spark), hashlib.sha256(text.encode()).hexdigest()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if token not in _loaded:
             _loaded.clear()
+            pretokens.adopt(kinds.value)
             _loaded[token] = (Merges(json.loads(vocabulary.value)), ragged.Memo(np.int32))
         merges, memo = _loaded[token]
         for batch in batches:

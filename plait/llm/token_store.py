@@ -18,6 +18,7 @@ block); rows that share an id follow one another; empty tables give empty stores
 
 from __future__ import annotations
 
+import hashlib
 import struct
 import sys
 import unicodedata
@@ -134,7 +135,7 @@ class Block:
 class WordTokenizer:
     """A word-level tokenizer of the library: words are found by array passes, distinct words encoded by the library."""
 
-    def __init__(self, content: str):
+    def __init__(self, content: str, odd: np.ndarray | None = None):
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_str(content)
@@ -142,7 +143,7 @@ class WordTokenizer:
         self.stand = {byte: shown for shown, byte in byte_symbols().items()}
         self.specials = [t.content for t in self.library.get_added_tokens_decoder().values()]
         self.memo = ragged.Memo(np.int32, 1 << 21)
-        self.odd = self._odd()
+        self.odd = self._odd() if odd is None else odd
 
     def _odd(self) -> np.ndarray:
         """Marks code points that this Python's Unicode tables lack, and those that the library lower-cases, orders or
@@ -208,21 +209,26 @@ class WordTokenizer:
         return np.concatenate(each), np.append(0, np.cumsum([len(x) for x in each])).astype(np.int64)
 
 
-_loaded: dict[int, WordTokenizer] = {}
+_loaded: dict[str, WordTokenizer] = {}
+_odd_tables: dict[str, np.ndarray] = {}
 
 
 def write_store(spark: SparkSession, docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = 2, to: str | None = None) -> str:
     """Writes the store in ascending id order and returns its path (in the shared folder unless given). One shuffle, of
     the texts by range of id; a task holds one block at a time."""
     with open(tokenizer_path, encoding="utf-8") as f:
-        content = spark.sparkContext.broadcast(f.read())
-    token = hash(tokenizer_path)
+        text = f.read()
+    token = hashlib.sha256(text.encode()).hexdigest()
+    if token not in _odd_tables:
+        _odd_tables[token] = WordTokenizer(text).odd
+    content, kinds = spark.sparkContext.broadcast((text, _odd_tables[token])), pretokens.shared(spark)
     to = to or scratch.path(spark, "tokens")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if token not in _loaded:
             _loaded.clear()
-            _loaded[token] = WordTokenizer(content.value)
+            pretokens.adopt(kinds.value)
+            _loaded[token] = WordTokenizer(*content.value)
         tokenizer = _loaded[token]
         width = 2 if max(tokenizer.library.get_vocab_size(True), end_id + 1) <= 1 << 16 else 4
         shard, block = TaskContext.get().partitionId(), 0

@@ -326,7 +326,7 @@ def score(spark: SparkSession, docs: DataFrame, model: Model | None, text_col: s
     """docs with columns score and spans (code points of runs of words tagged toxic). No shuffle."""
     docs = docs.drop("score", "spans")
     plain = docs.schema
-    shared = spark.sparkContext.broadcast(model)  # BUCKETS weights, whatever the corpus
+    shared, kinds = spark.sparkContext.broadcast(model), pretokens.shared(spark)  # BUCKETS weights, whatever the corpus
     digest = "" if model is None else hashlib.sha256(model.weights.tobytes()).hexdigest()
 
     def memo_of(digest: str) -> ragged.Memo:
@@ -353,6 +353,7 @@ def score(spark: SparkSession, docs: DataFrame, model: Model | None, text_col: s
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model, memo = shared.value, memo_of(digest)
+        pretokens.adopt(kinds.value)
         for batch in batches:
             for part in ragged.cut(batch, text_col):
                 yield scored(part, model, memo)
