@@ -5,12 +5,16 @@ from __future__ import annotations
 import numpy as np
 
 DIAG, LEFT, TOP = 0, 1, 2
+#: Members of a family whose distances are all measured at the start; larger families measure by need.
+AT_ONCE = 32
 
 
 def align(scores: np.ndarray) -> tuple[float, list[tuple[int, int]]]:
     """Best monotone matching without gap cost: (total, matched pairs). A match must beat both skips; of equal skips the
     one along the second sequence is taken."""
     m, n = scores.shape
+    if m * n <= 256:
+        return _align_small(scores.tolist(), m, n)
     total = np.zeros((m + 1, n + 1))
     move = np.full((m + 1, n + 1), LEFT, np.int8)
     for d in range(2, m + n + 1):  # antidiagonals: all cells of one depend on the two before
@@ -32,6 +36,35 @@ def align(scores: np.ndarray) -> tuple[float, list[tuple[int, int]]]:
     return float(total[m, n]), pairs[::-1]
 
 
+def _align_small(scores: list[list[float]], m: int, n: int) -> tuple[float, list[tuple[int, int]]]:
+    """align() cell by cell, for sizes at which array steps cost more than they save."""
+    rows = [[0.0] * (n + 1)]
+    moves = []
+    for i in range(m):
+        above, line = rows[-1], scores[i]
+        row, step = [0.0], []
+        for j in range(n):
+            left, top, diag = row[j], above[j + 1], above[j] + line[j]
+            if diag > left and diag > top:
+                row.append(diag)
+                step.append(DIAG)
+            elif top > left:
+                row.append(top)
+                step.append(TOP)
+            else:
+                row.append(left)
+                step.append(LEFT)
+        rows.append(row)
+        moves.append(step)
+    pairs, i, j = [], m, n
+    while i and j:
+        step = moves[i - 1][j - 1]
+        if step == DIAG:
+            pairs.append((i - 1, j - 1))
+        i, j = i - (step != LEFT), j - (step != TOP)
+    return rows[m][n], pairs[::-1]
+
+
 def totals(scores: np.ndarray) -> np.ndarray:
     """Totals of align() for many score matrices at once (B x m x n), smaller ones padded with zeros, which change nothing."""
     b, m, n = scores.shape
@@ -69,7 +102,7 @@ def edit_distances(a: list[np.ndarray], wa: list[np.ndarray], b: list[np.ndarray
 def superpose(a: np.ndarray, b: np.ndarray, w: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """(rotation, shift) that bring points a (n x 3) closest to b, never a mirror image."""
     w = np.ones(len(a)) if w is None else w
-    ca, cb = np.average(a, axis=0, weights=w), np.average(b, axis=0, weights=w)
+    ca, cb = w @ a / w.sum(), w @ b / w.sum()
     u, _, vt = np.linalg.svd(((a - ca) * w[:, None]).T @ (b - cb))
     flip = np.diag([1.0, 1.0, np.sign(np.linalg.det(u @ vt)) or 1.0])
     rotation = (u @ flip @ vt).T
@@ -462,8 +495,18 @@ def guide_tree(members: list[np.ndarray]) -> tuple[list[tuple[int, int, float]],
         return [], None, 0
     n, finder, out = len(members), Nearest(), []
     nodes = {i: Weighted(np.asarray(x, float)) for i, x in enumerate(members)}
-    for i in range(n):
-        finder.insert(i, nodes[i])
+    if n <= AT_ONCE:  # a small family is measured in one go
+        pairs = [(i, j) for i in range(n) for j in range(i)]
+        x = [m.points for m in nodes.values()]
+        w = [m.share for m in nodes.values()]
+        d = edit_distances([x[i] for i, _ in pairs], [w[i] for i, _ in pairs], [x[j] for _, j in pairs], [w[j] for _, j in pairs]) if pairs else []
+        finder.nodes, finder.known, finder.measured = dict(nodes), {i: {} for i in range(n)}, len(pairs)
+        for (i, j), v in zip(pairs, d, strict=True):
+            finder.known[i][j] = finder.known[j][i] = float(v)
+        finder.older = {i: min(((finder.known[i][j], j) for j in range(i)), default=(float("inf"), -1)) for i in range(n)}
+    else:
+        for i in range(n):
+            finder.insert(i, nodes[i])
     for new in range(n, 2 * n - 1):
         left, right, d = finder.pop()
         out.append((left, right, d))
@@ -579,42 +622,47 @@ def _merge(p: dict, q: dict, pairs: list[tuple[int, int]]) -> dict:
     return {"x": x / np.maximum(w, 1e-12)[:, None], "w": w, "kind": kind, "in": inside, "order": reduce_edges(n, order), "edges": edges, "size": p["size"] + q["size"]}
 
 
-def superpose_points(a: np.ndarray, b: np.ndarray, reach: float = 10.0, rounds: int = 50) -> tuple[float, list[tuple[int, int]]]:
-    """Alignment and superposition of points in turn until the score stops rising, from every run of three points that fit
-    each other within the reach: the best of the starts, so leading insertions and shifts are found."""
+def superpose_points(a: np.ndarray, b: np.ndarray, reach: float = 10.0, rounds: int = 20, starts: int = 5) -> tuple[float, list[tuple[int, int]]]:
+    """Alignment and superposition of points in turn until the score stops rising, from the points side by side and from
+    some other offsets of the two: the best of these, so leading insertions and shifts are found."""
     best: tuple[float, list[tuple[int, int]]] = (-1.0, [])
     if min(len(a), len(b)) < 3:
         return align(np.zeros((len(a), len(b))))
-    step = max(1, max(len(a), len(b)) // 8)
-    for i in range(0, len(a) - 2, step):
-        for j in range(0, len(b) - 2, step):
-            n = min(len(a) - i, len(b) - j)
-            r, t = superpose(a[i : i + n], b[j : j + n])
-            last: tuple[float, list[tuple[int, int]]] = (-1.0, [])
-            for _ in range(rounds):
-                moved = a @ r.T + t
-                total, found = align(np.exp(-np.sqrt(((moved[:, None] - b[None]) ** 2).sum(axis=2)) / reach))
-                if total <= last[0] + 1e-9 or len(found) < 3:
-                    break
-                last = (total, found)
-                p, q = np.array(found).T
-                r, t = superpose(a[p], b[q])
-            best = max(best, last, key=lambda x: x[0])
+    low, high = 3 - len(a), len(b) - 3
+    for k in sorted({0, len(b) - len(a), *np.linspace(low, high, starts).astype(int).tolist()}):
+        i, j = max(0, -k), max(0, k)
+        n = min(len(a) - i, len(b) - j)
+        if n < 3:
+            continue
+        r, t = superpose(a[i : i + n], b[j : j + n])
+        last: tuple[float, list[tuple[int, int]]] = (-1.0, [])
+        for _ in range(rounds):
+            moved = a @ r.T + t
+            total, found = align(np.exp(-np.sqrt(((moved[:, None] - b[None]) ** 2).sum(axis=2)) / reach))
+            if total <= last[0] + 1e-9 or len(found) < 3:
+                break
+            last = (total, found)
+            p, q = np.array(found).T
+            r, t = superpose(a[p], b[q])
+        best = max(best, last, key=lambda x: x[0])
     return best
 
 
-def family_consensus(members: list[np.ndarray], reach: float = 10.0, ratio: float = 1e-4, rounds: int = 100) -> tuple[np.ndarray, np.ndarray, list[list[tuple[int, int]]]]:
+def family_consensus(members: list[np.ndarray], reach: float = 10.0, ratio: float = 1e-4, rounds: int = 20) -> tuple[np.ndarray, np.ndarray, list[list[tuple[int, int]]]]:
     """(points, share of members at each, matches) of a family of point sequences: the member nearest to all others is
     the first consensus; members are aligned and moved onto it and averaged until the deviation settles."""
     n = len(members)
-    score = np.array([[0.0 if i == j else -superpose_points(a, b, reach)[0] for j, b in enumerate(members)] for i, a in enumerate(members)])
+    score = np.zeros((n, n))
+    for i in range(n):
+        for j in range(i):
+            score[i, j] = score[j, i] = -superpose_points(members[i], members[j], reach)[0]
     now = members[int(np.argmin(score.sum(axis=1)))].copy()
     last, matches, share = float("inf"), [], np.ones(len(now))
     for _ in range(rounds):
         total, count, square = np.zeros_like(now), np.zeros(len(now)), 0.0
         matches = []
         for m in members:
-            _, pairs = superpose_points(m, now, reach)
+            _, pairs = superpose_points(m, now, reach, starts=0)
             if len(pairs) < 3:
                 k = min(len(m), len(now))
                 pairs = [(i, i) for i in range(k)]
