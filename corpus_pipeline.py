@@ -58,8 +58,7 @@ def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def to_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids, with digests of the ids and of the bytes that they decode to; null and empty texts have none. Every row
     gives a row."""
-    ranks = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
-    coded = bpe_codec.decode(spark, bpe_codec.encode(spark, docs, ranks), ranks)
+    coded = bpe_codec.encode_decode(spark, docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
     digest = F.sha2(F.concat_ws(",", F.col("ids").cast("array<string>")).cast("binary"), 256)
     return coded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids", digest.alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 

@@ -156,7 +156,6 @@ class Vocabulary:
 
 
 _built: dict[bytes, Vocabulary] = {}
-_memos: dict[str, ragged.Memo] = {}
 
 
 def _shared(spark: SparkSession, ranks_path: str):
@@ -169,14 +168,6 @@ def _shared(spark: SparkSession, ranks_path: str):
     return spark.sparkContext.broadcast(_built[content])
 
 
-def _memo(vocabulary: Vocabulary) -> ragged.Memo:
-    """The memo of this worker process for this vocabulary, kept from task to task."""
-    if vocabulary.name not in _memos:
-        _memos.clear()
-        _memos[vocabulary.name] = ragged.Memo(np.int32, 1 << 21)
-    return _memos[vocabulary.name]
-
-
 def encode(spark: SparkSession, docs: DataFrame, ranks_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, ids array<int>) for every row of docs. No shuffle."""
     content, kinds = _shared(spark, ranks_path), pretokens.shared(spark)
@@ -184,16 +175,43 @@ def encode(spark: SparkSession, docs: DataFrame, ranks_path: str, id_col: str =
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary = content.value
         pretokens.adopt(kinds.value)
-        memo = _memo(vocabulary)
+        memo = ragged.memo(f"bpe {vocabulary.name}", np.int32)
         for batch in batches:
             for part in ragged.cut(batch, "text"):
                 ids, offsets = vocabulary.encode(memo, *ragged.utf8(part.column("text")))
-                yield pa.record_batch([part.column("id"), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(ids))], ["id", "ids"])
+                yield pa.record_batch([part.column("id"), _lists(ids, offsets)], ["id", "ids"])
 
     picked = docs.select(docs[id_col].cast("long").alias("id"), docs[text_col].alias("text"))
     return picked.mapInArrow(run, "id long, ids array<int>").withColumnRenamed("id", id_col)
 
 
+def _lists(ids: np.ndarray, offsets: np.ndarray) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(ids))
+
+
+def _binary(flat: np.ndarray, offsets: np.ndarray) -> pa.Array:
+    return pa.Array.from_buffers(pa.large_binary(), len(offsets) - 1, [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(flat.tobytes())]).cast(pa.binary())
+
+
+def encode_decode(spark: SparkSession, docs: DataFrame, ranks_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, ids, decoded binary) for every row of docs: decode() of what encode() gives, by the same worker, so that one
+    serves a task in place of two. No shuffle."""
+    content, kinds = _shared(spark, ranks_path), pretokens.shared(spark)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        vocabulary = content.value
+        pretokens.adopt(kinds.value)
+        memo = ragged.memo(f"bpe {vocabulary.name}", np.int32)
+        for batch in batches:
+            for part in ragged.cut(batch, "text"):
+                ids, offsets = vocabulary.encode(memo, *ragged.utf8(part.column("text")))
+                decoded = vocabulary.decode(ids, offsets)
+                yield pa.record_batch([part.column("id"), _lists(ids, offsets), _binary(*decoded)], ["id", "ids", "decoded"])
+
+    picked = docs.select(docs[id_col].cast("long").alias("id"), docs[text_col].alias("text"))
+    return picked.mapInArrow(run, "id long, ids array<int>, decoded binary").withColumnRenamed("id", id_col)
+
+
 def decode(spark: SparkSession, encoded: DataFrame, ranks_path: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
     """(id, ids, decoded binary) for every row of encoded; null ids decode to no bytes."""
     content = _shared(spark, ranks_path)
@@ -206,8 +224,7 @@ def decode(spark: SparkSession, encoded: DataFrame, ranks_path: str, id_col: str
                 lists = part.column("ids")
                 counts = np.array([0 if n is None else n for n in lists.value_lengths().to_pylist()], np.int64)
                 flat, offsets = vocabulary.decode(lists.flatten().to_numpy(zero_copy_only=False), np.append(0, np.cumsum(counts)))
-                data = pa.Array.from_buffers(pa.large_binary(), part.num_rows, [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(flat.tobytes())])
-                yield pa.record_batch([part.column("id"), lists, data.cast(pa.binary())], ["id", "ids", "decoded"])
+                yield pa.record_batch([part.column("id"), lists, _binary(flat, offsets)], ["id", "ids", "decoded"])
 
     picked = encoded.select(encoded[id_col].cast("long").alias("id"), encoded[ids_col].cast("array<int>").alias("ids"))
     return picked.mapInArrow(run, "id long, ids array<int>, decoded binary").withColumnRenamed("id", id_col)

@@ -42,8 +42,7 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ranks = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
-    coded = bpe_codec.decode(spark, bpe_codec.encode(spark, _table(spark, sf_dir, "documents"), ranks), ranks)
+    coded = bpe_codec.encode_decode(spark, _table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
     return coded.select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),

@@ -149,3 +149,15 @@ class Memo:
             self.places = np.insert(self.places, at[fresh], rows[fresh])
             self.keys = np.insert(self.keys, at[fresh], keys[fresh])
         return rows
+
+
+_memos: dict[str, Memo] = {}
+
+
+def memo(name: str, dtype, limit: int = 1 << 20) -> Memo:
+    """This worker's memo of that name, kept from task to task; workers serve one operator after another, so what they
+    remembered for others goes."""
+    if name not in _memos:
+        _memos.clear()
+        _memos[name] = Memo(dtype, limit)
+    return _memos[name]

@@ -306,7 +306,6 @@ def fit_on(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     return fit([r.text for r in rows], [r.y for r in rows])
 
 
-_memos: dict[str, ragged.Memo] = {}
 _SPANS = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 
 
@@ -329,13 +328,6 @@ def score(spark: SparkSession, docs: DataFrame, model: Model | None, text_col: s
     shared, kinds = spark.sparkContext.broadcast(model), pretokens.shared(spark)  # BUCKETS weights, whatever the corpus
     digest = "" if model is None else hashlib.sha256(model.weights.tobytes()).hexdigest()
 
-    def memo_of(digest: str) -> ragged.Memo:
-        """The emissions of known words, kept from task to task by the weights that gave them."""
-        if digest not in _memos:
-            _memos.clear()
-            _memos[digest] = ragged.Memo(np.float64, 1 << 20)
-        return _memos[digest]
-
     def scored(part: pa.RecordBatch, model: Model | None, memo: ragged.Memo) -> pa.RecordBatch:
         w = words_of(*ragged.utf8(part.column(text_col)))
 
@@ -352,7 +344,7 @@ def score(spark: SparkSession, docs: DataFrame, model: Model | None, text_col: s
         return pa.RecordBatch.from_arrays([*(part.column(c) for c in plain.names), pa.array(values), spans], [*plain.names, "score", "spans"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, memo = shared.value, memo_of(digest)
+        model, memo = shared.value, ragged.memo(f"toxicity {digest}", np.float64)
         pretokens.adopt(kinds.value)
         for batch in batches:
             for part in ragged.cut(batch, text_col):
