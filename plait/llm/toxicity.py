@@ -157,6 +157,17 @@ def marginals(emit: np.ndarray, before: np.ndarray, chain: np.ndarray, pairs: bo
     return p, expected
 
 
+def _marginals_in_parts(emit: np.ndarray, before: np.ndarray, chain: np.ndarray, texts: int = 256) -> tuple[np.ndarray, np.ndarray]:
+    """marginals() with expected transitions, some texts at a time."""
+    p, expected = np.empty(len(emit)), np.zeros((2, 2))
+    for i in range(0, len(before) - 1, texts):
+        own = before[i : i + texts + 1]
+        part = slice(own[0], own[-1])
+        p[part], more = marginals(emit[part], own - own[0], chain, pairs=True)
+        expected += more
+    return p, expected
+
+
 def _summary(p: np.ndarray, before: np.ndarray) -> np.ndarray:
     """Per text: a constant, the log odds of the strongest word, the log of the summed probabilities, and that of their
     share of the words, as long texts come upon some toxic-looking words by chance."""
@@ -265,7 +276,7 @@ def fit(texts: list[str], toxic: list[int], rounds: int = 60) -> Model | None:
     used = np.unique(f)
     moments = [np.zeros(len(used)), np.zeros(len(used)), np.zeros((2, 2)), np.zeros((2, 2))]
     for k in range(1, rounds + 1):
-        p, expected = marginals(_summed(theta, f)[flat], before, chain, pairs=True)
+        p, expected = _marginals_in_parts(_summed(theta, f)[flat], before, chain)
         by_word = np.bincount(flat, tags - p, minlength=len(f))
         grad = np.zeros(BUCKETS)
         for column in range(KINDS):
@@ -280,7 +291,7 @@ def fit(texts: list[str], toxic: list[int], rounds: int = 60) -> Model | None:
                 chain = chain + move
             else:
                 theta[used] += move
-    p, _ = marginals(_summed(theta, f)[flat], before, chain)
+    p, _ = _marginals_in_parts(_summed(theta, f)[flat], before, chain)
     x, y = _summary(p, before), labels.astype(float)
     curve = np.zeros(x.shape[1])
     for _ in range(25):  # Newton's method with a small penalty
