@@ -54,6 +54,7 @@ class Runs:
 
     def __init__(self, spark: SparkSession, root: str | None = None, buckets: int | None = None, fanout: int = FANOUT):
         self.spark, self.fanout = spark, fanout
+        self.own = root is None  # runs of one call go with the driver
         self.root = root or scratch.path(spark, "runs")
         self.buckets = buckets or max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
         self.names: list[str] = []
@@ -83,6 +84,8 @@ class Runs:
         rows = rows if dealt else rows.repartition(self.buckets, "h1", "h2")
         rows.select("h1", "h2", "n", "last").write.bucketBy(self.buckets, "h1", "h2").sortBy("h1", "h2").option("path", path).option("parquet.block.size", scratch.ROW_GROUP).saveAsTable(name)
         self.names.append(name)
+        if self.own:
+            scratch.until_exit(self.spark, path)
         self.opened[path] = self.spark.table(name)
         return self.opened[path]
 

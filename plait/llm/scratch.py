@@ -35,6 +35,7 @@ def write(df: DataFrame, name: str, compression: str = "zstd") -> DataFrame:
     spark = df.sparkSession
     to = path(spark, name)
     df.write.option("compression", compression).option("parquet.block.size", ROW_GROUP).parquet(to)
+    until_exit(spark, to)
     return spark.read.schema(df.schema).parquet(to)
 
 
@@ -54,6 +55,12 @@ def remove(spark: SparkSession, path: str) -> None:
     files.delete(where, True)
 
 
+def until_exit(spark: SparkSession, path: str) -> None:
+    """Has a folder that is there removed when the driver ends, as results that read it must be written by then."""
+    files, where = _where(spark, path)
+    files.deleteOnExit(where)
+
+
 def clear(spark: SparkSession) -> None:
     """Removes all intermediate tables of this session; results that still read them must have been written."""
     while _made:
