@@ -23,9 +23,12 @@ def scratch_path(spark: SparkSession) -> str:
 
 
 def _cut(df: DataFrame) -> DataFrame:
-    """The rows written and read again. A checkpoint would keep the constraints of its plan, which double each round."""
+    """The rows written and read again, until the driver ends. A checkpoint would keep the constraints of its plan, which
+    double each round."""
     where = scratch_path(df.sparkSession)
     df.write.parquet(where)
+    path = df.sparkSession.sparkContext._jvm.org.apache.hadoop.fs.Path(where)
+    path.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(path)
     return df.sparkSession.read.schema(df.schema).parquet(where)
 
 
