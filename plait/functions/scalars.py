@@ -52,6 +52,14 @@ def distance(a: list[Column], b: list[Column]) -> Column:
     return F.sqrt(sum(((x - y) * (x - y) for x, y in zip(a[1:], b[1:], strict=True)), (a[0] - b[0]) * (a[0] - b[0])))
 
 
+def rounded(v: Column, digits: int) -> Column:
+    """Halves of the binary value go away from zero, and what rounds to zero keeps its sign, as in C; F.round goes by the
+    decimal text and loses the sign."""
+    t = F.abs(v) * 10.0**digits
+    near = F.when(t < 2.0**52, F.floor(t) + F.when(t - F.floor(t) >= 0.5, 1.0).otherwise(0.0)).otherwise(t)
+    return F.when(t < float("inf"), F.signum(v) * near / 10.0**digits).otherwise(v)
+
+
 def array_distance(a: Column, b: Column) -> Column:
     return F.sqrt(F.aggregate(F.zip_with(a, b, lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, x: s + x))
 

@@ -99,7 +99,8 @@ def spectrum(df: DataFrame, size: str, order: list[str], name: str = "rainbow")
 
 def local_shapes(df: DataFrame, w: WindowSpec, coords: list[str], name: str = "shape") -> DataFrame:
     """The five points around each inner point in coordinates of their own, x, y and z of one point after another: from
-    their mean, along the step from the second to the fourth point, towards the middle one and across both."""
+    their mean, along the step from the second to the fourth point, towards the middle one and across both. Where these
+    have no length (equal points, points on one line), coordinates are NaN, as 0 / 0 is in floating point."""
     points = [F.struct(*[F.lag(c, -k).over(w).alias(c) for c in coords]) for k in range(-2, 3)]
     out = df.withColumn("_p", F.array(*points)).filter(F.col("_p")[0][coords[0]].isNotNull() & F.col("_p")[4][coords[0]].isNotNull())
     p = [[F.col("_p")[i][c] for c in coords] for i in range(5)]
@@ -109,7 +110,8 @@ def local_shapes(df: DataFrame, w: WindowSpec, coords: list[str], name: str = "s
 
     def unit(n: str) -> Column:
         v = vector(n)
-        return F.array(*[x / F.sqrt(dot(v, v)) for x in v])
+        size = F.sqrt(dot(v, v))
+        return F.array(*[F.when(size == 0, x * float("inf")).otherwise(x / size) for x in v])
 
     out = out.withColumn("_x", F.array(*[p[3][c] - p[1][c] for c in range(3)])).withColumn("_x", unit("_x"))
     out = out.withColumn("_y", F.array(*[2 * p[2][c] - p[1][c] - p[3][c] for c in range(3)]))

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from plait.functions import scalars
 from plait.operators import clustering, graphs, stats
 
 from .registry import query, table
@@ -145,7 +146,7 @@ def local_shapes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     e = table(spark, sf_dir, "embeddings").select("vec_id", "label", *[F.col("embedding")[i].cast("double").alias(c) for i, c in enumerate("xyz")])
     out = windows.local_shapes(e, Window.partitionBy("label").orderBy("vec_id"), ["x", "y", "z"])
-    return out.select("vec_id", F.transform("shape", lambda v: F.round(v, 6)).alias("shape"))
+    return out.select("vec_id", F.transform("shape", lambda v: scalars.rounded(v, 6)).alias("shape"))
 
 
 @query(_XYZ + """s as (select vec_id, lead(x, 1) over o - x as ux, lead(y, 1) over o - y as uy, lead(z, 1) over o - z as uz, lead(x, 2) over o - lead(x, 1) over o as vx, lead(y, 2) over o - lead(y, 1) over o as vy, lead(z, 2) over o - lead(z, 1) over o as vz, lead(x, 3) over o - lead(x, 2) over o as wx, lead(y, 3) over o - lead(y, 2) over o as wy, lead(z, 3) over o - lead(z, 2) over o as wz from p window o as (partition by label order by vec_id)),

@@ -2,12 +2,15 @@
 
 import itertools
 import random
+import struct
 
+import duckdb
 import numpy as np
 import pytest
 
 from plait.functions import kernels
 from plait.plans import groups
+from plait.plans.registry import ORACLE_SQL
 
 
 @pytest.fixture(scope="module")
@@ -102,3 +105,20 @@ def test_trees_and_clusters_of_every_family(spark, tables):
     again = groups.rematched_clusters(spark, where).collect()
     assert sorted((r.g, r.m, r.pos) for r in again) == sorted((r.g, r.m, r.pos) for r in clusters)
     assert {r.g for r in groups.family_consensus(spark, where).select("g").collect()} == families
+
+
+def test_shapes_to_the_last_bit(spark, tmp_path):
+    """Equal points, points on one line, gaps and coordinates that round to zero from below, as the SQL has them."""
+    rows = []
+    for i in range(60):
+        v = [float(np.sin(i)), float(np.cos(i * 1.3)), float(np.sin(i * 2.1))]
+        v = [1.0, 2.0, 3.0] if i < 10 else [float(i)] * 3 if i < 20 else [None, 1.0, 2.0] if i == 24 else [float("inf"), 1.0, 2.0] if i == 33 else [1.0, i * 1e-9, 2.0 - i * i] if i > 50 else v
+        rows.append((i, v, 1))
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").coalesce(1).write.parquet(f"{tmp_path}/embeddings.parquet")
+    con = duckdb.connect()
+    con.execute(f"create view embeddings as select * from read_parquet('{tmp_path}/embeddings.parquet/*.parquet')")
+    bits = lambda v: [None if x is None else "nan" if x != x else struct.pack("d", x) for x in v]
+    want = {k: bits(v) for k, v in con.execute(ORACLE_SQL["local_shapes"]).fetchall()}
+    got = {r.vec_id: bits(r["shape"]) for r in groups.local_shapes(spark, str(tmp_path)).collect()}
+    assert got == want
+    assert any("nan" in v for v in want.values()) and any(struct.pack("d", -0.0) in v for v in want.values())
