@@ -10,10 +10,13 @@ from __future__ import annotations
 import math
 from collections.abc import Callable
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from plait.functions import kernels
 from plait.functions.scalars import array_distance
 from plait.operators.graphs import _cut
 from plait.operators.windows import running_total
@@ -21,6 +24,8 @@ from plait.operators.windows import running_total
 Distance = Callable[[Column, Column], Column]
 #: Pivots at most, about the square root of the rows below that; parts of a cell; rings around a pivot.
 PIVOTS, PARTS, RINGS = 512, 8, 16
+#: Bytes of vectors in a block of a search in which every row is asked; a task holds two blocks.
+BLOCK = 32 << 20
 
 
 def pivot_table(df: DataFrame, key: str, vec: str, pivots: int, source: DataFrame | None = None, distance: Distance = array_distance) -> DataFrame:
@@ -120,6 +125,34 @@ def range_query(queries: DataFrame, data: DataFrame, key: str, vec: str, radius:
     return rings.within(asked, F.col("a") != F.col("b")).filter(F.col("d") <= radius)
 
 
+def _older_by_blocks(data: DataFrame, key: str, vec: str, k: int) -> DataFrame:
+    """(a, b, d): the k nearest rows of smaller key, by plain distance. Every row is asked, so rows are dealt into blocks
+    of BLOCK bytes by key and each two blocks meet in one task: a row moves once a block, however little its distances
+    to pivots rule out. A task prunes by parts of its blocks. Vectors that are null or hold null or non-finite
+    components take no part."""
+    whole = F.forall("v", lambda x: F.coalesce(F.abs(x) < float("inf"), F.lit(False)))
+    own = data.select(F.col(key).cast("long").alias("k"), F.col(vec).cast("array<double>").alias("v")).filter(F.col("v").isNotNull() & whole)
+    size = own.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.size("v")), F.lit(0)).alias("values")).first()
+    blocks = max(1, -(-8 * size["values"] // BLOCK), min(4, -(-size["n"] // 4096)))
+    dealt = _cut(own.repartitionByRange(blocks, "k").withColumn("block", F.spark_partition_id()))
+    other = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
+    met = dealt.withColumn("_other", other).select(F.least("block", "_other").alias("i"), F.greatest("block", "_other").alias("j"), "block", "k", "v")
+
+    def search(part: pa.Table) -> pa.Table:
+        i, j = part.column("i")[0].as_py(), part.column("j")[0].as_py()
+        block, keys, lists = part.column("block").to_numpy(), part.column("k").to_numpy(), part.column("v").combine_chunks()
+        n = np.unique(np.diff(lists.offsets.to_numpy()))
+        if len(n) != 1:
+            raise ValueError("vectors differ in length")
+        x = lists.flatten().to_numpy().reshape(len(keys), int(n[0]))
+        late, early = block == j, block == i
+        a, b, d = kernels.nearest_before(keys[late], x[late], keys[early], x[early], k)
+        return pa.table({"a": a, "b": b, "d": d})
+
+    found = met.groupBy("i", "j").applyInArrow(search, "a long, b long, d double")
+    return _first(found, k).drop("rank")
+
+
 def nearest_older(data: DataFrame, key: str, vec: str, pivots: int | None = None, distance: Distance = array_distance) -> DataFrame:
     """Each row's nearest row of smaller key."""
     rings = _Rings(data, key, vec, pivots, distance, None)
@@ -129,8 +162,9 @@ def nearest_older(data: DataFrame, key: str, vec: str, pivots: int | None = None
 def nearest_pairs(data: DataFrame, key: str, vec: str, rounds: int, distance: Distance = array_distance) -> DataFrame:
     """The closest pair, then the closest of the rest, and so on: (a, b, d, step). A pair is a row and one of its
     2 * rounds - 1 nearest of smaller key, as fewer rows have gone before it; each round is one aggregate over these."""
-    rings = _Rings(data, key, vec, None, distance, None)
-    near = _cut(rings.nearest(data, 2 * rounds - 1, F.col("b") < F.col("a")).select(F.col("b").alias("a"), F.col("a").alias("b"), "d"))
+    most = 2 * rounds - 1
+    older = _older_by_blocks(data, key, vec, most) if distance is array_distance else _Rings(data, key, vec, None, distance, None).nearest(data, most, F.col("b") < F.col("a"))
+    near = _cut(older.select(F.col("b").alias("a"), F.col("a").alias("b"), "d"))
     out, used = [], []
     for step in range(rounds):
         rest = near.filter(~F.col("a").isin(*used) & ~F.col("b").isin(*used)) if used else near

@@ -135,3 +135,24 @@ def test_alignment_lines(spark):
     matches = spark.createDataFrame([(1, 1, 0), (1, 3, 2)], "pair long, i int, j int")
     got = {r["name"]: r.line for r in sinks.alignment_lines(matches, letters, "first", "second").collect()}
     assert got == {"first": "ABC-D", "second": "-B-XD"}
+
+
+@pytest.mark.parametrize("k", [1, 3])
+def test_older_rows_by_blocks(spark, monkeypatch, k):
+    """Many blocks, copies, ties and vectors that take no part, against all pairs; a row moves once a block, not once for
+    every ring that it may look at."""
+    monkeypatch.setattr(metric, "BLOCK", 2000)
+    rng = np.random.default_rng(k)
+    x = {int(i): rng.integers(0, 3, 4).astype(float).tolist() if i % 2 else rng.normal(size=4).tolist() for i in rng.permutation(300)}
+    x[7], x[8], x[9] = None, [None, 0.0, 0.0, 0.0], [float("nan"), 0.0, 0.0, 0.0]
+    table = spark.createDataFrame(list(x.items()), "k long, v array<double>")
+    want = []
+    for a in sorted(set(x) - {7, 8, 9}):
+        met = sorted((float(np.sqrt(np.add.accumulate((np.array(x[a]) - x[b]) ** 2)[-1])), b) for b in range(a) if b not in (7, 8, 9))
+        want += [(a, b, d) for d, b in met[:k]]
+    found = metric._older_by_blocks(table, "k", "v", k)
+    assert sorted((r.a, r.b, r.d) for r in found.collect()) == sorted(want)
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("Generate") == 1
+    best = min((d, b, a) for a, b, d in want)
+    assert [tuple(r) for r in metric.nearest_pairs(table, "k", "v", 1).collect()] == [(best[1], best[2], best[0], 0)]
+    assert metric.nearest_pairs(table.filter("k < 1"), "k", "v", 1).count() == 0
