@@ -154,7 +154,9 @@ def _older_by_blocks(data: DataFrame, key: str, vec: str, k: int) -> DataFrame:
 
 
 def nearest_older(data: DataFrame, key: str, vec: str, pivots: int | None = None, distance: Distance = array_distance) -> DataFrame:
-    """Each row's nearest row of smaller key."""
+    """Each row's nearest row of smaller key: by blocks for the plain distance, else by cells and rings."""
+    if distance is array_distance and pivots is None:
+        return _older_by_blocks(data, key, vec, 1)
     rings = _Rings(data, key, vec, pivots, distance, None)
     return rings.nearest(data, 1, F.col("b") < F.col("a")).select("a", "b", "d")
 

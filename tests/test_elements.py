@@ -150,9 +150,9 @@ def test_older_rows_by_blocks(spark, monkeypatch, k):
     for a in sorted(set(x) - {7, 8, 9}):
         met = sorted((float(np.sqrt(np.add.accumulate((np.array(x[a]) - x[b]) ** 2)[-1])), b) for b in range(a) if b not in (7, 8, 9))
         want += [(a, b, d) for d, b in met[:k]]
-    found = metric._older_by_blocks(table, "k", "v", k)
+    found = metric.nearest_older(table, "k", "v") if k == 1 else metric._older_by_blocks(table, "k", "v", k)
     assert sorted((r.a, r.b, r.d) for r in found.collect()) == sorted(want)
     assert found._jdf.queryExecution().optimizedPlan().toString().count("Generate") == 1
     best = min((d, b, a) for a, b, d in want)
     assert [tuple(r) for r in metric.nearest_pairs(table, "k", "v", 1).collect()] == [(best[1], best[2], best[0], 0)]
-    assert metric.nearest_pairs(table.filter("k < 1"), "k", "v", 1).count() == 0
+    assert metric.nearest_older(table.filter("k < 0"), "k", "v").count() == metric.nearest_pairs(table.filter("k < 1"), "k", "v", 1).count() == 0
