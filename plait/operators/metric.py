@@ -260,13 +260,17 @@ def triangle_violations(pairs: DataFrame, table: DataFrame, key: str) -> DataFra
     return x.agg(F.coalesce(F.sum(F.size(bad)), F.lit(0)).cast("long").alias("violations"), F.count("*").alias("pairs"))
 
 
-def length_bins(asked: DataFrame, df: DataFrame, key: str, length: str, most: float) -> DataFrame:
+def length_bins(asked: DataFrame, df: DataFrame, key: str, length: str, most: float, parts: int = PARTS) -> DataFrame:
     """Pairs of a stated row and another whose lengths differ by no more than 2 * most, found in bins of that width: the
-    cheap bound half the difference in length, before any alignment."""
+    cheap bound half the difference in length, before any alignment. Lengths may be few, so the other rows of a bin are
+    dealt into parts, in as many tasks as these have though little moves. They go first: a merge keeps the stated rows of
+    a bin, and pairs come out by b, with the same few a again and again, which files store in less space."""
     width = 2 * most
-    x = asked.select(F.col(key).alias("a"), F.col(length).alias("la"), F.floor(F.col(length) / width).alias("bin"))
-    y = df.select(F.col(key).alias("b"), F.col(length).alias("lb"), F.explode(F.array(*[F.floor(F.col(length) / width) + i for i in (-1, 0, 1)])).alias("bin"))
-    return x.join(y, "bin").filter((F.col("a") != F.col("b")) & (F.abs(F.col("la") - F.col("lb")) <= width)).select("a", "b", (F.abs(F.col("la") - F.col("lb")) / 2).alias("bound"))
+    near = F.explode(F.array(*[F.floor(F.col(length) / width) + i for i in (-1, 0, 1)])).alias("bin")
+    x = asked.select(F.col(key).alias("a"), F.col(length).alias("la"), near).select("a", "la", "bin", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part"))
+    y = df.select(F.col(key).alias("b"), F.col(length).alias("lb"), F.floor(F.col(length) / width).alias("bin"), F.pmod(F.xxhash64(key), F.lit(parts)).cast("int").alias("part"))
+    x, y = (z.repartition(4 * parts, "bin", "part") for z in (x, y))
+    return y.join(x, ["bin", "part"]).filter((F.col("a") != F.col("b")) & (F.abs(F.col("la") - F.col("lb")) <= width)).select("a", "b", (F.abs(F.col("la") - F.col("lb")) / 2).alias("bound"))
 
 
 def split_by_median(df: DataFrame, key: str, distance: Column) -> DataFrame:

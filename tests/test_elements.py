@@ -6,6 +6,7 @@ import json
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from plait.functions import layout
 from plait.operators import filters, graphs, intervals, joins, metric
@@ -156,3 +157,13 @@ def test_older_rows_by_blocks(spark, monkeypatch, k):
     best = min((d, b, a) for a, b, d in want)
     assert [tuple(r) for r in metric.nearest_pairs(table, "k", "v", 1).collect()] == [(best[1], best[2], best[0], 0)]
     assert metric.nearest_older(table.filter("k < 0"), "k", "v").count() == metric.nearest_pairs(table.filter("k < 1"), "k", "v", 1).count() == 0
+
+
+def test_length_bins_in_many_tasks(spark):
+    """Equal lengths too are dealt over tasks, and a pair is found once."""
+    table = spark.createDataFrame([(i, 10.0 if i < 400 else i / 100) for i in range(600)], "k long, n double")
+    found = metric.length_bins(table.filter("k % 50 = 0"), table, "k", "n", 0.25).withColumn("task", F.spark_partition_id())
+    rows = found.collect()
+    n = {r.k: r.n for r in table.collect()}
+    assert sorted((r.a, r.b, r.bound) for r in rows) == sorted((a, b, abs(n[a] - n[b]) / 2) for a in n for b in n if a % 50 == 0 and a != b and abs(n[a] - n[b]) <= 0.5)
+    assert len({r.task for r in rows if r.b < 400}) > 4
