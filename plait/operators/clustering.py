@@ -7,8 +7,12 @@ across the cluster beforehand.
 
 from __future__ import annotations
 
+import math
+from collections.abc import Callable, Iterator
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -16,8 +20,9 @@ from plait.functions import kernels
 from plait.operators.windows import running_total
 
 
-#: Cells of score matrices that are filled at once.
-CELLS = 1 << 19
+#: Cells of score matrices that are filled at once; families that a kernel takes at once.
+CELLS, FAMILIES = 1 << 19, 128
+_ARROW = {"long": pa.int64(), "int": pa.int32(), "double": pa.float64(), "string": pa.string(), "array<double>": pa.list_(pa.float64())}
 
 
 def sequences(df: DataFrame, group: str, member: str, order: list[str], coords: list[str], kind: str | None = None) -> DataFrame:
@@ -33,9 +38,16 @@ def _fresh(df: DataFrame) -> DataFrame:
     return df.select(*[F.col(c).alias(c) for c in df.columns])
 
 
+def _dealt(df: DataFrame) -> DataFrame:
+    """df by family, in a number of tasks that stays: kernels take long over few bytes, by which small tasks would be put
+    together."""
+    spark = df.sparkSession
+    return df.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism), "g")
+
+
 def _pairs(seqs: DataFrame) -> DataFrame:
-    x = seqs.select("g", F.col("m").alias("a"), F.col("xs").alias("xa"), F.col("kinds").alias("ka"))
-    y = seqs.select("g", F.col("m").alias("b"), F.col("xs").alias("xb"), F.col("kinds").alias("kb"))
+    x = _dealt(seqs.select("g", F.col("m").alias("a"), F.col("xs").alias("xa"), F.col("kinds").alias("ka")))
+    y = _dealt(seqs.select("g", F.col("m").alias("b"), F.col("xs").alias("xb"), F.col("kinds").alias("kb")))
     return x.join(y, "g").filter("a < b")
 
 
@@ -111,7 +123,7 @@ def sliding_deviations(seqs: DataFrame) -> DataFrame:
 
 def iterative_scores(seqs: DataFrame) -> DataFrame:
     """(g, a, b, value): total of matching and superposing the elements of each pair of members in turn."""
-    return _each(_pairs(seqs), "double", lambda x, k, y, l: kernels.iterative_superposition(x, k, y, l)[0])
+    return _many(_pairs(seqs), lambda a, ka, b, kb: kernels.iterative_superpositions(a, ka, b, kb)[0])
 
 
 def guide_trees(seqs: DataFrame) -> DataFrame:
