@@ -45,6 +45,30 @@ def _dealt(df: DataFrame) -> DataFrame:
     return df.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism), "g")
 
 
+def _family_rows(seqs: DataFrame, *columns: str) -> DataFrame:
+    """(g, members): one row a family, its members with their columns in order."""
+    return _dealt(seqs).groupBy("g").agg(F.array_sort(F.collect_list(F.struct("m", *columns))).alias("members"))
+
+
+def _each_family(rows: DataFrame, f: Callable[[list[dict]], list[tuple]], schema: str) -> DataFrame:
+    """f over some families at once, as dicts of their columns; f gives tuples by the schema."""
+    names, kinds = zip(*[c.split(" ", 1) for c in schema.split(", ")], strict=True)
+    types = [_ARROW[k] for k in kinds]
+
+    def solve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, FAMILIES):
+                found = f(batch.slice(at, FAMILIES).to_pylist())
+                columns = zip(*found, strict=True) if found else [()] * len(types)
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=list(names))
+
+    return rows.mapInArrow(solve, schema)
+
+
+def _points(members: list[dict], width: int | None = None) -> list[np.ndarray]:
+    return [np.array(m["xs"], float)[:, :width] for m in members]
+
+
 def _pairs(seqs: DataFrame) -> DataFrame:
     x = _dealt(seqs.select("g", F.col("m").alias("a"), F.col("xs").alias("xa"), F.col("kinds").alias("ka")))
     y = _dealt(seqs.select("g", F.col("m").alias("b"), F.col("xs").alias("xb"), F.col("kinds").alias("kb")))
@@ -289,9 +313,8 @@ def matched_agreement(counts: DataFrame, a: str, b: str) -> DataFrame:
 def family_consensus(seqs: DataFrame) -> DataFrame:
     """(g, pos, x, y, z, share): the consensus points of each group and the share of members at each."""
 
-    def solve(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("m")
-        points, share, _ = kernels.family_consensus([np.stack(x)[:, :3].astype(float) for x in pdf["xs"]])
-        return pd.DataFrame({"g": pdf.g.iloc[0], "pos": range(len(points)), "x": points[:, 0], "y": points[:, 1], "z": points[:, 2], "share": share})
+    def solve(families: list[dict]) -> list[tuple]:
+        found = kernels.family_consensuses([_points(f["members"], 3) for f in families])
+        return [(f["g"], i, *p, o) for f, (points, share) in zip(families, found, strict=True) for i, (p, o) in enumerate(zip(points.tolist(), share.tolist(), strict=True))]
 
-    return seqs.groupBy("g").applyInPandas(solve, "g long, pos int, x double, y double, z double, share double")
+    return _each_family(_family_rows(seqs, "xs"), solve, "g long, pos int, x double, y double, z double, share double")
