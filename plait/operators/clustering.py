@@ -69,6 +69,11 @@ def _points(members: list[dict], width: int | None = None) -> list[np.ndarray]:
     return [np.array(m["xs"], float)[:, :width] for m in members]
 
 
+def _elements(members: list[dict]) -> list[tuple[np.ndarray, np.ndarray]]:
+    """(coordinates, kinds) of each member; elements of fewer than six coordinates repeat them."""
+    return [(np.stack([np.resize(np.asarray(v, float), 6) for v in m["xs"]]), np.asarray(m["kinds"])) for m in members]
+
+
 def _pairs(seqs: DataFrame) -> DataFrame:
     x = _dealt(seqs.select("g", F.col("m").alias("a"), F.col("xs").alias("xa"), F.col("kinds").alias("ka")))
     y = _dealt(seqs.select("g", F.col("m").alias("b"), F.col("xs").alias("xb"), F.col("kinds").alias("kb")))
@@ -155,13 +160,16 @@ def guide_trees(seqs: DataFrame) -> DataFrame:
     member; measured counts the distances that its tree took. A family is one task's by nature of its merges; families
     of one member have no merges and no rows."""
 
-    def tree(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("m")
-        merges, _, measured = kernels.guide_tree([np.stack(x).astype(float) for x in pdf["xs"]])
-        text = kernels.newick([str(m) for m in pdf.m], merges, weighted=True)
-        return pd.DataFrame([(pdf.g.iloc[0], len(pdf) + i, l, r, x, text, measured) for i, (l, r, x) in enumerate(merges)], columns=["g", "node", "left", "right", "distance", "newick", "measured"])
+    def trees(families: list[dict]) -> list[tuple]:
+        rows = []
+        for family in families:
+            n = len(family["members"])
+            merges, _, measured = kernels.guide_tree(_points(family["members"]))
+            text = kernels.newick([str(m["m"]) for m in family["members"]], merges, weighted=True)
+            rows += [(family["g"], n + i, int(l), int(r), float(x), text, measured) for i, (l, r, x) in enumerate(merges)]
+        return rows
 
-    return seqs.groupBy("g").applyInPandas(tree, "g long, node int, left int, right int, distance double, newick string, measured long")
+    return _each_family(_family_rows(seqs, "xs"), trees, "g long, node int, left int, right int, distance double, newick string, measured long")
 
 
 def consensus_structures(seqs: DataFrame) -> DataFrame:
@@ -174,14 +182,6 @@ def consensus_structures(seqs: DataFrame) -> DataFrame:
     return seqs.groupBy("g").applyInPandas(root, "g long, pos int, point array<double>, occupancy double")
 
 
-def _members(rows: pd.DataFrame, edges: pd.DataFrame) -> list[tuple]:
-    """(coordinates, kinds, edges) of each member of a family, in order of member."""
-    by: dict = {}
-    for m, i, j, o in zip(edges["m"], edges["i"], edges["j"], edges["orient"], strict=True):
-        by.setdefault(m, []).append((int(i), int(j), int(o)))
-    return [(np.stack([np.resize(np.asarray(v, float), 6) for v in xs]), np.asarray(kinds), sorted(by.get(m, []))) for m, xs, kinds in zip(rows["m"], rows["xs"], rows["kinds"], strict=True)]
-
-
 def consensus_clusters(seqs: DataFrame, trees: DataFrame, edges: DataFrame | None = None) -> DataFrame:
     """(g, m, pos, cluster, label, linear): the cluster of every element, in order. A cluster has one kind and one element
     of a member at most, and clusters are partially ordered. edges: (g, m, i, j, orient) between positions of a member.
@@ -190,23 +190,23 @@ def consensus_clusters(seqs: DataFrame, trees: DataFrame, edges: DataFrame | Non
     if edges is not None:
         links = edges.groupBy("g", "m").agg(F.sort_array(F.collect_list(F.struct(F.col("i").cast("int").alias("i"), F.col("j").cast("int").alias("j"), F.col("orient").cast("int").alias("orient")))).alias("links"))
         packed = seqs.select("g", "m", "xs", "kinds").join(links, ["g", "m"], "left")
+    merges = _dealt(trees.select("g", "node", "left", "right", "distance")).groupBy("g").agg(F.array_sort(F.collect_list(F.struct("node", "left", "right", "distance"))).alias("merges"))
 
-    def solve(key, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        left = left.sort_values("m").reset_index(drop=True)
-        links = pd.DataFrame([(m, e["i"], e["j"], e["orient"]) for m, x in zip(left.m, left.links, strict=True) if x is not None for e in x], columns=["m", "i", "j", "orient"])
-        members = _members(left, links)
-        merges = [(int(l), int(r), float(d)) for l, r, d in right.sort_values("node")[["left", "right", "distance"]].itertuples(index=False)]
-        if len(members) != len(merges) + 1:
-            raise ValueError(f"the tree of family {key[0]} has other leaves than the family")
-        clusters, _, linear = kernels.consensus(members, merges)
-        names = list(left.m)
+    def solve(families: list[dict]) -> list[tuple]:
         rows = []
-        for c, inside in enumerate(clusters):
-            label = f"{members[inside[0][0]][1][inside[0][1]]}{c}"
-            rows += [(key[0], names[m], i, c, label, linear) for m, i in inside]
-        return pd.DataFrame(rows, columns=["g", "m", "pos", "cluster", "label", "linear"])
-
-    return _fresh(packed).groupBy("g").cogroup(_fresh(trees).groupBy("g")).applyInPandas(solve, "g long, m long, pos int, cluster int, label string, linear int")
+        for family in families:
+            own = family["members"] or []
+            members = [(x, kinds, sorted((e["i"], e["j"], e["orient"]) for e in m["links"] or [])) for (x, kinds), m in zip(_elements(own), own, strict=True)]
+            steps = [(e["left"], e["right"], e["distance"]) for e in family["merges"] or []]
+            if len(members) != len(steps) + 1:
+                raise ValueError(f"the tree of family {family['g']} has other leaves than the family")
+            clusters, _, linear = kernels.consensus(members, steps)
+            for c, inside in enumerate(clusters):
+                label = f"{members[inside[0][0]][1][inside[0][1]]}{c}"
+                rows += [(family["g"], own[m]["m"], i, c, label, linear) for m, i in inside]
+        return rows
+
+    return _each_family(_family_rows(_fresh(packed), "xs", "kinds", "links").join(_fresh(merges), "g", "full"), solve, "g long, m long, pos int, cluster int, label string, linear int")
 
 
 def rematched_clusters(seqs: DataFrame, clusters: DataFrame) -> DataFrame:

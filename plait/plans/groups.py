@@ -57,10 +57,8 @@ def iterative_superposition_scores(spark: SparkSession, sf_dir: str) -> DataFram
 
 def _links(families: DataFrame) -> DataFrame:
     """Edges between neighbouring strands of a member, parallel where the first lies at an even place."""
-    x = families.select("g", "m", F.posexplode("kinds").alias("i", "kind"))
-    y = x.select("g", "m", (F.col("i") - 1).alias("i"), F.col("kind").alias("next"))
-    met = x.join(y, ["g", "m", "i"]).filter("kind = 'E' and next = 'E'")
-    return met.select("g", "m", "i", (F.col("i") + 1).alias("j"), F.when(F.col("i") % 2 == 0, 1).otherwise(-1).alias("orient"))
+    both = F.filter(F.sequence(F.lit(0), F.size("kinds") - 1), lambda i: (F.get("kinds", i) == "E") & (F.get("kinds", i + 1) == "E"))
+    return families.select("g", "m", F.explode(both).alias("i")).select("g", "m", "i", (F.col("i") + 1).alias("j"), F.when(F.col("i") % 2 == 0, 1).otherwise(-1).alias("orient"))
 
 
 @query()
@@ -80,7 +78,7 @@ def _clusters(families: DataFrame) -> DataFrame:
 
 @query()
 def consensus_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _clusters(_families(spark, sf_dir))
+    return _clusters(graphs._cut(_families(spark, sf_dir)))
 
 
 @query()

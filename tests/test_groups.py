@@ -7,6 +7,7 @@ import struct
 import duckdb
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from plait.functions import kernels
 from plait.plans import groups
@@ -122,3 +123,10 @@ def test_shapes_to_the_last_bit(spark, tmp_path):
     got = {r.vec_id: bits(r["shape"]) for r in groups.local_shapes(spark, str(tmp_path)).collect()}
     assert got == want
     assert any("nan" in v for v in want.values()) and any(struct.pack("d", -0.0) in v for v in want.values())
+
+
+def test_families_are_dealt_over_tasks(spark, tables):
+    """Kernels take long over few bytes, so families are not put into one task for their bytes."""
+    for name in ("family_consensus", "consensus_clusters", "iterative_superposition_scores"):
+        found = getattr(groups, name)(spark, tables[0]).withColumn("task", F.spark_partition_id()).collect()
+        assert len({r.task for r in found}) > 1, name
