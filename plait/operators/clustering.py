@@ -213,15 +213,18 @@ def rematched_clusters(seqs: DataFrame, clusters: DataFrame) -> DataFrame:
     """(g, m, pos, cluster): clusters after rematching each family's members to their mean elements, up to the highest
     self-classification probability; -1 for elements that are left out."""
 
-    def solve(key, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        left = left.sort_values("m")
-        own = [(np.stack([np.resize(np.asarray(v, float), 6) for v in xs]), np.asarray(k)) for xs, k in zip(left["xs"], left["kinds"], strict=True)]
-        at = {(m, p): c for m, p, c in zip(right.m, right.pos, right.cluster, strict=True)}
-        labels = [np.array([at.get((m, i), -1) for i in range(len(x))]) for m, (x, _) in zip(left.m, own, strict=True)]
-        new = kernels.rematch(own, labels)
-        return pd.DataFrame([(key[0], m, i, int(c)) for m, row in zip(left.m, new, strict=True) for i, c in enumerate(row)], columns=["g", "m", "pos", "cluster"])
-
-    return _fresh(seqs).groupBy("g").cogroup(_fresh(clusters).groupBy("g")).applyInPandas(solve, "g long, m long, pos int, cluster int")
+    placed = _dealt(clusters.select("g", "m", "pos", "cluster")).groupBy("g").agg(F.collect_list(F.struct("m", "pos", "cluster")).alias("placed"))
+
+    def solve(families: list[dict]) -> list[tuple]:
+        asked = []
+        for family in families:
+            own = _elements(family["members"])
+            at = {(p["m"], p["pos"]): p["cluster"] for p in family["placed"] or []}
+            asked.append((own, [np.array([at.get((m["m"], i), -1) for i in range(len(x))]) for m, (x, _) in zip(family["members"], own, strict=True)]))
+        found = kernels.rematches(asked)
+        return [(f["g"], m["m"], i, c) for f, new in zip(families, found, strict=True) for m, row in zip(f["members"], new, strict=True) for i, c in enumerate(row.tolist())]
+
+    return _each_family(_family_rows(_fresh(seqs), "xs", "kinds").join(_fresh(placed), "g", "left"), solve, "g long, m long, pos int, cluster int")
 
 
 def cluster_statistics(seqs: DataFrame, clusters: DataFrame, edges: DataFrame | None = None, threshold: float = 0.5) -> DataFrame:

@@ -83,7 +83,7 @@ def consensus_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def rematched_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    f = _families(spark, sf_dir)
+    f = graphs._cut(_families(spark, sf_dir))
     return clustering.rematched_clusters(f, _clusters(f))
 
 
