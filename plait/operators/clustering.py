@@ -243,22 +243,29 @@ def cluster_statistics(seqs: DataFrame, clusters: DataFrame, edges: DataFrame |
     at = clusters.select("g", "m", F.col("pos").alias("i"), F.col("cluster").alias("a"))
     met = edges.join(at, ["g", "m", "i"]).join(at.withColumnRenamed("i", "j").withColumnRenamed("a", "b"), ["g", "m", "j"]).groupBy("g", "a", "b", "orient").agg(F.count("*").alias("n"))
 
-    def sheets(key, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        left = left.sort_values("cluster").reset_index(drop=True)
-        at = {c: i for i, c in enumerate(left.cluster)}
-        kept = kernels.strong_edges(left.found_in.astype(float).tolist(), [(at[a], at[b], o, n / threshold) for a, b, o, n in sorted(zip(right.a, right.b, right.orient, right.n, strict=True))])
-        part = list(range(len(left)))
-        for u, v, *_ in kept:
-            low, high = sorted((part[u], part[v]))
-            part = [low if p == high else p for p in part]
-        left["part"] = part
-        strands = left.kind == "E"
-        weight = (left.occurrence * left.average_length).where(strands, 0.0).groupby(left.part).sum()
-        order = [p for p in sorted(weight.index, key=lambda p: (-round(weight[p], 6), p)) if strands[left.part == p].any()]
-        left["sheet_id"] = [order.index(p) + 1 if s else 0 for p, s in zip(part, strands, strict=True)]
-        return left[["g", "cluster", "label", "sheet_id", "found_in", "occurrence", "average_length", "coord_variance"]]
-
-    return _fresh(own).groupBy("g").cogroup(_fresh(met).groupBy("g")).applyInPandas(sheets, "g long, cluster int, label string, sheet_id int, found_in long, occurrence double, average_length double, coord_variance double")
+    columns = ("label", "kind", "found_in", "occurrence", "average_length", "coord_variance")
+    left = _dealt(own).groupBy("g").agg(F.array_sort(F.collect_list(F.struct("cluster", *columns))).alias("own"))
+    right = _dealt(met).groupBy("g").agg(F.array_sort(F.collect_list(F.struct("a", "b", "orient", "n"))).alias("met"))
+
+    def sheets(families: list[dict]) -> list[tuple]:
+        rows = []
+        for family in families:
+            own = family["own"]
+            at = {c["cluster"]: i for i, c in enumerate(own)}
+            kept = kernels.strong_edges([float(c["found_in"]) for c in own], [(at[e["a"]], at[e["b"]], e["orient"], e["n"] / threshold) for e in family["met"] or []])
+            part = list(range(len(own)))
+            for u, v, *_ in kept:
+                low, high = sorted((part[u], part[v]))
+                part = [low if p == high else p for p in part]
+            weight: dict[int, list[float]] = {}
+            for p, c in zip(part, own, strict=True):
+                if c["kind"] == "E":
+                    weight.setdefault(p, []).append(c["occurrence"] * c["average_length"])
+            order = {p: i + 1 for i, p in enumerate(sorted(weight, key=lambda p: (-round(math.fsum(weight[p]), 6), p)))}
+            rows += [(family["g"], c["cluster"], c["label"], order[p] if c["kind"] == "E" else 0, c["found_in"], c["occurrence"], c["average_length"], c["coord_variance"]) for p, c in zip(part, own, strict=True)]
+        return rows
+
+    return _each_family(_fresh(left).join(_fresh(right), "g", "left"), sheets, "g long, cluster int, label string, sheet_id int, found_in long, occurrence double, average_length double, coord_variance double")
 
 
 def dense_labels(df: DataFrame, label: str, name: str = "dense") -> DataFrame:

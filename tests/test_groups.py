@@ -127,6 +127,6 @@ def test_shapes_to_the_last_bit(spark, tmp_path):
 
 def test_families_are_dealt_over_tasks(spark, tables):
     """Kernels take long over few bytes, so families are not put into one task for their bytes."""
-    for name in ("family_consensus", "consensus_clusters", "rematched_clusters", "iterative_superposition_scores"):
+    for name in ("family_consensus", "consensus_clusters", "rematched_clusters", "consensus_statistics", "iterative_superposition_scores"):
         found = getattr(groups, name)(spark, tables[0]).withColumn("task", F.spark_partition_id()).collect()
         assert len({r.task for r in found}) > 1, name
