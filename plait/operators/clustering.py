@@ -22,6 +22,8 @@ from plait.operators.windows import running_total
 
 #: Cells of score matrices that are filled at once; families that a kernel takes at once.
 CELLS, FAMILIES = 1 << 19, 128
+#: Families whose points alone go through a kernel, without Python objects of their own.
+POINT_FAMILIES = 10_000
 _ARROW = {"long": pa.int64(), "int": pa.int32(), "double": pa.float64(), "string": pa.string(), "array<double>": pa.list_(pa.float64())}
 
 
@@ -65,8 +67,8 @@ def _each_family(rows: DataFrame, f: Callable[[list[dict]], list[tuple]], schema
     return rows.mapInArrow(solve, schema)
 
 
-def _points(members: list[dict], width: int | None = None) -> list[np.ndarray]:
-    return [np.array(m["xs"], float)[:, :width] for m in members]
+def _points(members: list[dict]) -> list[np.ndarray]:
+    return [np.array(m["xs"], float) for m in members]
 
 
 def _elements(members: list[dict]) -> list[tuple[np.ndarray, np.ndarray]]:
@@ -322,9 +324,21 @@ def matched_agreement(counts: DataFrame, a: str, b: str) -> DataFrame:
 
 def family_consensus(seqs: DataFrame) -> DataFrame:
     """(g, pos, x, y, z, share): the consensus points of each group and the share of members at each."""
+    names, types = ["g", "pos", "x", "y", "z", "share"], [pa.int64(), pa.int32(), *[pa.float64()] * 4]
 
-    def solve(families: list[dict]) -> list[tuple]:
-        found = kernels.family_consensuses([_points(f["members"], 3) for f in families])
-        return [(f["g"], i, *p, o) for f, (points, share) in zip(families, found, strict=True) for i, (p, o) in enumerate(zip(points.tolist(), share.tolist(), strict=True))]
-
-    return _each_family(_family_rows(seqs, "xs"), solve, "g long, pos int, x double, y double, z double, share double")
+    def solve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, POINT_FAMILIES):
+                part = batch.slice(at, POINT_FAMILIES)
+                members = part.column("members")
+                xs = members.flatten().field("xs")
+                rows = xs.flatten()
+                first = rows.offsets.to_numpy()[:-1]
+                values = rows.values.to_numpy(zero_copy_only=False)
+                sizes, counts = (v.value_lengths().to_numpy(zero_copy_only=False).astype(int) for v in (xs, members))
+                now, share, own = kernels.consensuses_of_points(np.stack([values[first + c] for c in range(3)]), sizes, counts)
+                pos = np.arange(len(share)) - np.repeat(np.cumsum(own) - own, own)
+                group = part.column("g").take(pa.array(np.repeat(np.arange(len(own)), own)))
+                yield pa.RecordBatch.from_arrays([group, *[pa.array(c, t) for c, t in zip([pos, *now, share], types[1:], strict=True)]], names=names)
+
+    return _family_rows(seqs, "xs").mapInArrow(solve, "g long, pos int, x double, y double, z double, share double")

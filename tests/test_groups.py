@@ -125,6 +125,17 @@ def test_shapes_to_the_last_bit(spark, tmp_path):
     assert any("nan" in v for v in want.values()) and any(struct.pack("d", -0.0) in v for v in want.values())
 
 
+def test_consensus_points_of_every_family(spark, tables):
+    where, members = tables
+    found = {}
+    for r in groups.family_consensus(spark, where).orderBy("g", "pos").collect():
+        found.setdefault(r.g, []).append((r.x, r.y, r.z, r.share))
+    assert found.keys() == {c for c, _ in members}
+    for g, rows in found.items():
+        want, share, _ = kernels.family_consensus([points(members[k])[0][:, :3] for k in sorted(members) if k[0] == g])
+        assert np.allclose(np.array(rows)[:, :3], want, atol=1e-9) and np.allclose(np.array(rows)[:, 3], share, atol=1e-6)
+
+
 def test_families_are_dealt_over_tasks(spark, tables):
     """Kernels take long over few bytes, so families are not put into one task for their bytes."""
     for name in ("family_consensus", "consensus_clusters", "rematched_clusters", "consensus_statistics", "iterative_superposition_scores"):
